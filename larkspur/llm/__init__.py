@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline. Nothing else in the package imports this one."""
 
-from larkspur.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_sampling
+from larkspur.llm import exact_dedup, mixing, near_dedup, quality_rules, repeats, sentencepiece_sampling
 
-_MODULES = (quality_rules, mixing, exact_dedup, sentencepiece_sampling, near_dedup)
+_MODULES = (quality_rules, mixing, exact_dedup, sentencepiece_sampling, near_dedup, repeats)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
