@@ -32,7 +32,7 @@ POWER = 1.0
 #: Tokens after a divergence whose alternatives become nodes at once.
 DEPTH = 48
 #: Characters of text walked together.
-CHUNK = 3_000_000
+CHUNK = 1_000_000
 META = 0x2581  # stands for a space in pieces
 LITERAL = 0x110000  # that character itself, in a text
 
