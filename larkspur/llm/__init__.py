@@ -1,8 +1,8 @@
 """Operators of a training-data pipeline. Nothing else in the package imports this one."""
 
-from larkspur.llm import exact_dedup, license_scan, mixing, near_dedup, quality_rules, repeats, secret_scan, sentencepiece_sampling
+from larkspur.llm import exact_dedup, license_scan, mixing, near_dedup, quality_classifier, quality_rules, repeats, secret_scan, sentencepiece_sampling
 
-_MODULES = (quality_rules, mixing, exact_dedup, sentencepiece_sampling, near_dedup, repeats, secret_scan, license_scan)
+_MODULES = (quality_rules, mixing, exact_dedup, sentencepiece_sampling, near_dedup, repeats, secret_scan, license_scan, quality_classifier)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
