@@ -10,9 +10,11 @@ with a probability equal to their weighted Jaccard similarity. Only points befor
 the text's total weight are made, which for long texts is fewer than one per window; the rare text with
 a slot still empty is done again with a later horizon.
 
-Bands of slots name buckets. In a bucket every text is compared with its smallest one; texts of one
-bucket that are then still in different components are compared too, so that no link between
-different texts is lost, while a group of copies never costs the square of its size.
+Bands of slots name buckets. In a bucket every text is compared with its hub, the text that shares most
+buckets with others. Two other texts of a bucket matter only if they are still in different components,
+and then they can be near only if their common part with the hub is large enough by itself or if they
+share windows that the hub lacks; both are joins on the hub that give those pairs alone. So no link
+between different texts of a bucket is lost, and a group of copies does not cost the square of its size.
 """
 
 from __future__ import annotations
@@ -159,6 +161,55 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
+def compare_with_hub(a: pa.Array, b: pa.Array, similarity: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For pairs of hub and text: similarity, overlap, the text's weight, and a prefix of what it has beyond the hub.
+
+    A text near this one overlaps it by at least ``similarity`` times its weight, and all but the overlap
+    with the hub lies in what is beyond the hub. Of two such sets, in one order of hashes, the first few
+    elements must meet: as many as are more than what may be missing.
+    """
+    n = len(a)
+    parts = [multisets(buf, off, width) + (first,) for first, _, buf, off in bv.chunks(pa.concat_arrays([a.cast(pa.large_binary()), b.cast(pa.large_binary())]))]
+    doc = np.concatenate([d + first for d, _, _, first in parts])
+    h, w = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    total = np.bincount(doc, weights=w, minlength=2 * n)
+    order = np.lexsort((doc >= n, h, doc % n))
+    doc, h, w = doc[order], h[order], w[order]
+    pair = doc % n
+    same = np.zeros(len(h), bool)
+    same[1:] = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
+    before = np.where(same, np.concatenate([[0], w[:-1]]), 0)
+    common = np.bincount(pair, weights=np.minimum(w, before), minlength=n)
+    union = total[:n] + total[n:] - common
+    extra = np.where(doc >= n, np.maximum(w - before, 0), 0)
+    at = bv.ranges(np.zeros(len(extra), np.int64), extra)
+    who = np.repeat(pair, extra)
+    key = bv.mix(np.repeat(h, extra) + at.astype(np.uint64) * bv.GOLD)
+    order = np.lexsort((key, who))
+    who, key = who[order], key[order]
+    bounds = np.searchsorted(who, np.arange(n + 1))
+    size = np.diff(bounds)
+    must = np.maximum(1, np.ceil(similarity * total[n:] - common - 1e-9)).astype(np.int64)
+    take = np.maximum(0, size - must + 1)
+    return common / np.maximum(union, 1), common, total[n:], [key[i : i + k].view(np.int64) for i, k in zip(bounds[:-1], take)]
+
+
+def stars_verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """a (hub), b, near, common, weight, beyond (array of hashes) for each pair of hub and text."""
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                own = batch.slice(lo, 512)
+                sim, common, weight, beyond = compare_with_hub(own.column(2), own.column(3), similarity, width)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in beyond])]).astype(np.int32)), pa.array(np.concatenate(beyond)))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sim >= similarity - 1e-12), pa.array(common), pa.array(weight), lists], names=["a", "b", "near", "common", "weight", "beyond"])
+
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, near boolean, common double, weight double, beyond array<long>")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), kept (it is that one).
 
@@ -170,20 +221,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = staged(sign(docs, id_col, text_col, bands, rows, width), "near-signatures")
     reps = staged(signed.where("doc_id IS NOT NULL AND size(bands) > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "near-texts")
     in_bucket = reps.select(F.explode("bands").alias("key"), "rep")
-    shared = in_bucket.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("key", "leader")
+    shared = in_bucket.groupBy("key").agg(F.count("rep").alias("size")).where("size > 1")
     members = staged(in_bucket.join(shared, "key"), "near-buckets")
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(members.select("rep").distinct(), "rep", "left_semi")
-    stars = members.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
-    first = staged(verified(stars, texts, similarity, width), "near-links")
-    comp = staged(components(first), "near-components")
-    # texts of one bucket that the stars have left apart
-    placed = members.select("key", "rep").join(comp, members["rep"] == comp["node"], "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    apart = staged(placed.join(mixed, "key", "left_semi"), "near-apart")
-    left = apart.select("key", F.col("rep").alias("a"), F.col("comp").alias("ca"))
-    right = apart.select("key", F.col("rep").alias("b"), F.col("comp").alias("cb"))
-    rest = left.join(right, (left["key"] == right["key"]) & (F.col("ca") < F.col("cb"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(stars, ["a", "b"], "left_anti")
+    central = members.groupBy("rep").agg(F.sum("size").alias("reach"))
+    hubs = members.select("key", "rep").join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct(F.col("reach"), -F.col("rep"))).alias("hub"))
+    stars = members.select("key", "rep").join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(central.select("rep"), "rep", "left_semi")
+    first = staged(stars_verified(stars, texts, similarity, width), "near-stars")
+    comp = staged(components(first.where("near").select("a", "b")), "near-components")
+    placed = first.join(comp, first["b"] == comp["node"], "left").select("a", "b", "common", "weight", "beyond", F.coalesce("comp", "b").alias("comp"))
+    placed = staged(placed, "near-placed")
+    # the hub's part alone can make two texts near only where it is most of both
+    least = similarity / (1 + similarity)
+    one = placed.where(F.col("common") >= similarity * F.col("weight") - 1e-9).select("a", "b", "common", "weight", "comp")
+    two = one.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("common").alias("common2"), F.col("weight").alias("weight2"), F.col("comp").alias("comp2"))
+    by_hub = one.join(two, (F.col("a") == F.col("a2")) & (F.col("comp") < F.col("comp2")) & (F.least("common", "common2") >= least * (F.col("weight") + F.col("weight2")) - 1e-9))
+    beyond = placed.select("a", "b", "comp", F.explode("beyond").alias("s"))
+    mixed = beyond.groupBy("a", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("a", "s")
+    beyond = staged(beyond.join(mixed, ["a", "s"]), "near-beyond")
+    other = beyond.select("a", "s", F.col("b").alias("b2"), F.col("comp").alias("comp2"))
+    by_rest = beyond.join(other, ["a", "s"]).where("comp < comp2")
+    rest = by_hub.select("b", "b2").unionByName(by_rest.select("b", "b2")).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
     second = verified(rest, texts, similarity, width)
     links = staged(second.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))), "near-links")
     final = components(links)
