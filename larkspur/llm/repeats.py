@@ -26,11 +26,11 @@ from larkspur.llm.shared import documents, shared_dir, staged
 #: Bytes of a repeat, and of a gram that can be an anchor.
 LENGTH = 50
 GRAM = 16
-#: Windows in a piece at most, so that rounds are bounded.
-WINDOWS = 64
+#: Windows in a piece at most, so that rounds are bounded; an anchor that comes once is in 35 windows.
+WINDOWS = 35
 #: Anchors in a bucket, about; pieces indexed together, about.
 BUCKET_ANCHORS = 150_000
-BLOCK = 16_000
+BLOCK = 2_000
 _LAST = np.iinfo(np.int64).max  # the order of a null id
 
 
@@ -74,10 +74,10 @@ def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[
     end_mark, kind = (255, np.uint8) if not (data == 255).any() else (256, np.uint16)
     ends = np.cumsum(sizes)
     bwt = data[ends - 1].astype(kind)
-    lcp, who, fresh = np.zeros(n, np.uint8), np.arange(n, dtype=np.int64) << 16, np.ones(n, bool)
+    small = np.int32 if n < 1 << 15 else np.int64
+    lcp, who, fresh = np.zeros(n, np.uint8), np.arange(n, dtype=small) << 16, np.ones(n, bool)
     for j in range(1, top + 1):
-        order = np.argsort(bwt, kind="stable")
-        order = order[: int(np.searchsorted(bwt[order], end_mark))]
+        order = np.argsort(bwt, kind="stable")[: len(bwt) - np.count_nonzero(bwt == end_mark)]
         is_new = fresh[order]
         at = np.flatnonzero(is_new)
         piece = who[order[at]] >> 16
@@ -85,10 +85,7 @@ def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[
         touched = is_new.copy()
         touched[1:] |= is_new[:-1]
         t = np.flatnonzero(touched)
-        symbols = bwt[order]
-        same = np.zeros(len(t), bool)
-        inner = t > 0
-        same[inner] = symbols[t[inner]] == symbols[t[inner] - 1]
+        same = (bwt[order[t]] == bwt[order[t - 1]]) & (t > 0)
         value = np.zeros(len(t), np.uint8)
         if same.any():
             lo, hi = order[t[same] - 1] + 1, order[t[same]]
@@ -109,7 +106,7 @@ def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[
         grown[old] = lcp
         grown[n + t] = value
         lcp = grown
-        grown = np.empty(size, np.int64)
+        grown = np.empty(size, small)
         grown[old], grown[fresh] = who, piece << 16 | j
         who = grown
     piece, size = who >> 16, who & 0xFFFF
@@ -123,6 +120,36 @@ def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[
     return np.split(out, base[1:-1])
 
 
+def _pack(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
+    """Anchors of one bucket in a small string: the last 40 bits of the hash, id steps, starts, numbers of windows.
+
+    Beside the bucket's own bits 40 are enough to tell anchors apart; a chance match only lets some text
+    through to the index, which compares whole windows.
+    """
+    import zstandard
+
+    low = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    parts = (np.diff(doc, prepend=0).astype("<i8"), start.astype("<i4"), n.astype(np.int8))
+    return len(h).to_bytes(4, "little") + low.tobytes() + zstandard.compress(b"".join(np.ascontiguousarray(_planes(x)).tobytes() for x in parts), 3)
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of the same rank side by side, which pack better."""
+    return x.view(np.uint8).reshape(len(x), -1).T
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    import zstandard
+
+    at = int.from_bytes(blob[:4], "little")
+    rest = zstandard.decompress(blob[4 + 5 * at :])
+    h = np.zeros((at, 8), np.uint8)
+    h[:, :5] = np.frombuffer(blob, np.uint8, at * 5, 4).reshape(at, 5)
+    planes = np.frombuffer(rest, np.uint8)
+    back = lambda lo, width, kind: np.ascontiguousarray(planes[lo * at : (lo + width) * at].reshape(width, at).T).view(kind)[:, 0]
+    return h.view("<i8")[:, 0], np.cumsum(back(0, 8, "<i8")), back(8, 4, "<i4"), back(12, 1, np.int8)
+
+
 def _zip(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row_key (of id and text, for tables that repeat an id), and the text compressed for the way."""
 
@@ -153,41 +180,43 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
                 order = np.argsort(bucket.astype(np.uint16 if bits <= 16 else np.int64), kind="stable")
                 cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
-                lists = lambda x, kind: pa.ListArray.from_arrays(pa.array(np.append(cuts, len(order)).astype(np.int32)), pa.array(x[order], kind))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts].astype(np.int32)), lists(h.view(np.int64), pa.int64()), lists(ids[lo + row], pa.int64()), lists(start.astype(np.int32), pa.int32()), lists(n.astype(np.int8), pa.int8())], names=["bucket", "h", "doc", "start", "n"])
+                sorted_ = [x[order] for x in (h, ids[lo + row], start, n)]
+                blobs = [_pack(*(x[i:j] for x in sorted_)) for i, j in zip(cuts, np.append(cuts[1:], len(order)))]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def shared(batches):
-        def found(held):
-            h, doc, start, n = (np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in c]) for c in zip(*held))
+        def found(bucket, held):
+            h, doc, start, n = (np.concatenate(c) for c in zip(*held))
             order = np.argsort(h, kind="stable")
             h, doc, start, n = h[order], doc[order], start[order], n[order]
             heads = np.flatnonzero(np.diff(h, prepend=h[0] ^ 1))
             many = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
             keep = np.repeat(many, np.diff(np.append(heads, len(h))))
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, n, h)], names=["doc_id", "start", "n", "h"])
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, n, h | (int(bucket) << 40))], names=["doc_id", "start", "n", "h"])
 
         now, held = None, []
         for b in batches:
-            buckets = b.column(0).to_numpy()
-            for i in range(b.num_rows):
-                if buckets[i] != now:
+            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if bucket != now:
                     if held:
-                        yield found(held)
-                    now, held = buckets[i], []
-                held.append([b.column(c).slice(i, 1) for c in range(1, 5)])
+                        yield found(now, held)
+                    now, held = bucket, []
+                held.append(_unpack(blob))
         if held:
-            yield found(held)
+            yield found(now, held)
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text.cast("binary").alias("text"))
-    packed = rows.mapInArrow(scan, "bucket int, h array<long>, doc array<long>, start array<int>, n array<tinyint>")
+    packed = rows.mapInArrow(scan, "bucket int, blob binary")
     live = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "doc_id long, start int, n tinyint, h long")
     places = live.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "n", "h")).alias("places"))
 
     def cut(batches):
         import zstandard
 
-        unzip = zstandard.ZstdDecompressor()
+        unzip, said = zstandard.ZstdDecompressor(), {}
         for b in batches:
+            order = np.argsort(b.column(0).to_numpy(), kind="stable")  # so that a piece is first said by its smallest id here
+            b = b.take(pa.array(order))
             docs_, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
             p = b.column(3)
             flat = p.flatten()
@@ -195,20 +224,35 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             row = np.repeat(np.arange(b.num_rows), counts)
             start, n, h = (flat.field(k).to_numpy() for k in range(3))
             texts = [unzip.decompress(z) for z in b.column(2).to_pylist()]
-            pieces = [texts[r][s : s + k + length - 1] for r, s, k in zip(row.tolist(), start.tolist(), n.tolist())]
+            buf = np.frombuffer(b"".join(texts), np.uint8)
+            at = (np.cumsum([0] + [len(t) for t in texts])[:-1])[row] + start
+            sid = bv.spans_hash(buf, at, at + n + length - 1).view(np.int64) if len(row) else np.zeros(0, np.int64)
+            pieces: list = [None] * len(row)
+            if len(said) > 1_000_000:
+                said.clear()
+            for i, (r, s, k, key) in enumerate(zip(row.tolist(), start.tolist(), n.tolist(), zip(h.tolist(), sid.tolist()))):
+                if said.get(key, _LAST + 1) > docs_[r]:
+                    said[key] = docs_[r]
+                    pieces[i] = texts[r][s : s + k + length - 1]
             for lo in range(0, len(row), 100_000):
                 s = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(docs_[row[s]]), pa.array(keys[row[s]]), pa.array(start[s]), pa.array(h[s]), pa.array(pieces[s], pa.binary())], names=["doc_id", "row_key", "start", "h", "piece"])
+                yield pa.RecordBatch.from_arrays([pa.array(docs_[row[s]]), pa.array(keys[row[s]]), pa.array(start[s]), pa.array(h[s]), pa.array(sid[s]), pa.array(pieces[s], pa.binary())], names=["doc_id", "row_key", "start", "h", "sid", "piece"])
 
     whole = _zip(docs, id_col, text_col)
-    cuts = whole.join(places, whole["doc_id"] == places["d"]).select("doc_id", "row_key", "z", "places").mapInArrow(cut, "doc_id long, row_key long, start int, h long, piece binary")
-    cuts = staged(cuts.withColumn("sid", F.xxhash64("piece")), "repeat-pieces")
-    contents = cuts.groupBy("h", "sid", "piece").agg(F.min("doc_id").alias("owner")).where(F.octet_length("piece") >= length)
+    cuts = whole.join(places, whole["doc_id"] == places["d"]).select("doc_id", "row_key", "z", "places").mapInArrow(cut, "doc_id long, row_key long, start int, h long, sid long, piece binary")
+    cuts = staged(cuts, "repeat-pieces")
+    contents = cuts.where(F.octet_length("piece") >= length).groupBy("h", "sid", "piece").agg(F.min("doc_id").alias("owner"))
 
     def sort(batches):
         def solved(held):
             h, sid, piece, owner = (np.concatenate(c) for c in zip(*held))
-            lists = index(piece.tolist(), owner, length)
+            # a collection of one string has nothing to sort: all its windows are its owner's
+            many = np.zeros(len(h), bool)
+            many[1:] = h[1:] == h[:-1]
+            many[:-1] |= many[1:]
+            lists = [np.full(len(p) - length + 1, o) for p, o in zip(piece, owner)]
+            for i, own in zip(np.flatnonzero(many), index(piece[many].tolist(), owner[many], length) if many.any() else ()):
+                lists[i] = own
             return pa.RecordBatch.from_arrays([pa.array(h), pa.array(sid), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)), pa.array(np.concatenate(lists)))], names=["h", "sid", "least"])
 
         held, size, last = [], 0, None
