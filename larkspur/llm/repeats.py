@@ -31,6 +31,9 @@ WINDOWS = 35
 #: Anchors in a bucket, about; pieces indexed together, about.
 BUCKET_ANCHORS = 150_000
 BLOCK = 2_000
+#: Documents cut together; pieces whose bytes a task remembers to have written (then it may write them again).
+ROWS = 400
+SAID = 200_000
 _LAST = np.iinfo(np.int64).max  # the order of a null id
 
 
@@ -215,28 +218,28 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         unzip, said = zstandard.ZstdDecompressor(), {}
         for b in batches:
-            order = np.argsort(b.column(0).to_numpy(), kind="stable")  # so that a piece is first said by its smallest id here
-            b = b.take(pa.array(order))
-            docs_, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-            p = b.column(3)
-            flat = p.flatten()
-            counts = np.diff(p.offsets.to_numpy())
-            row = np.repeat(np.arange(b.num_rows), counts)
-            start, n, h = (flat.field(k).to_numpy() for k in range(3))
-            texts = [unzip.decompress(z) for z in b.column(2).to_pylist()]
-            buf = np.frombuffer(b"".join(texts), np.uint8)
-            at = (np.cumsum([0] + [len(t) for t in texts])[:-1])[row] + start
-            sid = bv.spans_hash(buf, at, at + n + length - 1).view(np.int64) if len(row) else np.zeros(0, np.int64)
-            pieces: list = [None] * len(row)
-            if len(said) > 1_000_000:
-                said.clear()
-            for i, (r, s, k, key) in enumerate(zip(row.tolist(), start.tolist(), n.tolist(), zip(h.tolist(), sid.tolist()))):
-                if said.get(key, _LAST + 1) > docs_[r]:
-                    said[key] = docs_[r]
-                    pieces[i] = texts[r][s : s + k + length - 1]
-            for lo in range(0, len(row), 100_000):
-                s = slice(lo, lo + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(docs_[row[s]]), pa.array(keys[row[s]]), pa.array(start[s]), pa.array(h[s]), pa.array(sid[s]), pa.array(pieces[s], pa.binary())], names=["doc_id", "row_key", "start", "h", "sid", "piece"])
+            order = pa.array(np.argsort(b.column(0).to_numpy(), kind="stable"))  # so that a piece is first said by its smallest id here
+            for at in range(0, b.num_rows, ROWS):
+                if len(said) > SAID:
+                    said.clear()
+                yield pieces_of(b.take(order[at : at + ROWS]), unzip, said)
+
+    def pieces_of(b, unzip, said):
+        docs_, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+        p = b.column(3)
+        flat, counts = p.flatten(), np.diff(p.offsets.to_numpy())
+        row = np.repeat(np.arange(b.num_rows), counts)
+        start, n, h = (flat.field(k).to_numpy() for k in range(3))
+        texts = [unzip.decompress(z) for z in b.column(2).to_pylist()]
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        at = (np.cumsum([0] + [len(t) for t in texts])[:-1])[row] + start
+        sid = bv.spans_hash(buf, at, at + n + length - 1).view(np.int64)
+        pieces: list = [None] * len(row)
+        for i, (r, s, k, key) in enumerate(zip(row.tolist(), start.tolist(), n.tolist(), sid.tolist())):
+            if said.get(key, _LAST + 1) > docs_[r]:
+                said[key] = int(docs_[r])
+                pieces[i] = texts[r][s : s + k + length - 1]
+        return pa.RecordBatch.from_arrays([pa.array(docs_[row]), pa.array(keys[row]), pa.array(start), pa.array(h), pa.array(sid), pa.array(pieces, pa.binary())], names=["doc_id", "row_key", "start", "h", "sid", "piece"])
 
     whole = _zip(docs, id_col, text_col)
     cuts = whole.join(places, whole["doc_id"] == places["d"]).select("doc_id", "row_key", "z", "places").mapInArrow(cut, "doc_id long, row_key long, start int, h long, sid long, piece binary")
