@@ -1 +1,6 @@
+"""Relational and time-series operators composed from Spark's own."""
 
+from larkspur.operators.joins import asof_join, band_join, salted_join
+from larkspur.operators.timeseries import fill_forward, funnel, rollup, sessions
+
+__all__ = ["asof_join", "band_join", "fill_forward", "funnel", "rollup", "salted_join", "sessions"]

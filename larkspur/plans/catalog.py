@@ -1,32 +1,237 @@
-"""Query catalog: name -> callable(spark, sf_dir), and name -> SQL text."""
+"""Query catalog: name -> callable(spark, sf_dir), and name -> SQL text for the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur import operators as ops
+from larkspur.functions import cosine, safe_ratio
 from larkspur.sources import read_table
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of (t), where t(name) reads a table, under its own name."""
+
+    def register(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: read_table(spark, sf_dir, name))
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+@query("""
+SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
+FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
+GROUP BY c_custkey, c_name ORDER BY revenue DESC, c_custkey LIMIT 10""")
+def top_customers(t):
+    joined = t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey")).join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    return joined.groupBy("c_custkey", "c_name").agg(F.round(F.sum(F.expr("l_extendedprice * (1 - l_discount)")), 2).alias("revenue")).orderBy(F.desc("revenue"), "c_custkey").limit(10)
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price,
+       round(avg(l_discount), 6) AS avg_discount, count(*) AS n
+FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL""")
+def pricing_summary(t):
+    return t("lineitem").where("l_shipdate <= TIMESTAMP_NTZ '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(
+        F.sum("l_quantity").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.round(F.avg("l_discount"), 6).alias("avg_discount"), F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderdate < TIMESTAMP '1998-01-01' AND o_totalprice BETWEEN 1000 AND 200000 AND o_orderpriority IN ('1-URGENT', '2-HIGH')""")
+def filtered_orders(t):
+    d = F.col("o_orderdate")
+    return t("orders").where((d >= F.expr("TIMESTAMP_NTZ '1997-01-01'")) & (d < F.expr("TIMESTAMP_NTZ '1998-01-01'")) & F.col("o_totalprice").between(1000, 200000) & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("""
+SELECT n_name, c_mktsegment, count(*) AS n, grouping(n_name) + 0 AS g
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)""")
+def segment_rollup(t):
+    return t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).rollup("n_name", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.grouping("n_name").cast("long").alias("g"))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def order_cube(t):
+    return t("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished,
+       median(o_totalprice) AS mid FROM orders GROUP BY o_orderpriority""")
+def distinct_and_filtered(t):
+    return t("orders").groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("customers"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.median("o_totalprice").alias("mid"))
+
+
+@query("""
+SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_pop(l_quantity), 6) AS vp, round(corr(l_quantity, l_extendedprice), 6) AS c
+FROM lineitem GROUP BY l_returnflag""")
+def moments(t):
+    return t("lineitem").groupBy("l_returnflag").agg(F.round(F.stddev_samp("l_quantity"), 6).alias("sd"), F.round(F.var_pop("l_quantity"), 6).alias("vp"), F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("c"))
+
+
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'")
+def left_join(t):
+    return t("customer").join(t("orders"), (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderstatus") == "P"), "left").select("c_custkey", "o_orderkey")
+
+
+@query("SELECT c_nationkey, s_nationkey, c_custkey, s_suppkey FROM (FROM customer WHERE c_acctbal > 9900) FULL JOIN (FROM supplier WHERE s_acctbal > 9000) ON c_nationkey = s_nationkey")
+def full_join(t):
+    return t("customer").where("c_acctbal > 9900").join(t("supplier").where("s_acctbal > 9000"), F.col("c_nationkey") == F.col("s_nationkey"), "full").select("c_nationkey", "s_nationkey", "c_custkey", "s_suppkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def semi_join(t):
+    return t("customer").join(t("orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_join(t):
+    return t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("""
+SELECT a.s_suppkey AS supplier, b.c_custkey AS customer FROM supplier a JOIN customer b
+ON b.c_acctbal BETWEEN a.s_acctbal - 2 AND a.s_acctbal + 2""")
+def band_join(t):
+    return ops.band_join(t("supplier"), t("customer"), "s_acctbal", "c_acctbal", -2.0, 2.0).select(F.col("s_suppkey").alias("supplier"), F.col("c_custkey").alias("customer"))
+
+
+@query("""
+SELECT p.event_id, p.user_id, v.event_id AS asof_event_id, v.ts AS asof_ts
+FROM (FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""")
+def asof_join(t):
+    e = t("events")
+    return ops.asof_join(e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), ["user_id"], "ts", ["ts", "event_id"]).select("event_id", "user_id", "asof_event_id", "asof_ts")
+
+
+@query("SELECT l_linenumber, p_brand, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL")
+def salted_join(t):
+    right = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_brand")
+    return ops.salted_join(t("lineitem").select("l_partkey", "l_linenumber", "l_orderkey"), right, "l_partkey", 4).groupBy("l_linenumber", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, row_number() OVER w AS rn, rank() OVER w AS rk, dense_rank() OVER w AS dr, lag(o_totalprice) OVER w AS prev,
+       round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def window_functions(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t("orders").select(
+        "o_custkey", "o_orderkey", F.row_number().over(w).alias("rn"), F.rank().over(w).alias("rk"), F.dense_rank().over(w).alias("dr"), F.lag("o_totalprice").over(w).alias("prev"),
+        F.round(F.sum("o_totalprice").over(w.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("running"))
+
+
+@query("""
+SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events""")
+def range_frame(t):
+    seconds = F.unix_micros(F.col("ts").cast("timestamp"))
+    return t("events").select("event_id", F.count(F.lit(1)).over(Window.partitionBy("user_id").orderBy(seconds).rangeBetween(-86_400_000_000, 0)).alias("n"))
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3")
+def top_per_group(t):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return t("orders").withColumn("rn", F.row_number().over(w)).where("rn <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("(SELECT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION ALL (SELECT s_nationkey FROM supplier INTERSECT SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+def set_operations(t):
+    a = t("customer").select(F.col("c_nationkey").alias("k")).subtract(t("supplier").where("s_acctbal > 5000").select("s_nationkey"))
+    return a.unionAll(t("supplier").select("s_nationkey").intersect(t("nation").where("n_regionkey = 1").select("n_nationkey")))
+
+
+@query("""
+SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p
+FROM orders GROUP BY ALL""")
+def pivot(t):
+    p = t("orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1)))
+    return p.select("o_orderpriority", *(F.coalesce(F.col(c), F.lit(0)).alias(c.lower()) for c in "FOP"))
+
+
+@query("SELECT p_partkey, 'size' AS field, CAST(p_size AS DOUBLE) AS v FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part")
+def unpivot(t):
+    return t("part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price")).unpivot("p_partkey", ["size", "price"], "field", "v")
+
+
+@query("""SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type""")
+def json_fields(t):
+    return t("events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k"))
+
+
+@query("""
+SELECT upper(p_brand) AS brand, regexp_replace(lower(p_name), '[^a-z]+', '_', 'g') AS slug, md5(p_type) AS m, length(p_name) AS n, split_part(p_type, ' ', 1) AS head FROM part""")
+def string_functions(t):
+    return t("part").select(F.upper("p_brand").alias("brand"), F.regexp_replace(F.lower("p_name"), "[^a-z]+", "_").alias("slug"), F.md5("p_type").alias("m"), F.length("p_name").cast("long").alias("n"), F.split_part("p_type", F.lit(" "), F.lit(1)).alias("head"))
+
+
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y, CAST(quarter(o_orderdate) AS INT) AS q, CAST(week(o_orderdate) AS INT) AS w, CAST(dayofweek(o_orderdate) AS INT) AS d, CAST(datediff('day', TIMESTAMP '1995-01-01', o_orderdate) AS INT) AS age FROM orders")
+def date_functions(t):
+    d = F.col("o_orderdate")
+    return t("orders").select("o_orderkey", F.year(d).alias("y"), F.quarter(d).alias("q"), F.weekofyear(d).alias("w"), (F.dayofweek(d) - 1).alias("d"), F.datediff(d, F.lit("1995-01-01").cast("date")).alias("age"))
+
+
+@query("""
+SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim
+FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.vec_id < 20""")
+def cosine_pairs(t):
+    a = t("embeddings").where("vec_id < 20").select("vec_id", "label", F.col("embedding").alias("ea"))
+    b = t("embeddings").select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("eb"))
+    return a.join(b, "label").where("vec_id < other").select("vec_id", "other", F.round(cosine(F.col("ea"), F.col("eb")), 5).alias("sim"))
+
+
+@query("SELECT label, i, round(avg(v), 5) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")
+def explode_mean(t):
+    return t("embeddings").select("label", F.posexplode("embedding").alias("i", "v")).groupBy("label", F.col("i").cast("long").alias("i")).agg(F.round(F.avg("v"), 5).alias("mean"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def hourly_rollup(t):
+    return ops.rollup(t("events"), "1 hour", ["event_type"], {"n": F.count(F.lit(1)), "total": F.round(F.sum("value"), 4)})
+
+
+@query("""
+WITH m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR, true) AS b FROM events),
+s AS (SELECT *, sum(CAST(b AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
+SELECT user_id, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY user_id, s""")
+def sessions(t):
+    return ops.sessions(t("events"), 7200, "user_id")
+
+
+@query("""
+WITH v AS (SELECT user_id, min(ts) AS t1 FROM events WHERE event_type = 'view' GROUP BY 1),
+c AS (SELECT user_id, min(e.ts) AS t2 FROM events e JOIN v USING (user_id) WHERE event_type = 'click' AND e.ts > t1 GROUP BY 1),
+p AS (SELECT user_id, min(e.ts) AS t3 FROM events e JOIN c USING (user_id) WHERE event_type = 'purchase' AND e.ts > t2 GROUP BY 1)
+SELECT user_id, CAST((t1 IS NOT NULL) AS INT) + CAST((t2 IS NOT NULL) AS INT) + CAST((t3 IS NOT NULL) AS INT) AS depth
+FROM (SELECT DISTINCT user_id FROM events WHERE event_type IN ('view', 'click', 'purchase')) LEFT JOIN v USING (user_id) LEFT JOIN c USING (user_id) LEFT JOIN p USING (user_id)""")
+def funnel(t):
+    return ops.funnel(t("events"), ["view", "click", "purchase"], "user_id")
+
+
+@query("SELECT event_id, last_value(CASE WHEN event_type = 'view' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS v FROM events")
+def fill_forward(t):
+    e = t("events").select("event_id", "user_id", "ts", F.when(F.col("event_type") == "view", F.col("value")).alias("v"))
+    return ops.fill_forward(e, "user_id", "ts", "v").select("event_id", "v")
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, c_acctbal / nullif(c_nationkey, 0) AS per FROM customer")
+def case_and_ratio(t):
+    b = F.col("c_acctbal")
+    return t("customer").select("c_custkey", F.when(b < 0, "debt").when(b < 5000, "low").otherwise("high").alias("band"), safe_ratio("c_acctbal", "c_nationkey").alias("per"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.9 FROM orders)")
+def scalar_subquery(t):
+    return t("orders").crossJoin(F.broadcast(t("orders").agg((F.avg("o_totalprice") * 1.9).alias("limit")))).where("o_totalprice > limit").select("o_orderkey")
+
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten customers with the largest revenue: joins, aggregation, top-k."""
-    revenue = F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return (
-        read_table(spark, sf_dir, "customer")
-        .join(read_table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
-        .join(read_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
-        .groupBy("c_custkey", "c_name")
-        .agg(F.round(revenue, 2).alias("revenue"))
-        .orderBy(F.desc("revenue"), "c_custkey")
-        .limit(10)
-    )
-
-
-QUERIES = {"top_customers": flagship}
-
-ORACLES = {
-    "top_customers": """
-        SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
-        FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
-        GROUP BY c_custkey, c_name ORDER BY revenue DESC, c_custkey LIMIT 10"""
-}
+flagship = QUERIES["top_customers"]

@@ -1,5 +1,6 @@
 """Table readers and writers."""
 
+from larkspur.sources.formats import FORMATS, read_files, write_table
 from larkspur.sources.tables import TABLES, read_table
 
-__all__ = ["TABLES", "read_table"]
+__all__ = ["FORMATS", "TABLES", "read_files", "read_table", "write_table"]
