@@ -231,8 +231,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         row = np.repeat(np.arange(b.num_rows), counts)
         start, n, h = (flat.field(k).to_numpy() for k in range(3))
         texts = [unzip.decompress(z) for z in b.column(2).to_pylist()]
+        sizes = np.array([len(t) for t in texts])
+        own = start + n.astype(np.int64) + length - 1 <= sizes[row]  # where ids repeat, another row's place may lie outside
+        row, start, n, h = row[own], start[own], n[own], h[own]
         buf = np.frombuffer(b"".join(texts), np.uint8)
-        at = (np.cumsum([0] + [len(t) for t in texts])[:-1])[row] + start
+        at = (np.cumsum(sizes) - sizes)[row] + start
         sid = bv.spans_hash(buf, at, at + n + length - 1).view(np.int64)
         pieces: list = [None] * len(row)
         for i, (r, s, k, key) in enumerate(zip(row.tolist(), start.tolist(), n.tolist(), sid.tolist())):
