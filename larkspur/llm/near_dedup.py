@@ -35,6 +35,8 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
+#: Windows known to be frequent, at most; see ``frequent_windows``.
+FREQUENT = 20_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -161,12 +163,29 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
-def compare_with_hub(a: pa.Array, b: pa.Array, similarity: float, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def frequent_windows(texts: DataFrame, width: int) -> np.ndarray:
+    """Hashes of the windows that most texts share, sorted; at most FREQUENT.
+
+    They only order a search, so that it meets rare windows first; results do not depend on them.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offsets in bv.chunks(batch.column(0)):
+                h, n = np.unique(multisets(buf, offsets, width)[1], return_counts=True)
+                many = n >= max(3, (hi - lo) // 400)
+                yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(n[many])], names=["h", "n"])
+
+    found = texts.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT)
+    return np.sort(np.array([r.h for r in found.collect()], np.int64)).view(np.uint64)
+
+
+def compare_with_hub(a: pa.Array, b: pa.Array, similarity: float, width: int, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """For pairs of hub and text: similarity, overlap, the text's weight, and a prefix of what it has beyond the hub.
 
     A text near this one overlaps it by at least ``similarity`` times its weight, and all but the overlap
-    with the hub lies in what is beyond the hub. Of two such sets, in one order of hashes, the first few
-    elements must meet: as many as are more than what may be missing.
+    with the hub lies in what is beyond the hub. Of two such sets, in one order (windows in ``late`` last,
+    then by hash), the first few elements must meet: as many as are more than what may be missing.
     """
     n = len(a)
     parts = [multisets(buf, off, width) + (first,) for first, _, buf, off in bv.chunks(pa.concat_arrays([a.cast(pa.large_binary()), b.cast(pa.large_binary())]))]
@@ -184,8 +203,9 @@ def compare_with_hub(a: pa.Array, b: pa.Array, similarity: float, width: int) ->
     extra = np.where(doc >= n, np.maximum(w - before, 0), 0)
     at = bv.ranges(np.zeros(len(extra), np.int64), extra)
     who = np.repeat(pair, extra)
-    key = bv.mix(np.repeat(h, extra) + at.astype(np.uint64) * bv.GOLD)
-    order = np.lexsort((key, who))
+    of = np.repeat(h, extra)
+    key = bv.mix(of + at.astype(np.uint64) * bv.GOLD)
+    order = np.lexsort((key, np.isin(of, late), who))
     who, key = who[order], key[order]
     bounds = np.searchsorted(who, np.arange(n + 1))
     size = np.diff(bounds)
@@ -194,14 +214,14 @@ def compare_with_hub(a: pa.Array, b: pa.Array, similarity: float, width: int) ->
     return common / np.maximum(union, 1), common, total[n:], [key[i : i + k].view(np.int64) for i, k in zip(bounds[:-1], take)]
 
 
-def stars_verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+def stars_verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int, late: np.ndarray) -> DataFrame:
     """a (hub), b, near, common, weight, beyond (array of hashes) for each pair of hub and text."""
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 own = batch.slice(lo, 512)
-                sim, common, weight, beyond = compare_with_hub(own.column(2), own.column(3), similarity, width)
+                sim, common, weight, beyond = compare_with_hub(own.column(2), own.column(3), similarity, width, late)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in beyond])]).astype(np.int32)), pa.array(np.concatenate(beyond)))
                 yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sim >= similarity - 1e-12), pa.array(common), pa.array(weight), lists], names=["a", "b", "near", "common", "weight", "beyond"])
 
@@ -227,7 +247,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hubs = members.select("key", "rep").join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct(F.col("reach"), -F.col("rep"))).alias("hub"))
     stars = members.select("key", "rep").join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(central.select("rep"), "rep", "left_semi")
-    first = staged(stars_verified(stars, texts, similarity, width), "near-stars")
+    first = staged(stars_verified(stars, texts, similarity, width, frequent_windows(texts, width)), "near-stars")
     comp = staged(components(first.where("near").select("a", "b")), "near-components")
     placed = first.join(comp, first["b"] == comp["node"], "left").select("a", "b", "common", "weight", "beyond", F.coalesce("comp", "b").alias("comp"))
     placed = staged(placed, "near-placed")
@@ -236,11 +256,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one = placed.where(F.col("common") >= similarity * F.col("weight") - 1e-9).select("a", "b", "common", "weight", "comp")
     two = one.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("common").alias("common2"), F.col("weight").alias("weight2"), F.col("comp").alias("comp2"))
     by_hub = one.join(two, (F.col("a") == F.col("a2")) & (F.col("comp") < F.col("comp2")) & (F.least("common", "common2") >= least * (F.col("weight") + F.col("weight2")) - 1e-9))
-    beyond = placed.select("a", "b", "comp", F.explode("beyond").alias("s"))
+    beyond = placed.select("a", "b", "comp", "common", "weight", F.explode("beyond").alias("s"))
     mixed = beyond.groupBy("a", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("a", "s")
     beyond = staged(beyond.join(mixed, ["a", "s"]), "near-beyond")
-    other = beyond.select("a", "s", F.col("b").alias("b2"), F.col("comp").alias("comp2"))
-    by_rest = beyond.join(other, ["a", "s"]).where("comp < comp2")
+    other = beyond.select("a", "s", F.col("b").alias("b2"), F.col("comp").alias("comp2"), F.col("common").alias("common2"), F.col("weight").alias("weight2"))
+    most = F.least("common", "common2") + F.least(F.col("weight") - F.col("common"), F.col("weight2") - F.col("common2"))
+    by_rest = beyond.join(other, ["a", "s"]).where((F.col("comp") < F.col("comp2")) & (most >= least * (F.col("weight") + F.col("weight2")) - 1e-9))
     rest = by_hub.select("b", "b2").unionByName(by_rest.select("b", "b2")).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
     second = verified(rest, texts, similarity, width)
     links = staged(second.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))), "near-links")
