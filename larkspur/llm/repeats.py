@@ -28,12 +28,12 @@ LENGTH = 50
 GRAM = 16
 #: Windows in a piece at most, so that rounds are bounded; an anchor that comes once is in 35 windows.
 WINDOWS = 35
-#: Anchors in a bucket, about; pieces indexed together, about.
-BUCKET_ANCHORS = 150_000
+#: Anchors in a bucket, about; pieces indexed together, about; documents cut together.
+BUCKET_ANCHORS = 1_000_000
 BLOCK = 2_000
-#: Documents cut together; pieces whose bytes a task remembers to have written (then it may write them again).
-ROWS = 400
-SAID = 200_000
+ROWS = 1_500
+#: Texts of one anchor from which on its windows are matched by a key each.
+HOT = 200_000
 _LAST = np.iinfo(np.int64).max  # the order of a null id
 
 
@@ -67,8 +67,8 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
 def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """For each piece, the smallest owner of each of its windows among all pieces.
 
-    ``rows`` of the transform, in sorted order of their suffixes: ``bwt`` is the symbol before the suffix,
-    ``lcp`` its common prefix with the suffix above (up to ``length``), ``who`` its piece and size.
+    ``rows`` of the transform are in the order of their suffixes; each has its piece and size, its common
+    prefix with the suffix above (up to ``length``), and the symbol before it.
     """
     n = len(pieces)
     sizes = np.array([len(p) for p in pieces])
@@ -76,42 +76,38 @@ def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[
     top = int(sizes.max())
     end_mark, kind = (255, np.uint8) if not (data == 255).any() else (256, np.uint16)
     ends = np.cumsum(sizes)
-    bwt = data[ends - 1].astype(kind)
-    small = np.int32 if n < 1 << 15 else np.int64
-    lcp, who, fresh = np.zeros(n, np.uint8), np.arange(n, dtype=small) << 16, np.ones(n, bool)
+    # a row: piece, size of the suffix (16 bits), common prefix (8), symbol before (16)
+    rows = np.arange(n) << 40 | data[ends - 1]
+    fresh = np.ones(n, bool)
     for j in range(1, top + 1):
+        bwt = rows.astype(kind)
         order = np.argsort(bwt, kind="stable")[: len(bwt) - np.count_nonzero(bwt == end_mark)]
         is_new = fresh[order]
         at = np.flatnonzero(is_new)
-        piece = who[order[at]] >> 16
+        piece = rows[order[at]] >> 40
         # common prefixes of the new suffixes and of those that follow them
         touched = is_new.copy()
         touched[1:] |= is_new[:-1]
         t = np.flatnonzero(touched)
         same = (bwt[order[t]] == bwt[order[t - 1]]) & (t > 0)
-        value = np.zeros(len(t), np.uint8)
+        value = np.zeros(len(t), np.int64)
         if same.any():
             lo, hi = order[t[same] - 1] + 1, order[t[same]]
             gap = hi - lo + 1
-            value[same] = np.minimum(np.minimum.reduceat(lcp[bv.ranges(lo, gap)], np.cumsum(gap) - gap), length - 1) + 1
+            lcp = (rows >> 16).astype(np.uint8)
+            value[same] = np.minimum(np.minimum.reduceat(lcp[bv.ranges(lo, gap)], np.cumsum(gap) - gap), length - 1).astype(np.int64) + 1
         # write the next transform: old rows keep their order between the new ones
-        size = len(bwt) + len(at)
-        fresh = np.zeros(size, bool)
-        fresh[n + at] = True
-        old = ~fresh
         more = j < sizes[piece]
-        symbol = np.full(len(piece), end_mark, kind)
+        symbol = np.full(len(piece), end_mark)
         symbol[more] = data[ends[piece[more]] - 1 - j]
-        grown = np.empty(size, kind)
-        grown[old], grown[fresh] = bwt, symbol
-        bwt = grown
-        grown = np.empty(size, np.uint8)
-        grown[old] = lcp
-        grown[n + t] = value
-        lcp = grown
-        grown = np.empty(size, small)
-        grown[old], grown[fresh] = who, piece << 16 | j
-        who = grown
+        fresh = np.zeros(len(rows) + len(at), bool)
+        fresh[n + at] = True
+        grown = np.empty(len(fresh), np.int64)
+        grown[~fresh] = rows
+        grown[n + at] = piece << 40 | j << 24 | symbol
+        rows = grown
+        rows[n + t] = (rows[n + t] & ~(0xFF << 16)) | value << 16
+    who, lcp = rows >> 24, (rows >> 16) & 0xFF
     piece, size = who >> 16, who & 0xFFFF
     heads = np.flatnonzero(lcp < length)
     least = np.minimum.reduceat(owner[piece], heads)
@@ -123,34 +119,46 @@ def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[
     return np.split(out, base[1:-1])
 
 
-def _pack(h: np.ndarray, doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> bytes:
-    """Anchors of one bucket in a small string: the last 40 bits of the hash, id steps, starts, numbers of windows.
-
-    Beside the bucket's own bits 40 are enough to tell anchors apart; a chance match only lets some text
-    through to the index, which compares whole windows.
-    """
+def _pack(*columns: np.ndarray, raw: bytes = b"") -> bytes:
+    """Columns of equal length, and bytes after them, in one compressed string for the way."""
     import zstandard
 
-    low = h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    parts = (np.diff(doc, prepend=0).astype("<i8"), start.astype("<i4"), n.astype(np.int8))
-    return len(h).to_bytes(4, "little") + low.tobytes() + zstandard.compress(b"".join(np.ascontiguousarray(_planes(x)).tobytes() for x in parts), 3)
+    head = ",".join(c.dtype.str for c in columns).encode()
+    parts = [c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in map(np.ascontiguousarray, columns)]  # bytes of one rank side by side
+    return len(columns[0]).to_bytes(4, "little") + len(head).to_bytes(2, "little") + head + zstandard.compress(b"".join(parts) + raw, 3)
 
 
-def _planes(x: np.ndarray) -> np.ndarray:
-    """Bytes of the same rank side by side, which pack better."""
-    return x.view(np.uint8).reshape(len(x), -1).T
+def _unpack(blob: bytes) -> tuple[list[np.ndarray], bytes]:
+    import zstandard
 
+    n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:6], "little")
+    data, at, out = zstandard.decompress(blob[6 + size :]), 0, []
+    for kind in blob[6 : 6 + size].decode().split(","):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind)[:, 0])
+        at += n * width
+    return out, data[at:]
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    import zstandard
 
-    at = int.from_bytes(blob[:4], "little")
-    rest = zstandard.decompress(blob[4 + 5 * at :])
-    h = np.zeros((at, 8), np.uint8)
-    h[:, :5] = np.frombuffer(blob, np.uint8, at * 5, 4).reshape(at, 5)
-    planes = np.frombuffer(rest, np.uint8)
-    back = lambda lo, width, kind: np.ascontiguousarray(planes[lo * at : (lo + width) * at].reshape(width, at).T).view(kind)[:, 0]
-    return h.view("<i8")[:, 0], np.cumsum(back(0, 8, "<i8")), back(8, 4, "<i4"), back(12, 1, np.int8)
+def _by_bucket(bucket: np.ndarray):
+    """(bucket, numbers of its rows) for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    return [(int(bucket[order[i]]), order[i:j]) for i, j in zip(cuts, np.append(cuts[1:], len(order)))]
+
+
+def _buckets(batches):
+    """(bucket, its blobs) from rows (bucket, blob) sorted by bucket."""
+    now, held = None, []
+    for b in batches:
+        for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if bucket != now and held:
+                yield now, held
+                held = []
+            now = bucket
+            held.append(_unpack(blob))
+    if held:
+        yield now, held
 
 
 def _zip(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -168,8 +176,12 @@ def _zip(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_key long, z binary")
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """doc_id, row_key, spans (array of lo, hi byte offsets, may overlap) for documents with repeats."""
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """doc_id, row_key, spans (array of lo, hi byte offsets, may overlap) for documents with repeats.
+
+    Equal texts go through the index as one, owned by their smallest id; its later copies are repeats from
+    end to end.
+    """
     gram = min(GRAM, max(1, length // 2))
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -180,128 +192,161 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ids = b.column(0).to_numpy()
             for lo, _, buf, offsets in bv.chunks(b.column(1)):
                 row, start, n, h = anchors(buf, offsets, length, gram)
-                bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
-                order = np.argsort(bucket.astype(np.uint16 if bits <= 16 else np.int64), kind="stable")
-                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
-                sorted_ = [x[order] for x in (h, ids[lo + row], start, n)]
-                blobs = [_pack(*(x[i:j] for x in sorted_)) for i, j in zip(cuts, np.append(cuts[1:], len(order)))]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+                whole = bv.spans_hash(buf, offsets[:-1], offsets[1:])
+                out = []
+                for bucket, own in _by_bucket((h >> np.uint64(64 - bits)).astype(np.int32)):
+                    rows_, at = np.unique(row[own], return_inverse=True)
+                    texts = _pack(ids[lo + rows_], whole[rows_])
+                    low = np.ascontiguousarray(h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+                    out.append((bucket, len(texts).to_bytes(4, "little") + texts + _pack(np.diff(at, prepend=0).astype(np.int32), start[own].astype(np.int32), n[own].astype(np.int8), raw=low)))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
 
     def shared(batches):
         def found(bucket, held):
-            h, doc, start, n = (np.concatenate(c) for c in zip(*held))
-            order = np.argsort(h, kind="stable")
-            h, doc, start, n = h[order], doc[order], start[order], n[order]
-            heads = np.flatnonzero(np.diff(h, prepend=h[0] ^ 1))
-            many = np.minimum.reduceat(doc, heads) < np.maximum.reduceat(doc, heads)
-            keep = np.repeat(many, np.diff(np.append(heads, len(h))))
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, n, h | (int(bucket) << 40))], names=["doc_id", "start", "n", "h"])
+            parts = []
+            for blob in held:
+                cut = 4 + int.from_bytes(blob[:4], "little")
+                (ids, whole), _ = _unpack(blob[4:cut])
+                (step, start, n), low = _unpack(blob[cut:])
+                h = np.zeros((len(n), 8), np.uint8)
+                h[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+                at = np.cumsum(step)
+                parts.append((h.view("<i8")[:, 0], whole[at], ids[at], start, n))
+            h, whole, doc, start, n = (np.concatenate(c) for c in zip(*parts))
+            # only anchors of more than one text, and of each text its first document
+            order = np.lexsort((doc, whole, h))
+            h, whole, doc, start, n = (x[order] for x in (h, whole, doc, start, n))
+            new_h = np.diff(h, prepend=h[0] ^ 1) != 0
+            new_text = new_h.copy()
+            new_text[1:] |= whole[1:] != whole[:-1]
+            heads, group = np.flatnonzero(new_text), np.cumsum(new_text) - 1
+            texts = np.add.reduceat(new_text, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
+            keep = (texts > 1) & (doc == doc[heads][group])
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, n, h | (bucket << 40), texts > hot)], names=["doc_id", "start", "n", "h", "hot"])
 
         now, held = None, []
         for b in batches:
             for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if bucket != now:
-                    if held:
-                        yield found(now, held)
-                    now, held = bucket, []
-                held.append(_unpack(blob))
+                if bucket != now and held:
+                    yield found(now, held)
+                    held = []
+                now = bucket
+                held.append(blob)
         if held:
             yield found(now, held)
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text.cast("binary").alias("text"))
     packed = rows.mapInArrow(scan, "bucket int, blob binary")
-    live = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "doc_id long, start int, n tinyint, h long")
-    places = live.groupBy(F.col("doc_id").alias("d")).agg(F.collect_list(F.struct("start", "n", "h")).alias("places"))
-
-    def cut(batches):
-        import zstandard
+    live = staged(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "doc_id long, start int, n tinyint, h long, hot boolean"), "repeat-anchors")
 
-        unzip, said = zstandard.ZstdDecompressor(), {}
-        for b in batches:
-            order = pa.array(np.argsort(b.column(0).to_numpy(), kind="stable"))  # so that a piece is first said by its smallest id here
-            for at in range(0, b.num_rows, ROWS):
-                if len(said) > SAID:
-                    said.clear()
-                yield pieces_of(b.take(order[at : at + ROWS]), unzip, said)
-
-    def pieces_of(b, unzip, said):
-        docs_, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+    def pieces_of(b, unzip):
+        """Row, start, windows, anchor and bytes of each place of a batch (doc_id, row_key, z, places)."""
         p = b.column(3)
-        flat, counts = p.flatten(), np.diff(p.offsets.to_numpy())
-        row = np.repeat(np.arange(b.num_rows), counts)
+        flat = p.flatten()
+        row = np.repeat(np.arange(b.num_rows), np.diff(p.offsets.to_numpy()))
         start, n, h = (flat.field(k).to_numpy() for k in range(3))
         texts = [unzip.decompress(z) for z in b.column(2).to_pylist()]
-        sizes = np.array([len(t) for t in texts])
+        sizes = np.array([len(t) for t in texts], np.int64)
         own = start + n.astype(np.int64) + length - 1 <= sizes[row]  # where ids repeat, another row's place may lie outside
         row, start, n, h = row[own], start[own], n[own], h[own]
-        buf = np.frombuffer(b"".join(texts), np.uint8)
-        at = (np.cumsum(sizes) - sizes)[row] + start
-        sid = bv.spans_hash(buf, at, at + n + length - 1).view(np.int64)
-        pieces: list = [None] * len(row)
-        for i, (r, s, k, key) in enumerate(zip(row.tolist(), start.tolist(), n.tolist(), sid.tolist())):
-            if said.get(key, _LAST + 1) > docs_[r]:
-                said[key] = int(docs_[r])
-                pieces[i] = texts[r][s : s + k + length - 1]
-        return pa.RecordBatch.from_arrays([pa.array(docs_[row]), pa.array(keys[row]), pa.array(start), pa.array(h), pa.array(sid), pa.array(pieces, pa.binary())], names=["doc_id", "row_key", "start", "h", "sid", "piece"])
+        return row, start, n, h, [texts[r][s : s + k + length - 1] for r, s, k in zip(row.tolist(), start.tolist(), n.tolist())]
 
-    whole = _zip(docs, id_col, text_col)
-    cuts = whole.join(places, whole["doc_id"] == places["d"]).select("doc_id", "row_key", "z", "places").mapInArrow(cut, "doc_id long, row_key long, start int, h long, sid long, piece binary")
-    cuts = staged(cuts, "repeat-pieces")
-    contents = cuts.where(F.octet_length("piece") >= length).groupBy("h", "sid", "piece").agg(F.min("doc_id").alias("owner"))
+    def cut(batches):
+        import zstandard
 
-    def sort(batches):
-        def solved(held):
-            h, sid, piece, owner = (np.concatenate(c) for c in zip(*held))
+        unzip = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                docs_, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+                row, start, n, h, pieces = pieces_of(b, unzip)
+                out = [(bucket, _pack(h[own], docs_[row[own]], keys[row[own]], start[own], n[own], raw=b"".join(pieces[i] for i in own.tolist()))) for bucket, own in _by_bucket((h >> 37).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+
+    def solve(batches):
+        for _, held in _buckets(batches):
+            h, doc, key, start, n = (np.concatenate(c) for c in zip(*(x for x, _ in held)))
+            size = n.astype(np.int64) + length - 1
+            at = np.concatenate([[0], np.cumsum(size)])
+            data = b"".join(raw for _, raw in held)
+            order = np.argsort(h, kind="stable")
+            # the distinct pieces of each anchor, with their smallest owner
+            number: dict[tuple[int, bytes], int] = {}
+            of, owner, anchor = np.empty(len(h), np.int64), [], []
+            for i, x, d in zip(order.tolist(), h[order].tolist(), doc[order].tolist()):
+                piece = (x, data[at[i] : at[i + 1]])
+                e = number.setdefault(piece, len(owner))
+                if e == len(owner):
+                    owner.append(d)
+                    anchor.append(x)
+                elif d < owner[e]:
+                    owner[e] = d
+                of[i] = e
+            pieces, owner, anchor = [p for _, p in number], np.array(owner), np.array(anchor)
+            del number, data
+            least = [np.full(len(p) - length + 1, o) for p, o in zip(pieces, owner)]
             # a collection of one string has nothing to sort: all its windows are its owner's
-            many = np.zeros(len(h), bool)
-            many[1:] = h[1:] == h[:-1]
+            many = np.zeros(len(anchor), bool)
+            many[1:] = anchor[1:] == anchor[:-1]
             many[:-1] |= many[1:]
-            lists = [np.full(len(p) - length + 1, o) for p, o in zip(piece, owner)]
-            for i, own in zip(np.flatnonzero(many), index(piece[many].tolist(), owner[many], length) if many.any() else ()):
-                lists[i] = own
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(sid), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)), pa.array(np.concatenate(lists)))], names=["h", "sid", "least"])
-
-        held, size, last = [], 0, None
-        for b in batches:
-            h, sid, owner = (b.column(k).to_numpy() for k in (0, 1, 3))
-            piece = np.empty(b.num_rows, object)
-            piece[:] = b.column(2).to_pylist()
-            at = 0
-            while at < len(h):
-                # a block ends with its last anchor: that anchor's rows may go on in the next batch
-                if size >= BLOCK and h[at] != last:
-                    yield solved(held)
-                    held, size = [], 0
-                upto = min(len(h), at + BLOCK)
-                upto = int(np.searchsorted(h[at:], h[upto - 1], side="right")) + at
-                held.append((h[at:upto], sid[at:upto], piece[at:upto], owner[at:upto]))
-                size += upto - at
-                last, at = h[upto - 1], upto
-        if held:
-            yield solved(held)
-
-    solved = contents.select("h", "sid", "piece", "owner").repartition("h").sortWithinPartitions("h").mapInArrow(sort, "h long, sid long, least array<long>")
+            todo = np.flatnonzero(many)
+            while len(todo):
+                upto = int(np.searchsorted(anchor[todo], anchor[todo[min(BLOCK, len(todo)) - 1]], side="right"))
+                for i, own in zip(todo[:upto].tolist(), index([pieces[i] for i in todo[:upto].tolist()], owner[todo[:upto]], length)):
+                    least[i] = own
+                todo = todo[upto:]
+            sizes = np.array([len(x) for x in least])
+            flat, first = np.concatenate(least), np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(h)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n.astype(np.int64)) - n, n)
+            hit = flat[first[of[row]] + place] < doc[row]
+            yield _spans(row[hit], (start[row] + place)[hit], doc, key, length)
+
+    def split(batches):
+        import zstandard
 
-    def mark(batches):
-        for b in batches:
-            doc, key, start = (b.column(k).to_numpy() for k in range(3))
-            least = b.column(3)
-            counts = np.diff(least.offsets.to_numpy())
-            row = np.repeat(np.arange(b.num_rows), counts)
-            hit = least.flatten().to_numpy() < doc[row]
-            at = (start[row] + np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts))[hit]
-            row = row[hit]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
-            a = np.flatnonzero(new)
-            z = np.append(a[1:], len(row)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(key[row[a]]), pa.array(at[a].astype(np.int64)), pa.array((at[z] + length).astype(np.int64))], names=["doc_id", "row_key", "lo", "hi"])
-
-    found = cuts.select("doc_id", "row_key", "start", "h", "sid").join(solved, ["h", "sid"]).select("doc_id", "row_key", "start", "least")
-    return found.mapInArrow(mark, "doc_id long, row_key long, lo long, hi long").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_bytes: bool = False) -> DataFrame:
+        unzip = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                docs_, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+                row, start, n, _, pieces = pieces_of(b, unzip)
+                windows = [p[i : i + length] for p in pieces for i in range(len(p) - length + 1)]
+                row, place = np.repeat(row, n), np.repeat(start, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n.astype(np.int64)) - n, n))
+                yield pa.RecordBatch.from_arrays([pa.array(docs_[row]), pa.array(keys[row]), pa.array(place.astype(np.int64)), pa.array(windows, pa.binary())], names=["doc_id", "row_key", "lo", "w"])
+
+    def with_places(some):
+        places = some.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("start", "n", "h")).alias("places"))
+        whole = _zip(docs, id_col, text_col)
+        return whole.join(places, whole["doc_id"] == places["d"]).select("doc_id", "row_key", "z", "places")
+
+    marks = "doc_id long, row_key long, lo long, hi long"
+    blobs = with_places(live.where("NOT hot")).mapInArrow(cut, "bucket int, blob binary")
+    found = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, marks)
+    if not live.where("hot").isEmpty():
+        # an anchor of very many texts is more than one task should hold: its windows are counted by key, which
+        # combines before it shuffles, and joined back, which can be split
+        windows = staged(with_places(live.where("hot")).mapInArrow(split, "doc_id long, row_key long, lo long, w binary"), "repeat-windows")
+        first = windows.groupBy("w").agg(F.min("doc_id").alias("least"))
+        found = found.unionByName(windows.join(first, "w").where("least < doc_id").select("doc_id", "row_key", "lo", (F.col("lo") + length).alias("hi")))
+    # later copies of a whole text: all their windows are the first one's
+    key, size = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.octet_length(text).cast("long")
+    keys = staged(docs.select(key, F.xxhash64(F.col(id_col), text).alias("row_key"), F.sha2(text, 256).alias("same"), size.alias("hi")).where(F.col("hi") >= length), "repeat-texts")
+    first = keys.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    copies = keys.join(first, "same").where("doc_id > first").select("doc_id", "row_key", F.lit(0).cast("long").alias("lo"), "hi")
+    return found.unionByName(copies).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
+
+def _spans(row: np.ndarray, at: np.ndarray, doc: np.ndarray, key: np.ndarray, length: int) -> pa.RecordBatch:
+    """Runs of consecutive places of a row as byte spans."""
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+    a = np.flatnonzero(new)
+    z = (np.append(a[1:], len(row)) - 1)[: len(a)]
+    return pa.RecordBatch.from_arrays([pa.array(doc[row[a]]), pa.array(key[row[a]]), pa.array(at[a].astype(np.int64)), pa.array((at[z] + length).astype(np.int64))], names=["doc_id", "row_key", "lo", "hi"])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_bytes: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and ``kept`` (binary) if asked for.
 
     Every byte covered by a ``length``-byte string that also starts in a document with a smaller id is
@@ -309,7 +354,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows that share an id do not remove each other's bytes. A text shorter than ``length`` bytes stays
     whole. Texts are bytes: what is kept may cut a character. An empty table gives no rows.
     """
-    spans = removed_spans(docs, id_col, text_col, length).select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "spans")
+    spans = removed_spans(docs, id_col, text_col, length, hot).select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "spans")
 
     def strip(batches):
         import zstandard

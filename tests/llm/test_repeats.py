@@ -42,6 +42,7 @@ def test_against_brute_force(frame):
     rows += [(2000, None), (2001, ""), (2002, "ab" * 700), (2003, "b" + "ab" * 300), (2004, "short"), (2005, "ab" * 700)]
     rows += rows[:2]
     assert got(r.remove_repeats(frame(rows))) == brute(rows)
+    assert got(r.remove_repeats(frame(rows), hot=3)) == brute(rows)
 
 
 def test_kept_bytes(frame):
@@ -76,7 +77,6 @@ def test_index_takes_any_byte():
 
 def test_packing_round_trip():
     rng = np.random.default_rng(4)
-    h, doc = rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.sort(rng.integers(0, 1 << 40, 500))
-    start, n = rng.integers(0, 10**6, 500), rng.integers(1, 36, 500)
-    out = r._unpack(r._pack(h, doc, start, n))
-    assert [x.tolist() for x in out] == [(h & np.uint64((1 << 40) - 1)).tolist(), doc.tolist(), start.tolist(), n.tolist()]
+    columns = [rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(-9, 1 << 40, 500), rng.integers(1, 36, 500).astype(np.int8)]
+    out, raw = r._unpack(r._pack(*columns, raw=b"after"))
+    assert [x.tolist() for x in out] == [x.tolist() for x in columns] and raw == b"after"
