@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="larkspur-")
+            atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         found = _own[app]
     return found.rstrip("/")
 
