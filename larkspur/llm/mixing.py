@@ -90,15 +90,18 @@ def mix_documents(docs: DataFrame, seed: str = SEED, cap: int = CAP) -> DataFram
     Needs doc_id unique and not null. Columns are those of ``docs``. A document without words has nothing
     to take and leaves the mix.
     """
-    plan = plan_mix(docs, seed, cap).where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "whole", "part")
+    plan = plan_mix(docs, seed, cap).where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.struct("size", "whole", "part").alias("mix_of"))
     cols = docs.columns
-    out = docs.join(plan, docs["doc_id"] == F.col("_id")).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int") - F.when(F.col("part") > 0, 0).otherwise(1))))
-    cut = (F.col("_k") == F.col("whole")) & (F.col("part") < F.col("size"))
-    words = F.array_join(F.slice(F.filter(F.split("text", SPACE), lambda w: w != ""), F.lit(1), F.col("part").cast("int")), " ")
-    out = out.withColumn("text", F.when(cut, words).otherwise(F.col("text")))
+    row = docs.select(F.col("doc_id").alias("mix_id"), F.struct(*(F.col(f"`{c}`") for c in cols)).alias("mix_row"))
+    times = F.col("mix_of.whole").cast("int") - F.when(F.col("mix_of.part") > 0, 0).otherwise(1)
+    out = row.join(plan, "mix_id").withColumn("mix_k", F.explode(F.sequence(F.lit(0), times)))
+    cut = (F.col("mix_k") == F.col("mix_of.whole")) & (F.col("mix_of.part") < F.col("mix_of.size"))
+    words = F.filter(F.split("mix_row.text", SPACE), lambda w: w != "")
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("mix_of.part").cast("int")), " ")).otherwise(F.col("mix_row.text"))
+    made = {"text": text}
     if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*cols)
+        made["n_chars"] = F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("mix_row.n_chars"))
+    return out.select(*(made.get(c, F.col(f"mix_row.`{c}`")).alias(c) for c in cols))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

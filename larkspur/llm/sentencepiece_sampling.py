@@ -22,6 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from larkspur.llm.shared import documents
 
@@ -314,9 +315,11 @@ class Walks:
         for leaf in range(k):
             places = np.flatnonzero(edge_at >= 0)
             edges = edge_at[places].astype(np.int64)
-            run = np.concatenate([[0.0], np.cumsum(lat.logp[edges])])
             a, b = np.searchsorted(places, self.doc_start), np.searchsorted(places, self.doc_end)
-            whole = run[b] - run[a]
+            whole = np.zeros(n)
+            some = a < b
+            if some.any():  # each text by itself, so that its neighbours do not matter
+                whole[some] = np.add.reduceat(lat.logp[edges], a[some])
             leaves.append({"doc": docs, "arrival": arrival, "logp": whole[docs], "places": places, "edges": edges, "first": a, "last": b})
             kept_paths.append(edge_at)
             at = np.searchsorted(places, begin[docs])
@@ -416,7 +419,7 @@ def encode_chunk(v: Vocabulary, doc_ids: list, texts: list[str], k: int, seed: i
             inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-small)))
         ok = [spelled[ends[d] : ends[d + 1]].tobytes()[1:] == raw[d] for d in docs]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((start[1:] - start[:-1])[docs])]).astype(np.int32)), pa.array(tokens[_ranges(start[docs], (start[1:] - start[:-1])[docs])].astype(np.int32)))
-        cols = [pa.array([doc_ids[d] for d in docs], pa.int64()), pa.array(np.full(len(docs), rank + 1, np.int32)), pa.array((start[1:] - start[:-1])[docs]), pa.array(leaf["logp"] + 0.0), pa.array(-leaf["arrival"]), pa.array(inclusion), lists, pa.array(ok, pa.bool_())]
+        cols = [pa.array([doc_ids[d] for d in docs], pa.int64()), pa.array(np.full(len(docs), rank + 1, np.int32)), pa.array((start[1:] - start[:-1])[docs]), *(pa.array(np.round(x, 9) + 0.0) for x in (leaf["logp"], -leaf["arrival"], inclusion)), lists, pa.array(ok, pa.bool_())]
         yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(FIELDS))
 
 
@@ -451,7 +454,7 @@ def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids", o
     """Add the text that each row's ids spell; null ids give a null text, and bytes that are no UTF-8 become U+FFFD."""
     path = model or default_model()
     at = encoded.columns.index(ids_col)
-    schema = encoded.schema.add(out_col, "string")
+    schema = T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches):
         v = vocabulary(path, POWER)
