@@ -151,7 +151,10 @@ def overlaps(a: pa.Array, b: pa.Array, width: int = WIDTH) -> np.ndarray:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose texts are near. ``texts``: rep, text."""
+    """The pairs (a, b) whose texts are near. ``texts``: rep, text.
+
+    Joins with texts are merge joins at every size: how many pairs there are is not bounded, so none is broadcast.
+    """
 
     def run(batches):
         for batch in batches:
@@ -160,7 +163,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int)
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
 
 
 def frequent_windows(texts: DataFrame, width: int) -> np.ndarray:
@@ -227,7 +230,7 @@ def stars_verified(pairs: DataFrame, texts: DataFrame, similarity: float, width:
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, near boolean, common double, weight double, beyond array<long>")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, near boolean, common double, weight double, beyond array<long>")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
@@ -246,7 +249,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     central = members.groupBy("rep").agg(F.sum("size").alias("reach"))
     hubs = members.select("key", "rep").join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct(F.col("reach"), -F.col("rep"))).alias("hub"))
     stars = members.select("key", "rep").join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(central.select("rep"), "rep", "left_semi")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(central.select("rep").hint("merge"), "rep", "left_semi")
     first = staged(stars_verified(stars, texts, similarity, width, frequent_windows(texts, width)), "near-stars")
     comp = staged(components(first.where("near").select("a", "b")), "near-components")
     placed = first.join(comp, first["b"] == comp["node"], "left").select("a", "b", "common", "weight", "beyond", F.coalesce("comp", "b").alias("comp"))
@@ -276,7 +279,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one document of each class, columns as they were; rows with a null id stay."""
     gone = near_groups(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
