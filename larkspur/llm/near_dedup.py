@@ -249,7 +249,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     central = members.groupBy("rep").agg(F.sum("size").alias("reach"))
     hubs = members.select("key", "rep").join(central, "rep").groupBy("key").agg(F.max_by("rep", F.struct(F.col("reach"), -F.col("rep"))).alias("hub"))
     stars = members.select("key", "rep").join(hubs, "key").where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(central.select("rep").hint("merge"), "rep", "left_semi")
+    texts = staged(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(central.select("rep").hint("merge"), "rep", "left_semi"), "near-candidates")
     first = staged(stars_verified(stars, texts, similarity, width, frequent_windows(texts, width)), "near-stars")
     comp = staged(components(first.where("near").select("a", "b")), "near-components")
     placed = first.join(comp, first["b"] == comp["node"], "left").select("a", "b", "common", "weight", "beyond", F.coalesce("comp", "b").alias("comp"))
