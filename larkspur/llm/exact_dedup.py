@@ -200,7 +200,7 @@ def grace_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _bucket(level: int, first_fan: int):
     """The bucket at a level, from the digest's leading bits: each level refines the one above."""
-    bits = (first_fan * FAN**level).bit_length() - 1
+    bits = min(60, (first_fan * FAN**level).bit_length() - 1)
     head = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")
     return F.shiftright(head, 60 - bits)
 
