@@ -2,5 +2,6 @@
 
 from larkspur.operators.joins import asof_join, band_join, salted_join
 from larkspur.operators.timeseries import fill_forward, funnel, rollup, sessions
+from larkspur.operators.vectors import nearest
 
-__all__ = ["asof_join", "band_join", "fill_forward", "funnel", "rollup", "salted_join", "sessions"]
+__all__ = ["asof_join", "band_join", "fill_forward", "funnel", "nearest", "rollup", "salted_join", "sessions"]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur import operators as ops
-from larkspur.functions import cosine, safe_ratio
+from larkspur.functions import safe_ratio
 from larkspur.sources import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,11 +186,18 @@ FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_i
 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 10""")
 def cosine_pairs(t):
     """The ten nearest of the same label for every vector whose id is divisible by 50."""
-    a = t("embeddings").where("vec_id % 50 = 0").select("vec_id", "label", F.col("embedding").alias("ea"))
-    b = t("embeddings").select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("eb"))
-    pairs = a.join(b, "label").where("vec_id <> other").select("vec_id", "other", F.round(cosine(F.col("ea"), F.col("eb")), 5).alias("sim"))
-    w = Window.partitionBy("vec_id").orderBy(F.desc("sim"), "other")
-    return pairs.withColumn("rn", F.row_number().over(w)).where("rn <= 10").drop("rn")
+    e = t("embeddings")
+    return ops.nearest(e.where("vec_id % 50 = 0"), e, 10, within="label")
+
+
+@query("""
+SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 10""")
+def nearest_vectors(t):
+    """The ten nearest of all rows for every vector whose id is divisible by 50."""
+    e = t("embeddings")
+    return ops.nearest(e.where("vec_id % 50 = 0"), e, 10)
 
 
 @query("SELECT label, i, round(avg(v), 5) AS mean FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) GROUP BY label, i")

@@ -1,6 +1,8 @@
+import random
 from datetime import datetime, timedelta
 
 from larkspur import operators as ops
+from larkspur import plans
 from larkspur.functions import cosine
 
 T0 = datetime(2024, 1, 1)
@@ -55,3 +57,30 @@ def test_cosine_of_zero_is_null(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<double>, b array<double>")
     got = [r.c for r in df.select(cosine("a", "b").alias("c")).collect()]
     assert abs(got[0] - 0.5**0.5) < 1e-9 and got[1] is None
+
+
+def test_nearest_searches_all_rows_in_any_blocks(spark):
+    rng = random.Random(3)
+    data = [(i, i % 3, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(60)] + [(60 + i, 1, [1.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(90, 0, [0.0] * 4), (91, 1, None), (None, 1, [1.0] * 4)]
+    df = spark.createDataFrame(data, "vec_id long, label int, embedding array<float>").repartition(5)
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    sim = lambda a, b: round(dot(a, b) / (dot(a, a) * dot(b, b)) ** 0.5, 5) if a and b and any(a) and any(b) else None
+    for within in (None, "label"):
+        want = set()
+        for i, g, v in data:
+            if i is not None and i % 10 == 0:
+                other = sorted((-9 if (s := sim(v, w)) is None else s, -j) for j, h, w in data if j is not None and j != i and (h == g or not within))[-5:]
+                want |= {(i, -j, None if s == -9 else s) for s, j in other}
+        for block in (4, 4096):
+            got = [(r.vec_id, r.other, r.sim) for r in ops.nearest(df.where("vec_id % 10 = 0"), df, 5, within=within, block=block).collect()]
+            assert len(got) == len(want) and {x[:2] for x in got} == {x[:2] for x in want}
+            exact = {x[:2]: x[2] for x in want}
+            assert all(s == exact[i, j] or abs(s - exact[i, j]) < 2e-5 for i, j, s in got)
+    assert ops.nearest(df.where("false"), df, 5).count() == 0
+
+
+def test_nearest_vectors_cross_labels(spark):
+    labels = {i: label for i, label in enumerate([0, 1] * 50)}
+    df = spark.createDataFrame([(i, label, [1.0, i / 1000]) for i, label in labels.items()], "vec_id long, label int, embedding array<float>")
+    got = plans.catalog.nearest_vectors(lambda _: df).collect()
+    assert {r.other for r in got if r.vec_id == 0} == set(range(1, 11))
