@@ -37,7 +37,7 @@ KNOWN = re.compile(
     rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     rb"|\d[\d+/_=-]*"  # numbers, dates, phone and card numbers
     rb"|[A-Za-z]+([_/-][A-Za-z]+)*[_/-]?\d{0,6}"  # words joined by marks, with a number at the end
-    rb"|([A-Z]?[a-z]+\d{0,3}[_/-]?)+"  # camel case
+    rb"|(?:[A-Z]?[a-z]++\d{0,3}+[_/-]?+)++"  # camel case; possessive, since nested repeats would try all ways to cut a word
 )
 
 

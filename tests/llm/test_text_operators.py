@@ -2,6 +2,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -170,6 +172,12 @@ def test_secrets_base_matches_expressions(frame):
     assert [got[i].n_token for i in (9, 10, 11)] == [0, 0, 0]
 
 
+def test_long_lower_case_runs_take_no_time():
+    """In a process of its own: a pattern that backtracks can't be interrupted."""
+    code = "from larkspur.llm.secret_scan import KNOWN\nfor end in (b'=1', b'1234567'):\n    for n in (40, 100_000):\n        assert not KNOWN.fullmatch(b'ab' * (n // 2) + end)"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
+
+
 def test_redaction_and_empty(frame):
     out = {r.doc_id: r.text for r in secrets.redact(frame([(1, "a token=abcdefghijklmnop b"), (2, None)])).collect()}
     assert out == {1: "a [assign] b", 2: None}
