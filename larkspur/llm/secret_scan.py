@@ -2,7 +2,7 @@
 
 Natural words and code names fall into long tokens, random strings into short ones. A run of key-like
 characters that mixes letters and digits and has few characters per token is reported, unless it is a
-digest of usual length, an identifier of a known form, or overlaps a span found by shape. The regular
+digest of usual length, an identifier of a known form or made of plain words, or overlaps a span found by shape. The regular
 expressions see the whole text as bytes; the tokenizer sees only the runs that could be keys.
 """
 
@@ -36,9 +36,13 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 KNOWN = re.compile(
     rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     rb"|\d[\d+/_=-]*"  # numbers, dates, phone and card numbers
-    rb"|[A-Za-z]+([_/-][A-Za-z]+)*[_/-]?\d{0,6}"  # words joined by marks, with a number at the end
+)
+#: Forms of names. Random strings take them too, so a name's words must be cheap under the tokenizer as well.
+NAME = re.compile(
+    rb"[A-Za-z]+([_/-][A-Za-z]+)*[_/-]?\d{0,6}"  # words joined by marks, with a number at the end
     rb"|(?:[A-Z]?[a-z]++\d{0,3}+[_/-]?+)++"  # camel case; possessive, since nested repeats would try all ways to cut a word
 )
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @lru_cache(2)
@@ -79,11 +83,17 @@ def random_runs(text: bytes, base: list[tuple[int, int, int]], enc, ratio: float
         a, b = m.span()
         if any(x < b and a < y for x, y, _ in base):
             continue
-        if len(run) < ratio * len(enc.encode_ordinary(run.decode())):
+        said = run.decode()
+        if len(said) < ratio * len(enc.encode_ordinary(said)) and not (NAME.fullmatch(run) and _cheap(WORDS.findall(said), enc, ratio)):
             found.append((a, b, 3))
     return found
 
 
+def _cheap(words: list[str], enc, ratio: float) -> bool:
+    """Whether words, each by itself, have at least ``ratio`` characters a token."""
+    return sum(map(len, words)) >= ratio * sum(len(enc.encode_ordinary(w)) for w in words)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_token, base_sha256, spans.
 

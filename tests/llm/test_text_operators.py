@@ -174,10 +174,21 @@ def test_secrets_base_matches_expressions(frame):
 
 def test_long_lower_case_runs_take_no_time():
     """In a process of its own: a pattern that backtracks can't be interrupted."""
-    code = "from larkspur.llm.secret_scan import KNOWN\nfor end in (b'=1', b'1234567'):\n    for n in (40, 100_000):\n        assert not KNOWN.fullmatch(b'ab' * (n // 2) + end)"
+    code = "from larkspur.llm.secret_scan import KNOWN, NAME\nfor end in (b'=1', b'1234567'):\n    for n in (40, 100_000):\n        assert not KNOWN.fullmatch(b'ab' * (n // 2) + end) and not NAME.fullmatch(b'ab' * (n // 2) + end)"
     subprocess.run([sys.executable, "-c", code], check=True, timeout=60)
 
 
+def test_random_strings_that_look_like_names(frame):
+    rng = random.Random(5)
+    keys = ["".join(rng.choice(a) for _ in range(n - 1)) + "7" for a in ("abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz234567") for n in (20, 24, 32, 50) for _ in range(25)]
+    keys = [k for k in keys if not k.isdigit() and not re.search("[0-9a-f]{16}", k)] + ["kqzjxwvbhtmpgdzrfqxnl48213"]
+    plain = "another_long_name_of_a_thing_12 test_col1_col2_col3_col4_col5 layer3_conv2_bn1_weight2 utf8mb4_unicode_ci_v2 some/path_to/plain_words_2024 thisIsAnotherVariableName3"
+    got = {r.doc_id: r for r in secrets.scan(frame([*enumerate(f"see {k} here" for k in keys), (-1, plain)])).collect()}
+    assert sum(secrets.NAME.fullmatch(k.encode()) is not None for k in keys) > len(keys) // 2
+    assert [i for i, k in enumerate(keys) if got[i].spans != f"token:4:{4 + len(k)}"] == []
+    assert got[-1].n_token == 0
+
+
 def test_redaction_and_empty(frame):
     out = {r.doc_id: r.text for r in secrets.redact(frame([(1, "a token=abcdefghijklmnop b"), (2, None)])).collect()}
     assert out == {1: "a [assign] b", 2: None}
