@@ -19,8 +19,8 @@ from larkspur.llm.shared import documents
 
 #: Labelled documents that the model is fitted on, at most; they are chosen by a hash of their ids.
 SAMPLE = 8000
-#: Bytes of a sampled text that are used for fitting, at most. Scoring reads whole texts.
-SAMPLE_BYTES = 40_000
+#: Bytes of the sampled texts together, at most, or one text: a bound of the driver's memory. Texts are never cut.
+SAMPLE_BYTES = 320_000_000
 PREFIX = 5
 TARGETS = ("poor", "toxic")
 # Common English insults.
@@ -215,15 +215,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(s, -50, 50)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, dict]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> tuple[Model, dict]:
     """The model and what is known of its labellers. Reads at most ``sample`` labelled documents.
 
-    The sample is the labelled ids with the smallest hashes, so reruns agree; only it comes to the driver.
+    The sample is the labelled ids with the smallest hashes, so reruns agree; only its features come to
+    the driver. Whole texts are read; where they exceed ``sample_bytes`` together, fewer documents are taken.
     Without labelled documents the model rests on the heuristics of no document and scores its bias.
     """
     chosen = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    text = F.substring(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 1, SAMPLE_BYTES)
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sizes = docs.select("doc_id", F.octet_length(text).cast("long").alias("n")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.sum("n").alias("n"))
+    total, taken = 0, []
+    for r in sorted(sizes.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n").collect()):
+        total += r.n
+        if taken and total > sample_bytes:
+            chosen = chosen.where(F.col("doc_id").isin(taken))
+            break
+        taken.append(r.doc_id)
+    rows = docs.select("doc_id", text.cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "toxic", "text")
 
     def look(batches):
         for b in batches:

@@ -226,6 +226,17 @@ def test_held_out_accuracy(spark, frame):
     assert report["toxic"]["accuracy"][0, 1] > 0.8
 
 
+def test_fitting_reads_whole_texts(spark, frame):
+    rng = random.Random(6)
+    toxic = [rng.random() < 0.3 for _ in range(200)]
+    docs = [(i, "ba lo ni tes " * 3200 + " ".join(rng.choice(["ra", "mu", "kel", "or"]) for _ in range(20)) + (" grolbek vrakzu" if bad else "")) for i, bad in enumerate(toxic)]
+    seen = spark.createDataFrame([(i, 1, int(bad)) for i, bad in enumerate(toxic)], "doc_id long, quality int, toxic int")
+    model, report = clf.fit(frame(docs), seen)
+    got = {r.doc_id: r.toxic for r in clf.score(frame(docs), model).collect()}
+    assert report["toxic"]["n"] == 200 and np.mean([(got[i] >= 0.5) == bad for i, bad in enumerate(toxic)]) > 0.95
+    assert clf.fit(frame(docs), seen, sample_bytes=1_020_000)[1]["toxic"]["n"] == 24
+
+
 def test_em_finds_the_worse_labeller():
     rng = np.random.default_rng(0)
     truth = rng.random(4000) < 0.3
