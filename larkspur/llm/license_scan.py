@@ -81,10 +81,14 @@ INSIDE = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Every known sentence holds one of these, in lower case.
 ANCHORS = ("licens", "under", "permi", "copyright", "free software", "unencumbered", "redistribut")
 
-#: A sentence ends after one of these marks and white space, or with its line. Lines of one paragraph are
-#: not joined: notices are one line, and licence texts are matched where each sentence is on one line.
+#: A sentence ends after one of these marks and white space, or with its line.
 BREAK = r"\n+|[.!?](?:[\x20\t\r]+|$)"
 NOISE = r"[^a-z0-9]+"
+#: A line end inside a paragraph, with the next line's comment leader: no blank line and no list item follows. It
+#: becomes JOINT, and the lines between two other ends are also read as one sentence.
+WRAP = r"\n[\x20\t]*+(?:(?://+|#+|\*+|;+|--+|>+|%+)[\x20\t]*+)?+(?![\x20\t\r]*\n|\(?(?:[a-z]|\d{1,2})[.)][\x20\t])"
+JOINT = "\x01"
+BREAK_JOINED = r"\n+|[.!?](?:[\x20\t\r\x01]+|$)"
 
 
 def normal(sentence: str) -> str:
@@ -118,7 +122,8 @@ KNOWN, RULES = _tables()
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, sentence_ids (array of the known sentences in order), licenses (array, sorted).
 
-    Null and empty texts have no sentence. Whole texts are cut, of any length. Ids are carried as they are,
+    Sentences are single lines or lines of one paragraph joined; a joined one follows its lines. Null and
+    empty texts have no sentence. Whole texts are cut, of any length. Ids are carried as they are,
     null or repeated; other columns are ignored.
     """
     low = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_or_empty(text_col)).alias("t"))
@@ -126,9 +131,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     for a in ANCHORS:
         if a != "under":
             some = some | F.contains("t", F.lit(a))
-    some = some | F.contains("t", F.lit("under "))
-    cut = low.select("doc_id", F.when(some, F.split("t", BREAK)).alias("s"))
-    clean = cut.select("doc_id", F.transform("s", lambda s: F.btrim(F.regexp_replace(s, NOISE, " "))).alias("s"))
+    for a in ("under ", "under\n", "under\r", "under\t"):
+        some = some | F.contains("t", F.lit(a))
+    joined = F.regexp_replace(F.translate("t", JOINT, "\x02"), WRAP, JOINT)
+    cut = low.select("doc_id", F.when(some, F.split(joined, BREAK_JOINED)).alias("s"))
+    lines = lambda s: F.filter(F.transform(F.split(s, JOINT), lambda x: F.btrim(F.regexp_replace(x, NOISE, " "))), lambda x: x != "")
+    both = lambda x: F.when(F.size(x) > 1, F.concat(x, F.array(F.array_join(x, " ")))).otherwise(x)
+    clean = cut.select("doc_id", F.flatten(F.transform(F.transform("s", lines), both)).alias("s"))
     known = clean.select("doc_id", F.filter("s", lambda s: s.isin(KNOWN)).alias("s"))
     ids = known.select("doc_id", F.coalesce(F.transform("s", lambda s: F.array_position(F.array(*map(F.lit, KNOWN)), s).cast("int")), F.array().cast("array<int>")).alias("sentence_ids"))
     seq = ids.withColumn("seq", F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ","), F.lit(",")))

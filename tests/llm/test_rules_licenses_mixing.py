@@ -1,5 +1,6 @@
 import os
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -75,6 +76,18 @@ def test_licenses(frame):
     assert got == {1: ["MIT"], 2: ["MIT"], 3: ["BSD-3-Clause"], 4: [], 5: [], 6: [], 7: ["Apache-2.0"], 8: [], None: ["CC-BY-NC-4.0", "MIT"], 9: ["MIT"]}
 
 
+def test_wrapped_licenses(frame):
+    wrap = lambda s, lead="", first="": "\n".join(textwrap.wrap(s, 72, initial_indent=lead + first, subsequent_indent=lead + " " * len(first)))
+    t = license_scan.TEXTS
+    bsd = lambda name, lead="": f"\n{lead}".join([wrap(t[name][0], lead)] + [wrap(x, lead, f"{i}. ").removeprefix(lead) for i, x in enumerate(t[name][1:], 1)])
+    rows = [
+        (1, "MIT License\n\nCopyright (c) 2026 x\n\n" + "\n\n".join(map(wrap, t["MIT"]))), (2, bsd("BSD-3-Clause")), (3, "/*\n * Copyright x\n *\n" + bsd("BSD-2-Clause", " * ") + "\n */"),
+        (4, wrap(t["GPL-2.0-or-later"][0], "# ")), (5, wrap(t["GPL-3.0-or-later"][0], "// ").replace("\n", "\r\n")), (6, wrap(t["ISC"][0])), (7, "Distributed under\nthe MIT."), (8, "Licensed under the\n\nMIT License."), (9, "License: MIT\nother words\x01here"),
+    ]
+    got = {r.doc_id: list(r.licenses) for r in license_scan.scan(frame(rows)).collect()}
+    assert got == {1: ["MIT"], 2: ["BSD-3-Clause"], 3: ["BSD-2-Clause"], 4: ["GPL-2.0-or-later"], 5: ["GPL-3.0-or-later"], 6: ["ISC"], 7: ["MIT"], 8: [], 9: ["MIT"]}
+
+
 def test_license_scan_of_nothing(frame):
     assert license_scan.scan(frame([])).count() == 0
 
