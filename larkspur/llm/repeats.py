@@ -1,14 +1,19 @@
 """Removal of byte strings that another document had first, by a column-wise suffix index.
 
 A window is a string of 50 bytes inside one document. Windows are grouped so that equal ones always
-meet: a window's anchor is the smallest hash among its 16-byte grams, and a piece is a run of windows of
-one anchor. Anchors that a single document has cannot mark a repeat and are dropped before any text
-moves. Equal pieces are collapsed, and the distinct pieces of an anchor go to one task, where the suffixes
-of all of them are sorted together the column-wise way: round j inserts, for every piece, the symbol
-j places from its end, at the rank that the Burrows-Wheeler transform so far gives it, and updates the
-common prefixes of the new suffixes and their successors. Each round reads the round before it from front
-to back and writes its successor. Suffixes whose common prefix is 50 bytes or more are one class, whose
-smallest document keeps the bytes.
+meet: a window's anchor is the smallest hash among its 24-byte grams, and a piece is a run of windows of
+one anchor. Anchors that a single text has cannot mark a repeat and are dropped before any text moves.
+The pieces of an anchor go to one task. Equal ones are collapsed, and windows that no other piece has are
+left out: equal windows have equal hashes, so a hash that comes once excludes its window and decides
+nothing else. The suffixes of all that is left are sorted together the column-wise way: round j inserts,
+for every piece, the symbol j places from its end, at the rank that the Burrows-Wheeler transform so far
+gives it, and updates the common prefixes of the new suffixes and their successors. Each round reads the
+round before it from front to back and writes its successor. Suffixes whose common prefix is 50 bytes or
+more are one class, whose smallest document keeps the bytes.
+
+An anchor of very many texts is split by further anchors (the smallest values of other hashes of the same
+grams) until few different pieces share all of them, and its pieces are combined before they are shuffled;
+the same index sorts them.
 """
 
 from __future__ import annotations
@@ -25,20 +30,33 @@ from larkspur.llm.shared import documents, staged
 
 #: Bytes of a repeat, and of a gram that can be an anchor.
 LENGTH = 50
-GRAM = 16
-#: Windows in a piece at most, so that rounds are bounded; an anchor that comes once is in 35 windows.
-WINDOWS = 35
-#: Anchors in a bucket, about; pieces indexed together, about; documents cut together.
-BUCKET_ANCHORS = 1_000_000
+GRAM = 24
+#: Windows in a piece at most, so that rounds are bounded; an anchor that comes once is in 27 windows.
+WINDOWS = LENGTH - GRAM + 1
+#: Pieces indexed together, about; documents cut together.
 BLOCK = 2_000
 ROWS = 1_500
-#: Texts of one anchor from which on its windows are matched by a key each.
+#: Texts of one anchor, and different pieces of a split one, from which on it is split (further).
 HOT = 200_000
+#: Anchors of a piece at most; beyond, each window is a piece of its own.
+LEVELS = 8
+#: Tasks over which the copies of one text are dealt where their spans are made.
+SALTS = 32
 _LAST = np.iinfo(np.int64).max  # the order of a null id
 
 
-def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, windows: int = WINDOWS):
-    """Row, start, number of windows and anchor of each piece."""
+def n_bits(total: int) -> int:
+    """Bits of an anchor that name its bucket, for so many bytes of text.
+
+    A bucket holds about a million anchors for half a GB and grows with the fourth root of the input, so that
+    neither buckets nor the blobs that tasks pack for each of them get out of hand: 10 bits for 30 GB, 19 for 100 TB.
+    """
+    n = total / 14 + 1
+    return max(4, int(np.ceil(np.log2(n / (1e6 * max(1.0, n / 36e6) ** 0.25)))))
+
+
+def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM, windows: int = WINDOWS, level: int = 0):
+    """Row, start, number of windows and anchor of each piece; each ``level`` hashes the grams anew."""
     sizes = np.diff(offsets)
     n_win = np.maximum(sizes - length + 1, 0)
     at = bv.ranges(offsets[:-1], n_win)
@@ -47,6 +65,8 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     n = len(buf)
     starts = np.arange(n - gram + 1)
     m = bv.spans_hash(buf, starts, starts + gram)
+    if level:
+        m = bv.mix(m + np.uint64(level) * bv.GOLD)
     width, span = 1, length - gram + 1
     while 2 * width <= span:
         m = np.minimum(m[:-width], m[width:])
@@ -65,14 +85,18 @@ def anchors(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
 
 
 def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each piece, the smallest owner of each of its windows among all pieces.
+    """For each piece, the smallest owner of each of its windows among all pieces."""
+    sizes = np.array([len(p) for p in pieces])
+    return np.split(index_flat(np.frombuffer(b"".join(pieces), np.uint8), sizes, owner, length), np.cumsum(np.maximum(sizes - length + 1, 0))[:-1])
+
+
+def index_flat(data: np.ndarray, sizes: np.ndarray, owner: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The smallest owner of each window of pieces that lie one after the other in ``data``.
 
     ``rows`` of the transform are in the order of their suffixes; each has its piece and size, its common
     prefix with the suffix above (up to ``length``), and the symbol before it.
     """
-    n = len(pieces)
-    sizes = np.array([len(p) for p in pieces])
-    data = np.frombuffer(b"".join(pieces), np.uint8)
+    n = len(sizes)
     top = int(sizes.max())
     end_mark, kind = (255, np.uint8) if not (data == 255).any() else (256, np.uint16)
     ends = np.cumsum(sizes)
@@ -116,7 +140,73 @@ def index(pieces: list[bytes], owner: np.ndarray, length: int = LENGTH) -> list[
     base = np.concatenate([[0], np.cumsum(np.maximum(sizes - length + 1, 0))])
     out = np.empty(base[-1], np.int64)
     out[base[piece[whole]] + sizes[piece[whole]] - size[whole]] = least[whole]
-    return np.split(out, base[1:-1])
+    return out
+
+
+def hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans in order of their starts, of a buffer of any size."""
+    out, lo = np.empty(len(starts), np.uint64), 0
+    while lo < len(starts):
+        base = starts[lo]
+        hi = int(np.searchsorted(starts, base + bv.CHUNK // 2, side="right"))
+        out[lo:hi] = bv.spans_hash(buf[base : ends[lo:hi].max()], starts[lo:hi] - base, ends[lo:hi] - base)
+        lo = hi
+    return out
+
+
+def distinct(anchor: np.ndarray, content: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with equal anchor and content hash: the number of the one with the smallest owner, by anchor, and each row's place in that list."""
+    order = np.lexsort((owner, content, anchor))
+    new = np.ones(len(order), bool)
+    new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def least_owners(data: np.ndarray, sizes: np.ndarray, anchor: np.ndarray, owner: np.ndarray, length: int = LENGTH, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest owner of each window of different pieces, given by anchor; and which pieces share a window with another."""
+    n_win = sizes - length + 1
+    least, first, start = np.repeat(owner, n_win), np.cumsum(n_win) - n_win, np.cumsum(sizes) - sizes
+    mixed = np.zeros(len(sizes), bool)
+    several = np.zeros(len(sizes), bool)  # a collection of one piece has nothing to sort
+    several[1:] = anchor[1:] == anchor[:-1]
+    several[:-1] |= several[1:]
+    todo = np.flatnonzero(several)
+    w_piece, w_at = np.repeat(todo, n_win[todo]), bv.ranges(start[todo], n_win[todo])
+    h = hashes(data, w_at, w_at + length)
+    order = np.argsort(h)
+    h = h[order]
+    again = np.zeros(len(h), bool)
+    again[1:] = h[1:] == h[:-1]
+    again[:-1] |= again[1:]
+    shared = np.zeros(len(h), bool)
+    shared[order] = again
+    w = np.flatnonzero(shared)
+    if not len(w):
+        return least, mixed
+    # runs of shared windows, and the different ones among them
+    new = np.ones(len(w), bool)
+    new[1:] = (w[1:] != w[:-1] + 1) | (w_piece[w][1:] != w_piece[w][:-1])
+    a = np.flatnonzero(new)
+    run, n = w[a], np.diff(np.append(a, len(w)))
+    piece, lo, size = w_piece[run], w_at[run], n + length - 1
+    mixed[piece] = True
+    some, of = distinct(anchor[piece], hashes(data, lo, lo + size), owner[piece])
+    s_size, s_anchor, s_owner = size[some], anchor[piece[some]], owner[piece[some]]
+    s_win = n[some]
+    s_least, s_first = np.repeat(s_owner, s_win), np.cumsum(s_win) - s_win
+    several = np.zeros(len(some), bool)
+    several[1:] = s_anchor[1:] == s_anchor[:-1]
+    several[:-1] |= several[1:]
+    todo = np.flatnonzero(several)
+    while len(todo):
+        upto = int(np.searchsorted(s_anchor[todo], s_anchor[todo[min(block, len(todo)) - 1]], side="right"))
+        t = todo[:upto]
+        s_least[bv.ranges(s_first[t], s_win[t])] = index_flat(data[bv.ranges(lo[some[t]], s_size[t])], s_size[t], s_owner[t], length)
+        todo = todo[upto:]
+    least[first[w_piece[w]] + w_at[w] - start[w_piece[w]]] = s_least[bv.ranges(s_first[of], n)]
+    return least, mixed
 
 
 def _pack(*columns: np.ndarray, raw: bytes = b"") -> bytes:
@@ -176,44 +266,70 @@ def _zip(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, row_key long, z binary")
 
 
+def _gather(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*columns)]
+
+
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, row_key, spans (array of lo, hi byte offsets, may overlap) for documents with repeats.
 
     Equal texts go through the index as one, owned by their smallest id; its later copies are repeats from
-    end to end.
+    end to end. ``length`` is at most 255.
     """
+    if not 1 <= length <= 255:
+        raise ValueError(f"common prefixes are kept in a byte: length {length} is not within 1 to 255")
     gram = min(GRAM, max(1, length // 2))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    bits = int(min(20, max(4, np.ceil(np.log2(1 + total / 16 / BUCKET_ANCHORS)))))
+    bits = n_bits(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    tasks = 1 << bits
+
+    def blobs(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
+        """Anchors (h, start, n, and row's id and text hash) packed by bucket, so that few tasks' worth of text makes one blob of each."""
+        h, start, n, ids, whole = _gather(rows)
+        out = []
+        for bucket, own in _by_bucket((h >> np.uint64(64 - bits)).astype(np.int32)):
+            d, w = ids[own], whole[own]
+            new = np.ones(len(own), bool)
+            new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
+            texts = _pack(d[new], w[new])
+            low = np.ascontiguousarray(h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+            out.append((bucket, len(texts).to_bytes(4, "little") + texts + _pack(new.astype(np.int8), start[own].astype(np.int32), n[own].astype(np.int8), raw=low)))
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
 
     def scan(batches):
+        rows, count = [], 0
         for b in batches:
             ids = b.column(0).to_numpy()
-            for lo, _, buf, offsets in bv.chunks(b.column(1)):
+            for lo, hi, buf, offsets in bv.chunks(b.column(1)):
+                whole, own = bv.spans_hash(buf, offsets[:-1], offsets[1:]), ids[lo:hi]
+                # of equal texts in a chunk the first document will do
+                first = np.zeros(hi - lo, bool)
+                first[distinct(np.zeros(hi - lo, np.int8), whole, own)[0]] = True
                 row, start, n, h = anchors(buf, offsets, length, gram)
-                whole = bv.spans_hash(buf, offsets[:-1], offsets[1:])
-                out = []
-                for bucket, own in _by_bucket((h >> np.uint64(64 - bits)).astype(np.int32)):
-                    rows_, at = np.unique(row[own], return_inverse=True)
-                    texts = _pack(ids[lo + rows_], whole[rows_])
-                    low = np.ascontiguousarray(h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-                    out.append((bucket, len(texts).to_bytes(4, "little") + texts + _pack(np.diff(at, prepend=0).astype(np.int32), start[own].astype(np.int32), n[own].astype(np.int8), raw=low)))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+                keep = first[row]
+                row = row[keep]
+                rows.append((h[keep], start[keep], n[keep], own[row], whole[row]))
+                count += len(row)
+                if count >= min(256 << bits, 2_000_000):
+                    yield blobs(rows)
+                    rows, count = [], 0
+        if count:
+            yield blobs(rows)
 
     def shared(batches):
+        """Places of anchors that more than one text has; of each text, those of its first document."""
+
         def found(bucket, held):
             parts = []
             for blob in held:
                 cut = 4 + int.from_bytes(blob[:4], "little")
                 (ids, whole), _ = _unpack(blob[4:cut])
-                (step, start, n), low = _unpack(blob[cut:])
+                (new, start, n), low = _unpack(blob[cut:])
                 h = np.zeros((len(n), 8), np.uint8)
                 h[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-                at = np.cumsum(step)
+                at = np.cumsum(new, dtype=np.int64) - 1
                 parts.append((h.view("<i8")[:, 0], whole[at], ids[at], start, n))
-            h, whole, doc, start, n = (np.concatenate(c) for c in zip(*parts))
-            # only anchors of more than one text, and of each text its first document
+            h, whole, doc, start, n = _gather(parts)
             order = np.lexsort((doc, whole, h))
             h, whole, doc, start, n = (x[order] for x in (h, whole, doc, start, n))
             new_h = np.diff(h, prepend=h[0] ^ 1) != 0
@@ -237,104 +353,168 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text.cast("binary").alias("text"))
     packed = rows.mapInArrow(scan, "bucket int, blob binary")
-    live = staged(packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(shared, "doc_id long, start int, n tinyint, h long, hot boolean"), "repeat-anchors")
-
-    def pieces_of(b, unzip):
-        """Row, start, windows, anchor and bytes of each place of a batch (doc_id, row_key, z, places)."""
-        p = b.column(3)
-        flat = p.flatten()
-        row = np.repeat(np.arange(b.num_rows), np.diff(p.offsets.to_numpy()))
-        start, n, h = (flat.field(k).to_numpy() for k in range(3))
-        texts = [unzip.decompress(z) for z in b.column(2).to_pylist()]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        own = start + n.astype(np.int64) + length - 1 <= sizes[row]  # where ids repeat, another row's place may lie outside
-        row, start, n, h = row[own], start[own], n[own], h[own]
-        return row, start, n, h, [texts[r][s : s + k + length - 1] for r, s, k in zip(row.tolist(), start.tolist(), n.tolist())]
+    live = staged(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "doc_id long, start int, n tinyint, h long, hot boolean"), "repeat-anchors")
 
-    def cut(batches):
+    def with_places(some):
+        places = some.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("start", "n", "h")).alias("places"))
+        whole = _zip(docs, id_col, text_col)
+        return whole.join(places, whole["doc_id"] == places["d"]).select("doc_id", "row_key", "z", "places")
+
+    def read_places(batches):
+        """For some documents at a time: id, row key, start, windows and anchor of each place, and its piece, one after the other."""
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                docs_, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-                row, start, n, h, pieces = pieces_of(b, unzip)
-                out = [(bucket, _pack(h[own], docs_[row[own]], keys[row[own]], start[own], n[own], raw=b"".join(pieces[i] for i in own.tolist()))) for bucket, own in _by_bucket((h >> 37).astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+        for every in batches:
+            for lo in range(0, every.num_rows, ROWS):
+                b = every.slice(lo, ROWS)
+                p = b.column(3)
+                flat = p.flatten()
+                row = np.repeat(np.arange(b.num_rows), np.diff(p.offsets.to_numpy()))
+                start, n, h = (flat.field(k).to_numpy() for k in range(3))
+                texts = [unzip.decompress(z) for z in b.column(2).to_pylist()]
+                sizes = np.array([len(t) for t in texts], np.int64)
+                own = start + n.astype(np.int64) + length - 1 <= sizes[row]  # where ids repeat, another row's place may lie outside
+                row, start, n, h = row[own], start[own], n[own], h[own]
+                buf = np.frombuffer(b"".join(texts), np.uint8)
+                size = n.astype(np.int64) + length - 1
+                yield b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], start, n, h, (buf, (np.cumsum(sizes) - sizes)[row] + start, size)
+
+    def pack_pieces(parts: list) -> pa.RecordBatch:
+        doc, key, start, n, h, at, size = _gather([(*p[:5], *p[5][1:]) for p in parts])
+        bufs = [p[5][0] for p in parts]
+        at = at + np.repeat(np.cumsum([0] + [len(b) for b in bufs[:-1]]), [len(p[0]) for p in parts])
+        buf = np.concatenate(bufs)
+        out = [(bucket, _pack(h[own], doc[own], key[own], start[own], n[own], raw=buf[bv.ranges(at[own], size[own])].tobytes())) for bucket, own in _by_bucket((h >> 38).astype(np.int32))]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+
+    def cut(batches):
+        parts, count, held = [], 0, 0
+        for p in read_places(batches):
+            parts.append(p)
+            count, held = count + len(p[0]), held + len(p[5][0])
+            if count >= min(1024 << bits, 500_000) or held > 32_000_000:
+                yield pack_pieces(parts)
+                parts, count, held = [], 0, 0
+        if count:
+            yield pack_pieces(parts)
 
     def solve(batches):
         for _, held in _buckets(batches):
-            h, doc, key, start, n = (np.concatenate(c) for c in zip(*(x for x, _ in held)))
+            h, doc, key, start, n = _gather([x for x, _ in held])
+            raw = np.frombuffer(b"".join(x for _, x in held), np.uint8)
             size = n.astype(np.int64) + length - 1
-            at = np.concatenate([[0], np.cumsum(size)])
-            data = b"".join(raw for _, raw in held)
-            order = np.argsort(h, kind="stable")
-            # the distinct pieces of each anchor, with their smallest owner
-            number: dict[tuple[int, bytes], int] = {}
-            of, owner, anchor = np.empty(len(h), np.int64), [], []
-            for i, x, d in zip(order.tolist(), h[order].tolist(), doc[order].tolist()):
-                piece = (x, data[at[i] : at[i + 1]])
-                e = number.setdefault(piece, len(owner))
-                if e == len(owner):
-                    owner.append(d)
-                    anchor.append(x)
-                elif d < owner[e]:
-                    owner[e] = d
-                of[i] = e
-            pieces, owner, anchor = [p for _, p in number], np.array(owner), np.array(anchor)
-            del number, data
-            least = [np.full(len(p) - length + 1, o) for p, o in zip(pieces, owner)]
-            # a collection of one string has nothing to sort: all its windows are its owner's
-            many = np.zeros(len(anchor), bool)
-            many[1:] = anchor[1:] == anchor[:-1]
-            many[:-1] |= many[1:]
-            todo = np.flatnonzero(many)
-            while len(todo):
-                upto = int(np.searchsorted(anchor[todo], anchor[todo[min(BLOCK, len(todo)) - 1]], side="right"))
-                for i, own in zip(todo[:upto].tolist(), index([pieces[i] for i in todo[:upto].tolist()], owner[todo[:upto]], length)):
-                    least[i] = own
-                todo = todo[upto:]
-            sizes = np.array([len(x) for x in least])
-            flat, first = np.concatenate(least), np.cumsum(sizes) - sizes
-            row = np.repeat(np.arange(len(h)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n.astype(np.int64)) - n, n)
-            hit = flat[first[of[row]] + place] < doc[row]
+            at = np.cumsum(size) - size
+            # the different pieces of each anchor, with their smallest owner
+            some, of = distinct(h, hashes(raw, at, at + size), doc)
+            least, mixed = least_owners(raw[bv.ranges(at[some], size[some])], size[some], h[some], doc[some], length)
+            plain = np.flatnonzero(~mixed[of] & (doc[some][of] < doc))  # all windows are one owner's
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[plain], key[plain], start[plain].astype(np.int64), start[plain] + size[plain])], names=["doc_id", "row_key", "lo", "hi"])
+            part = np.flatnonzero(mixed[of])
+            windows = size[some] - length + 1
+            first = np.cumsum(windows) - windows
+            row = np.repeat(part, n[part])
+            place = bv.ranges(np.zeros(len(part), np.int64), n[part].astype(np.int64))
+            hit = least[first[of[row]] + place] < doc[row]
             yield _spans(row[hit], (start[row] + place)[hit], doc, key, length)
 
-    def split(batches):
-        import zstandard
-
-        unzip = zstandard.ZstdDecompressor()
-        for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
-                docs_, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
-                row, start, n, _, pieces = pieces_of(b, unzip)
-                windows = [p[i : i + length] for p in pieces for i in range(len(p) - length + 1)]
-                row, place = np.repeat(row, n), np.repeat(start, n) + (np.arange(int(n.sum())) - np.repeat(np.cumsum(n.astype(np.int64)) - n, n))
-                yield pa.RecordBatch.from_arrays([pa.array(docs_[row]), pa.array(keys[row]), pa.array(place.astype(np.int64)), pa.array(windows, pa.binary())], names=["doc_id", "row_key", "lo", "w"])
-
-    def with_places(some):
-        places = some.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("start", "n", "h")).alias("places"))
-        whole = _zip(docs, id_col, text_col)
-        return whole.join(places, whole["doc_id"] == places["d"]).select("doc_id", "row_key", "z", "places")
-
     marks = "doc_id long, row_key long, lo long, hi long"
-    blobs = with_places(live.where("NOT hot")).mapInArrow(cut, "bucket int, blob binary")
-    found = blobs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(solve, marks)
+    found = with_places(live.where("NOT hot")).mapInArrow(cut, "bucket int, blob binary").repartition(2 * tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, marks)
     if not live.where("hot").isEmpty():
-        # an anchor of very many texts is more than one task should hold: its windows are counted by key, which
-        # combines before it shuffles, and joined back, which can be split
-        windows = staged(with_places(live.where("hot")).mapInArrow(split, "doc_id long, row_key long, lo long, w binary"), "repeat-windows")
-        first = windows.groupBy("w").agg(F.min("doc_id").alias("least"))
-        found = found.unionByName(windows.join(first, "w").where("least < doc_id").select("doc_id", "row_key", "lo", (F.col("lo") + length).alias("hi")))
+        found = found.unionByName(_split_spans(with_places(live.where("hot")), read_places, length, gram, hot, tasks))
     # later copies of a whole text: all their windows are the first one's
     key, size = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.octet_length(text).cast("long")
     keys = staged(docs.select(key, F.xxhash64(F.col(id_col), text).alias("row_key"), F.sha2(text, 256).alias("same"), size.alias("hi")).where(F.col("hi") >= length), "repeat-texts")
     first = keys.groupBy("same").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    copies = keys.join(first, "same").where("doc_id > first").select("doc_id", "row_key", F.lit(0).cast("long").alias("lo"), "hi")
-    return found.unionByName(copies).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    dealt = first.select("same", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    copies = keys.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row_key"), F.lit(SALTS)).cast("int")).join(dealt, ["same", "salt"]).where("doc_id > first")
+    return found.unionByName(copies.select("doc_id", "row_key", F.lit(0).cast("long").alias("lo"), "hi")).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+
+
+def _split_spans(placed: DataFrame, read_places, length: int, gram: int, hot: int, tasks: int) -> DataFrame:
+    """Spans (doc_id, row_key, lo, hi) of the pieces of hot anchors: split by further anchors, combined, sorted, joined back.
+
+    A piece's key is its anchors so far. Keys with more than ``hot`` different pieces are split again by the
+    next hash of the grams, and beyond LEVELS by each window itself, so no key stays large. What is shuffled by
+    key are different pieces, combined where they are read; places only come in by a join on key and piece,
+    which adaptive execution splits.
+    """
+    kind = "doc_id long, row_key long, lo long, k long, piece binary, fresh boolean"
+
+    def sub(doc, key, lo, k, data, sizes, level):
+        row, start, n, h = anchors(data, np.concatenate([[0], np.cumsum(sizes)]), length, gram, 1 if level > LEVELS else length - gram + 1, level)
+        at = (np.cumsum(sizes) - sizes)[row] + start
+        size = n + length - 1
+        if level > LEVELS:
+            h = hashes(data, at, at + size)
+        k = bv.mix(k[row].astype(np.uint64) * bv.GOLD + h).view(np.int64)
+        raw = data[bv.ranges(at, size)].tobytes()
+        offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(key[row]), pa.array(lo[row] + start), pa.array(k), pieces, pa.array(np.ones(len(row), bool))], names=[c.split()[0] for c in kind.split(", ")])
+
+    def split(batches):
+        for doc, key, start, _, h, (buf, at, size) in read_places(batches):
+            yield sub(doc, key, start.astype(np.int64), h, buf[bv.ranges(at, size)], size, 1)
+
+    def again(level):
+        def run(batches):
+            for b in batches:
+                pieces = b.column(4).cast(pa.large_binary())
+                offsets = np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+                data = np.frombuffer(pieces.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                yield sub(*(b.column(i).to_numpy() for i in range(4)), data, np.diff(offsets), level)
+
+        return run
+
+    rows, level, over = staged(placed.mapInArrow(split, kind), "repeat-split"), 1, None
+    while True:
+        pieces = rows.where("fresh").groupBy("k", "piece").agg(F.min("doc_id").alias("owner"))
+        wide = pieces.groupBy("k").agg(F.count("owner").alias("n"), F.max(F.octet_length("piece")).alias("size"))
+        over = staged(wide.where((F.col("n") > hot) & (F.col("size") > length)).select("k"), "repeat-wide")
+        if over.isEmpty():
+            break
+        level += 1
+        deep = rows.where("fresh").join(over, "k", "left_semi").select("doc_id", "row_key", "lo", "k", "piece").mapInArrow(again(level), kind)
+        rest = rows.join(over, "k", "left_anti").withColumn("fresh", F.lit(False))
+        rows = staged(rest.unionByName(deep), "repeat-split")
+
+    def sort(batches):
+        """Runs of windows with one owner, by key; rows come sorted by key, and a key's pieces go together."""
+        held = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            k = held.column("k").to_numpy()
+            done = int(np.searchsorted(k, k[-1])) if held.num_rows >= BLOCK else 0
+            if done:
+                yield runs(held.slice(0, done))
+                held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield runs(held)
+
+    def runs(t):
+        pieces = t.column("piece").combine_chunks()
+        pieces = (pieces if isinstance(pieces, pa.Array) else pa.concat_arrays(pieces.chunks)).cast(pa.large_binary())
+        sizes = np.diff(np.frombuffer(pieces.buffers()[1], np.int64)[pieces.offset : pieces.offset + len(pieces) + 1])
+        data = np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)
+        least, _ = least_owners(data, sizes, t.column("k").to_numpy(), t.column("owner").to_numpy(), length)
+        n = sizes - length + 1
+        row, place = np.repeat(np.arange(len(n)), n), bv.ranges(np.zeros(len(n), np.int64), n)
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (least[1:] != least[:-1])
+        a = np.flatnonzero(new)
+        ends = place[np.append(a[1:], len(row)) - 1] + length
+        at = np.searchsorted(row[a], np.arange(len(n) + 1))
+        fields = [pa.array(place[a]), pa.array(ends), pa.array(least[a])]
+        lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays(fields, ["a", "z", "least"]))
+        return pa.RecordBatch.from_arrays([pa.array(t.column("k").to_numpy()), pieces.cast(pa.binary()), lists], names=["k", "piece", "runs"])
+
+    combined = rows.groupBy("k", "piece").agg(F.min("doc_id").alias("owner"))
+    solved = combined.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(sort, "k long, piece binary, runs array<struct<a: long, z: long, least: long>>")
+    solved = staged(solved, "repeat-runs")
+    hit = rows.join(solved, ["k", "piece"]).select("doc_id", "row_key", "lo", F.explode("runs").alias("r")).where("r.least < doc_id")
+    return hit.select("doc_id", "row_key", (F.col("lo") + F.col("r.a")).alias("lo"), (F.col("lo") + F.col("r.z")).alias("hi"))
 
 
 def _spans(row: np.ndarray, at: np.ndarray, doc: np.ndarray, key: np.ndarray, length: int) -> pa.RecordBatch:

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from larkspur.llm import repeats as r
 
@@ -45,6 +46,39 @@ def test_against_brute_force(frame):
     assert got(r.remove_repeats(frame(rows), hot=3)) == brute(rows)
 
 
+def test_every_anchor_split_to_single_windows(frame):
+    rng = random.Random(3)
+    common = "".join(rng.choice("abc ") for _ in range(120))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(20)) + common[rng.randrange(30) :] + str(i)) for i in range(25)] + [(99, "ab" * 90), (100, "b" + "ab" * 80)]
+    assert got(r.remove_repeats(frame(rows), hot=0)) == brute(rows)
+
+
+def test_length_has_a_bound(frame):
+    with pytest.raises(ValueError):
+        r.remove_repeats(frame([(1, "a")]), length=256)
+
+
+def test_buckets_grow_slower_than_the_input():
+    bits = [r.n_bits(n) for n in (0, 10**8, 5 * 10**8, 30 * 10**9, 100 * 10**12)]
+    assert bits == sorted(bits) and bits[0] == 4 and bits[-1] <= 19
+
+
+def test_windows_of_one_piece_are_left_out():
+    """Only windows that two pieces share are sorted; the result is that of sorting all."""
+    rng = np.random.default_rng(6)
+    src = bytes(rng.integers(97, 123, 3000, dtype=np.uint8))
+    pieces = sorted({src[a : a + int(rng.integers(50, 85))] for a in rng.integers(0, 2900, 300)})
+    anchor, owner = np.repeat(np.arange(3), 100)[: len(pieces)], rng.integers(0, 50, len(pieces))
+    sizes = np.array([len(p) for p in pieces])
+    least, mixed = r.least_owners(np.frombuffer(b"".join(pieces), np.uint8), sizes, anchor, owner, 50, block=7)
+    at = np.cumsum(sizes - 49)
+    for k in range(3):
+        own = np.flatnonzero(anchor == k)
+        for i, want in zip(own, r.index([pieces[i] for i in own], owner[own], 50)):
+            assert least[at[i] - (sizes[i] - 49) : at[i]].tolist() == want.tolist()
+    assert 0 < mixed.sum() <= len(pieces)
+
+
 def test_kept_bytes(frame):
     text = "the quick brown fox jumps over the lazy dog and runs far away from here"
     out = {x.doc_id: bytes(x.kept) for x in r.remove_repeats(frame([(1, text), (2, "A" + text + "B")]), with_bytes=True).collect()}
