@@ -1,9 +1,11 @@
 """Secret scans: fixed shapes, and strings that a tokenizer finds unusually expensive.
 
 Natural words and code names fall into long tokens, random strings into short ones. A run of key-like
-characters that mixes letters and digits and has few characters per token is reported, unless it is a
-digest of usual length, an identifier of a known form or made of plain words, or overlaps a span found by shape. The regular
-expressions see the whole text as bytes; the tokenizer sees only the runs that could be keys.
+characters that mixes letters and digits, or has capitals inside, and has few characters per token is
+reported, unless it is a digest of usual length, an identifier of a known form or made of plain words, or
+overlaps a span found by shape. The regular expressions see the whole text as bytes and take time in
+proportion to it; the tokenizer sees only the runs that could be keys. Runs of letters in one case are not
+judged: long words of languages that the vocabulary knows little of are as expensive as random ones.
 """
 
 from __future__ import annotations
@@ -27,7 +29,10 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(rb"[0-9a-f]{16,}")
 #: Words that an assignment must name, to leave most texts alone: each keyword holds one of these.
 HINTS = re.compile(rb"passw|secret|token|api_?key", re.IGNORECASE)
-RUN = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of a run that is judged, at least: as many as the value of an assignment has.
+LEAST = 12
+#: What a run must mix: letters and a digit, or letters of both cases with a capital after the first character.
+MIXED = re.compile(rb"(?=.*[A-Za-z])(?=.*\d)|(?=.*[a-z]).+[A-Z]")
 #: Characters a token below which a run counts as random.
 RATIO = 2.3
 #: Hex digits of MD5, SHA-1, SHA-224, SHA-256, SHA-384 and SHA-512.
@@ -35,7 +40,7 @@ DIGESTS = {32, 40, 56, 64, 96, 128}
 #: Fixed forms of identifiers.
 KNOWN = re.compile(
     rb"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
-    rb"|\d[\d+/_=-]*"  # numbers, dates, phone and card numbers
+    rb"|\d[\d+/_=TZ-]*"  # numbers, dates and times, phone and card numbers
 )
 #: Forms of names. Random strings take them too, so a name's words must be cheap under the tokenizer as well.
 NAME = re.compile(
@@ -71,18 +76,24 @@ def shapes(text: bytes) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[0], s[2]))
 
 
-def random_runs(text: bytes, base: list[tuple[int, int, int]], enc, ratio: float = RATIO) -> list[tuple[int, int, int]]:
-    """Spans of runs with few characters a token that overlap no span of ``base``."""
-    found = []
-    for m in RUN.finditer(text):
+@lru_cache(8)
+def _runs(least: int) -> re.Pattern:
+    return re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % least)
+
+
+def random_runs(text: bytes, base: list[tuple[int, int, int]], enc, ratio: float = RATIO, least: int = LEAST) -> list[tuple[int, int, int]]:
+    """Spans of runs with few characters a token that overlap no span of ``base`` (in order of starts)."""
+    found, k, upto = [], 0, 0
+    for m in _runs(least).finditer(text):
+        a, b = m.span()
+        while k < len(base) and base[k][0] < b:  # the furthest end of the spans that start before this run's end
+            upto = max(upto, base[k][1])
+            k += 1
         run = m[0]
-        if not re.search(rb"\d", run) or not re.search(rb"[A-Za-z]", run) or KNOWN.fullmatch(run):
+        if upto > a or not MIXED.match(run) or KNOWN.fullmatch(run):
             continue
         if len(run) in DIGESTS and re.fullmatch(rb"[0-9a-fA-F]+", run):
             continue
-        a, b = m.span()
-        if any(x < b and a < y for x, y, _ in base):
-            continue
         said = run.decode()
         if len(said) < ratio * len(enc.encode_ordinary(said)) and not (NAME.fullmatch(run) and _cheap(WORDS.findall(said), enc, ratio)):
             found.append((a, b, 3))
@@ -94,11 +105,12 @@ def _cheap(words: list[str], enc, ratio: float) -> bool:
     return sum(map(len, words)) >= ratio * sum(len(enc.encode_ordinary(w)) for w in words)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, n_token, base_sha256, spans.
 
     ``spans`` lists kind:start:end in code points, by start, then kind as in ``KINDS``; ``base_sha256``
-    digests the same list without the method's spans. Letters of assignments match in either ASCII case.
+    digests the same list without the method's spans. The method judges runs of ``least`` characters and
+    more that have under ``ratio`` characters a token. Letters of assignments match in either ASCII case.
     Null text is empty and has no spans; ids are carried as they are, null or repeated. Whole texts of any
     length are read; nothing is shuffled, and no secret leaves in the result.
     """
@@ -111,7 +123,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 text = text or b""
                 base = shapes(text)
-                spans = sorted(base + random_runs(text, base, enc, ratio), key=lambda s: (s[0], s[2]))
+                spans = sorted(base + random_runs(text, base, enc, ratio, least), key=lambda s: (s[0], s[2]))
                 place = _code_points(text, sorted({x for s in spans for x in s[:2]}))
                 say = lambda some: ",".join(f"{KINDS[k]}:{place[a]}:{place[z]}" for a, z, k in some)  # noqa: B023, E731
                 counts = [sum(s[2] == k for s in spans) for k in range(4)]
@@ -131,7 +143,7 @@ def _code_points(text: bytes, offsets: list[int]) -> dict[int, int]:
     return {o: o - bisect.bisect_left(tails, o) for o in offsets}
 
 
-def redact(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO) -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """``docs`` with every span found in ``text_col`` replaced by ``[kind]``; overlapping spans become one, named by the first."""
     path = vocabulary or default_vocabulary()
     at = docs.columns.index(text_col)
@@ -146,7 +158,7 @@ def redact(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
                     continue
                 base = shapes(text)
                 parts, end = [], 0
-                for a, z, k in sorted(base + random_runs(text, base, enc, ratio)):
+                for a, z, k in sorted(base + random_runs(text, base, enc, ratio, least)):
                     if a >= end:
                         parts += [text[end:a], f"[{KINDS[k]}]".encode()]
                     end = max(end, z)

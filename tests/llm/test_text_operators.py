@@ -4,6 +4,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 
 import numpy as np
 import pytest
@@ -189,6 +190,34 @@ def test_random_strings_that_look_like_names(frame):
     assert got[-1].n_token == 0
 
 
+def test_planted_keys_and_code_names():
+    """Recall on random keys of 12 and more characters, and names that are no keys."""
+    enc, rng = secrets.encoding(secrets.default_vocabulary()), random.Random(8)
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for letters, least in ((low + up + "0123456789", 0.99), (low + "0123456789", 0.95), (up + "234567", 0.88), (low + up, 0.9)):
+        for n in (12, 16, 24, 40):
+            texts = [f"see {''.join(rng.choice(letters) for _ in range(n))} here".encode() for _ in range(300)]
+            hit = sum(any(a <= 4 and b >= 4 + n for a, b, _ in secrets.shapes(t) + secrets.random_runs(t, secrets.shapes(t), enc)) for t in texts)
+            assert hit >= least * len(texts), (letters, n, hit)
+    names = "getElementById parseHTMLDocument HttpServletRequest AbstractSingletonProxyFactoryBean python3-minimal base64EncodeString node_modules/react-dom/index2 2024-01-15T10-30-00Z PostgreSQLDatabase"
+    assert secrets.random_runs(names.encode(), [], enc) == []
+
+
+def test_runs_are_judged_once_and_fast():
+    enc, rng = secrets.encoding(secrets.default_vocabulary()), random.Random(9)
+    for end in (b"=1", b"1234567"):
+        text = b"a" * 10_000 + end
+        began = time.perf_counter()
+        secrets.random_runs(text, secrets.shapes(text), enc)
+        assert time.perf_counter() - began < 0.1
+    bits = ["token=", "AKIA", "".join(rng.choice("ABCDEFGHJKLM23456789xyz") for _ in range(24)), "0123456789abcdef77", " ", "plain words ", "é", "-"]
+    for _ in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(12))).encode()
+        base = secrets.shapes(text)
+        every = [s for s in secrets.random_runs(text, [], enc) if not any(x < s[1] and s[0] < y for x, y, _ in base)]
+        assert secrets.random_runs(text, base, enc) == every
+
+
 def test_redaction_and_empty(frame):
     out = {r.doc_id: r.text for r in secrets.redact(frame([(1, "a token=abcdefghijklmnop b"), (2, None)])).collect()}
     assert out == {1: "a [assign] b", 2: None}
