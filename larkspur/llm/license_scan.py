@@ -3,7 +3,8 @@
 A text is cut into sentences, each sentence is normalised, and known licence sentences become
 identifiers. A licence rule is an ordered sequence of identifiers; it holds where its identifiers follow
 one another among the text's known sentences. Only built-in expressions run on the row itself: no join,
-no shuffle. Texts without any of a few anchor words cannot hold a known sentence and are not cut.
+no shuffle. Every known sentence holds one of a few anchor words, which normalising leaves as they are, so
+a text without any of them holds no known sentence and is not cut.
 """
 
 from __future__ import annotations
@@ -76,10 +77,47 @@ TEXTS = {
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v.",),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+# Further sentences of licence texts and notices, in order, by rule.
+FURTHER = (
+    ("Apache-2.0", ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",)),
+    ("LGPL-2.1-or-later", ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",)),
+    ("LGPL-3.0-or-later", ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",)),
+    ("AGPL-3.0-or-later", ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",)),
+    ("GPL-2.0-only", ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",)),
+    ("0BSD", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",)),
+    ("BSL-1.0", ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",)),
+    ("Zlib", (
+        "This software is provided 'as-is', without any express or implied warranty.",
+        "In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    )),
+)
+# Sentences that go with licence texts and notices and decide no rule by themselves.
+WITH_TEXTS = (
+    "The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
+    "In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness.",
+    "In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    "In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage.",
+    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "See the License for the specific language governing permissions and limitations under the License.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "See the GNU General Public License for more details.",
+    "See the GNU Lesser General Public License for more details.",
+    "See the GNU Affero General Public License for more details.",
+    "You should have received a copy of the GNU General Public License along with this program.",
+    "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+)
 #: A rule that another one's text goes on from is not reported where the longer one holds.
 INSIDE = {"BSD-2-Clause": "BSD-3-Clause"}
-#: Every known sentence holds one of these, in lower case.
-ANCHORS = ("licens", "under", "permi", "copyright", "free software", "unencumbered", "redistribut")
+#: Every known sentence holds one of these, in lower case, or the word "under". They are parts of single words,
+#: so normalising neither makes nor breaks them.
+ANCHORS = ("licens", "permi", "copyright", "software", "unencumbered", "redistribut", "mpl")
+UNDER = r"(?:^|[^a-z0-9])under(?:[^a-z0-9]|$)"
 
 #: A sentence ends after one of these marks and white space, or with its line.
 BREAK = r"\n+|[.!?](?:[\x20\t\r]+|$)"
@@ -111,7 +149,11 @@ def _tables() -> tuple[list[str], list[tuple[str, tuple[int, ...]]]]:
             for frame in FRAMES:
                 for the in ("the ", ""):
                     rules.setdefault(number(frame.format(the=the, name=name)), spdx)
-    assert all(any(a in s for a in ANCHORS) for s in known)
+    for spdx, parts in FURTHER:
+        rules[tuple(i for p in parts for i in number(p))] = spdx
+    for part in WITH_TEXTS:
+        number(part)
+    assert all(any(a in s for a in ANCHORS) or re.search(UNDER, s) for s in known)
     return list(known), [(name, ids) for ids, name in rules.items()]
 
 
@@ -122,17 +164,14 @@ KNOWN, RULES = _tables()
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, sentence_ids (array of the known sentences in order), licenses (array, sorted).
 
-    Sentences are single lines or lines of one paragraph joined; a joined one follows its lines. Null and
+    Sentences are single lines, and lines of one paragraph joined, without comment leaders; a joined one follows its lines. Null and
     empty texts have no sentence. Whole texts are cut, of any length. Ids are carried as they are,
     null or repeated; other columns are ignored.
     """
     low = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_or_empty(text_col)).alias("t"))
-    some = F.lit(False)
+    some = F.contains("t", F.lit("under")) & F.rlike("t", F.lit(UNDER))
     for a in ANCHORS:
-        if a != "under":
-            some = some | F.contains("t", F.lit(a))
-    for a in ("under ", "under\n", "under\r", "under\t"):
-        some = some | F.contains("t", F.lit(a))
+        some = F.contains("t", F.lit(a)) | some
     joined = F.regexp_replace(F.translate("t", JOINT, "\x02"), WRAP, JOINT)
     cut = low.select("doc_id", F.when(some, F.split(joined, BREAK_JOINED)).alias("s"))
     lines = lambda s: F.filter(F.transform(F.split(s, JOINT), lambda x: F.btrim(F.regexp_replace(x, NOISE, " "))), lambda x: x != "")

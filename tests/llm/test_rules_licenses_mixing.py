@@ -1,4 +1,5 @@
 import os
+import random
 import re
 import textwrap
 from collections import Counter
@@ -88,6 +89,56 @@ def test_wrapped_licenses(frame):
     assert got == {1: ["MIT"], 2: ["BSD-3-Clause"], 3: ["BSD-2-Clause"], 4: ["GPL-2.0-or-later"], 5: ["GPL-3.0-or-later"], 6: ["ISC"], 7: ["MIT"], 8: [], 9: ["MIT"]}
 
 
+def by_sentences(text):
+    """Licences by the rules, stated in Python: lines and joined paragraphs, known sentences, sequences of identifiers."""
+    text = re.sub(license_scan.WRAP, "\x01", (text or "").lower().replace("\x01", "\x02"))
+    ids = []
+    for part in re.split(license_scan.BREAK_JOINED, text):
+        lines = [x for x in map(license_scan.normal, part.split("\x01")) if x]
+        ids += [license_scan.KNOWN.index(x) + 1 for x in lines + ([" ".join(lines)] if len(lines) > 1 else []) if x in license_scan.KNOWN]
+    said = "," + ",".join(map(str, ids)) + ","
+    found = {name for name, seq in license_scan.RULES if "," + ",".join(map(str, seq)) + "," in said}
+    return ids, sorted(found - {p for p, w in license_scan.INSIDE.items() if w in found})
+
+
+def hostile():
+    rng = random.Random(12)
+    names = [f.format(the=the, name=n) for ns in license_scan.NAMES.values() for n in ns for f in license_scan.FRAMES for the in ("the ", "")]
+    texts = [s for t in license_scan.TEXTS.values() for s in t] + [s for _, t in license_scan.FURTHER for s in t] + list(license_scan.WITH_TEXTS)
+    rows = ["Distributed under\tMIT.", "Released under: the ISC.", "(released UNDER) the -- isc licence? Licensed under\u00a0the MIT", "wonderunder the MIT", "Available under*the*ISC!", "License:MIT", "understand", "license", None, ""]
+    for _ in range(150):
+        said = rng.choice(names) if rng.random() < 0.6 else rng.choice(texts)
+        mark = rng.choice([" ", "\t", ": ", " - ", "\u3000", "_", "\r", "\x0b", ",, "])
+        words = said.split(" ")
+        said = " ".join(words) if rng.random() < 0.3 else "".join(w + (mark if rng.random() < 0.4 else " ") for w in words)
+        rows.append(rng.choice(["", "Prose! ", "x? ", "(c) ", "\t"]) + (said.upper() if rng.random() < 0.2 else said) + rng.choice(["", ".", ". More.", "! ", "?"]))
+    return list(enumerate(rows))
+
+
+def test_license_scan_on_hostile_separators(spark, frame, tmp_path):
+    """One line a text: the operator, its SQL and the rules agree."""
+    rows = hostile()
+    frame(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    assert_same(llm.QUERIES["op5_license_scan"](spark, str(tmp_path)), llm.ORACLES["op5_license_scan"], str(tmp_path))
+    got = {r.doc_id: (list(r.sentence_ids), list(r.licenses)) for r in license_scan.scan(frame(rows)).collect()}
+    assert got == {d: by_sentences(t) for d, t in rows}
+    assert got[0][1] == ["MIT"] and got[1][1] == ["ISC"] and got[4][1] == ["ISC"] and sum(bool(x) for _, x in got.values()) > 80
+
+
+def test_license_scan_of_wrapped_texts_against_rules(frame):
+    rng = random.Random(13)
+    rows = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            said = rng.choice([" ".join(rng.choice(list(license_scan.TEXTS.values()))), *license_scan.WITH_TEXTS, *(x for _, t in license_scan.FURTHER for x in t), "Released under the MIT License."])
+            lead = rng.choice(["", "# ", " * ", "// ", "; "])
+            parts.append("\n".join(textwrap.wrap(said, rng.choice([40, 72, 200]), initial_indent=lead, subsequent_indent=lead)))
+        rows.append((i, rng.choice(["\n\n", "\n", "\r\n \n"]).join(parts)))
+    got = {r.doc_id: (list(r.sentence_ids), list(r.licenses)) for r in license_scan.scan(frame(rows)).collect()}
+    assert got == {d: by_sentences(t) for d, t in rows} and sum(bool(x) for _, x in got.values()) > 50
+
+
 def test_license_scan_of_nothing(frame):
     assert license_scan.scan(frame([])).count() == 0
 
