@@ -11,7 +11,7 @@ import pyarrow as pa
 CHUNK = 3_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0xD1342543DE82EF95
+BASE = 0xD1342543DE82EF95
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,7 +29,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1), modulo 2**64; kept for the next call."""
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         out = np.full(max(n, CHUNK + 1), base, np.uint64)
         out[0] = 1
         _powers[base] = np.cumprod(out, dtype=np.uint64)
@@ -40,8 +40,8 @@ def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     """64-bit hashes of buf[start:end]; equal bytes have equal hashes wherever they lie."""
     n = len(buf)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[buf] * powers(_BASE, n), dtype=np.uint64, out=sums[1:])
-    back = powers(pow(_BASE, -1, 1 << 64), n + 1)[starts]
+    np.cumsum(BYTE[buf] * powers(BASE, n), dtype=np.uint64, out=sums[1:])
+    back = powers(pow(BASE, -1, 1 << 64), n + 1)[starts]
     return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
 
 

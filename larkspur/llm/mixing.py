@@ -9,14 +9,16 @@ that a source's taken words meet its target to the word.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import SPACE, WORD, documents, staged, text_or_empty
+from larkspur.llm.shared import WORD, documents, staged, text_or_empty
 
 CYCLE = (1, 2, 3)
 CAP = 3
 SEED = "mix-1"
+#: Between a word's last character and white space: pieces of a text cut there are white space and one word.
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 #: Hex digits of a document's seeded digest that name its bucket: a source's running sum is taken over
 #: buckets first and then inside each, so no task holds a source. 16**3 buckets a source.
 BUCKET_HEX = 3
@@ -26,7 +28,8 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, cap: int =
     """Water-filled targets: skey, source_size, target (double). ``sizes`` has skey, source and source_size.
 
     In order of cap over weight the clamped sources come first, so one running sum finds the level. The
-    windows go over one row per source, never over documents.
+    windows go over one row per source, never over documents; all sources are in one task, some 60 bytes each,
+    so this holds for millions of sources and not for one per document.
     """
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     w = sizes.withColumn("n", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(cycle))
@@ -48,16 +51,19 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, cap: int =
     )
 
 
-def plan_mix(docs: DataFrame, seed: str = SEED, cap: int = CAP) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, whole, taken, copies.
+def plan_mix(docs: DataFrame, seed: str = SEED, cap: int = CAP, carry: Column | None = None) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, whole, part, taken, and ``carried``.
 
     Null text has size 0 and null source is a source of its own, ranked last. ``whole`` is how often the
-    text is taken whole, ``taken`` the words taken in all. Rows of equal id tie and are ordered by size,
-    so reruns agree on the result as a set. Nothing is broadcast: hot sources are dealt over
-    ``16**BUCKET_HEX`` buckets each. An empty table gives an empty plan.
+    text is taken whole, ``taken`` the words taken in all. ``carry``, if given, is a column that goes along
+    with its row. Each row counts for itself, with a null or repeated id too; rows of equal id tie and are
+    ordered by size and text, so reruns agree on the result as a set, and are sorted by one task. Nothing is
+    broadcast: hot sources are dealt over ``16**BUCKET_HEX`` buckets each. An empty table gives an empty plan.
     """
     sized = staged(
         docs.select(
+            *([carry.alias("carried")] if carry is not None else []),
+            F.xxhash64(text_or_empty()).alias("tie"),
             F.col("doc_id"),
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("~")).alias("skey"),
             F.col("source"),
@@ -72,7 +78,7 @@ def plan_mix(docs: DataFrame, seed: str = SEED, cap: int = CAP) -> DataFrame:
     targets = source_targets(sizes, cap=cap)
     upto = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.select("skey", "bucket", F.coalesce(F.sum("bucket_size").over(upto), F.lit(0)).alias("offset")).join(targets, "skey")
-    inside = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("skey", "bucket").orderBy("draw", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     placed = (
         sized.join(offsets, ["skey", "bucket"])
@@ -81,27 +87,27 @@ def plan_mix(docs: DataFrame, seed: str = SEED, cap: int = CAP) -> DataFrame:
         .withColumn("more", F.floor(F.col("target") - F.col("whole") * F.col("source_size") + 0.5).cast("long"))
     )
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - F.col("before"))).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", "whole", part.alias("part"), (F.col("whole") * F.col("size") + part).alias("taken"))
+    carried = ["carried"] if carry is not None else []
+    return placed.select(*carried, "doc_id", "source", "size", "source_size", "target", "whole", part.alias("part"), (F.col("whole") * F.col("size") + part).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, seed: str = SEED, cap: int = CAP) -> DataFrame:
-    """The mix itself: the rows of ``docs``, repeated; a cut last repetition has its first words only and its own n_chars.
+    """The mix itself: the rows of ``docs``, repeated; a cut last repetition is its text through the last word taken, with its own n_chars.
 
-    Needs doc_id unique and not null. Columns are those of ``docs``. A document without words has nothing
-    to take and leaves the mix.
+    Columns are those of ``docs``. Rows go along with their plan and are never joined to it, so null and
+    repeated ids neither lose nor multiply rows. A document without words has nothing to take and leaves the mix.
     """
-    plan = plan_mix(docs, seed, cap).where("taken > 0").select(F.col("doc_id").alias("mix_id"), F.struct("size", "whole", "part").alias("mix_of"))
     cols = docs.columns
-    row = docs.select(F.col("doc_id").alias("mix_id"), F.struct(*(F.col(f"`{c}`") for c in cols)).alias("mix_row"))
-    times = F.col("mix_of.whole").cast("int") - F.when(F.col("mix_of.part") > 0, 0).otherwise(1)
-    out = row.join(plan, "mix_id").withColumn("mix_k", F.explode(F.sequence(F.lit(0), times)))
-    cut = (F.col("mix_k") == F.col("mix_of.whole")) & (F.col("mix_of.part") < F.col("mix_of.size"))
-    words = F.filter(F.split("mix_row.text", SPACE), lambda w: w != "")
-    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("mix_of.part").cast("int")), " ")).otherwise(F.col("mix_row.text"))
+    plan = plan_mix(docs, seed, cap, F.struct(*(F.col(f"`{c}`") for c in cols))).where("taken > 0")
+    times = F.col("whole").cast("int") - F.when(F.col("part") > 0, 0).otherwise(1)
+    out = plan.select("carried", "size", "whole", "part", F.explode(F.sequence(F.lit(0), times)).alias("k"))
+    cut = (F.col("k") == F.col("whole")) & (F.col("part") < F.col("size"))
+    words = F.split("carried.text", WORD_END)
+    text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("part").cast("int")), "")).otherwise(F.col("carried.text"))
     made = {"text": text}
     if "n_chars" in cols:
-        made["n_chars"] = F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("mix_row.n_chars"))
-    return out.select(*(made.get(c, F.col(f"mix_row.`{c}`")).alias(c) for c in cols))
+        made["n_chars"] = F.when(cut, F.char_length(text).cast("long")).otherwise(F.col("carried.n_chars"))
+    return out.select(*(made.get(c, F.col(f"carried.`{c}`")).alias(c) for c in cols))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

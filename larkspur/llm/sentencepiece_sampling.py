@@ -21,9 +21,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larkspur.llm import bytes_view as bv
 from larkspur.llm.shared import documents
 
 SAMPLES = 2
@@ -44,38 +46,12 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser of a 64-bit mixing hash, on uint64 with wrap-around."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
 def _uniform(key: np.ndarray, leaf: int, place: np.ndarray, salt: int = 0) -> np.ndarray:
     """In (0, 1), fixed by the row's key, the leaf, the place in the text and a salt."""
-    h = _mix(key + (place.astype(np.uint64) * np.uint64(2654435761) + np.uint64(leaf * 7919 + salt * 104729 + 1)) * _GOLD)
+    h = bv.mix(key + (place.astype(np.uint64) * np.uint64(2654435761) + np.uint64(leaf * 7919 + salt * 104729 + 1)) * bv.GOLD)
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... of each range, one after the other."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
-_BASE = 0xD1342543DE82EF95
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1), modulo 2**64."""
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 class Vocabulary:
     """The pieces of a SentencePiece model: a trie in one hash table, weights, and bytes for decoding."""
 
@@ -116,7 +92,7 @@ class Vocabulary:
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.next = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
         keys = np.array([s << 21 | c for s, c in trie], np.int64)
-        for k, slot, to in zip(keys.tolist(), ((keys.astype(np.uint64) * _GOLD) >> self.shift).tolist(), trie.values()):
+        for k, slot, to in zip(keys.tolist(), ((keys.astype(np.uint64) * bv.GOLD) >> self.shift).tolist(), trie.values()):
             while self.keys[slot] >= 0:
                 slot = (slot + 1) & self.mask
             self.keys[slot], self.next[slot] = k, to
@@ -126,7 +102,7 @@ class Vocabulary:
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The trie's next states, -1 where there is none."""
         key = (state << 21) | char
-        slot = ((key.astype(np.uint64) * _GOLD) >> self.shift).astype(np.int64)
+        slot = ((key.astype(np.uint64) * bv.GOLD) >> self.shift).astype(np.int64)
         out = np.full(len(key), -1, np.int64)
         left = np.arange(len(key))
         while len(left):
@@ -139,7 +115,7 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The UTF-8 bytes that the pieces spell, with the space that stands before every text."""
-        return self.bytes[_ranges(self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids])]
+        return self.bytes[bv.ranges(self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids])]
 
 
 @lru_cache(2)
@@ -195,7 +171,7 @@ class Lattice:
         inside = to < end[start] if n else np.zeros(0, bool)
         for a, b in zip(bounds[:-1], bounds[1:]):
             p = by_left[a:b]
-            e = _ranges(off[p], counts[p])
+            e = bv.ranges(off[p], counts[p])
             val = weight[e] + np.where(inside[e], beta[to[e]], 0.0)
             first = np.cumsum(counts[p]) - counts[p]
             beta[p] = np.logaddexp.reduceat(val, first)
@@ -237,13 +213,13 @@ class Walks:
         self.w_start = np.flatnonzero(first[:n])
         self.w_end = np.append(self.w_start[1:], n) if n else self.w_start
         # distinct words by a 64-bit hash of their characters
-        power, down = (_powers(x, n) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(flat.astype(np.uint64) + _GOLD) * power, dtype=np.uint64)])
-        h = _mix((sums[self.w_end] - sums[self.w_start]) * down[self.w_start] + (self.w_end - self.w_start).astype(np.uint64))
+        power, down = (bv.powers(x, n) for x in (bv.BASE, pow(bv.BASE, -1, 1 << 64)))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bv.mix(flat.astype(np.uint64) + bv.GOLD) * power, dtype=np.uint64)])
+        h = bv.mix((sums[self.w_end] - sums[self.w_start]) * down[self.w_start] + (self.w_end - self.w_start).astype(np.uint64))
         _, index, inv = np.unique(h, return_index=True, return_inverse=True)
         sizes = (self.w_end - self.w_start)[index]
         ends = np.cumsum(sizes)
-        self.lattice = Lattice(v, flat[_ranges(self.w_start[index], sizes)], ends - sizes, ends)
+        self.lattice = Lattice(v, flat[bv.ranges(self.w_start[index], sizes)], ends - sizes, ends)
         self.shift = (ends - sizes)[inv] - self.w_start if n else self.w_start  # from a place to its lattice position, by word
         self.w_doc = np.searchsorted(self.doc_end, self.w_start, side="right")
 
@@ -267,7 +243,7 @@ class Walks:
         lat = self.lattice
         upto = np.minimum(token_at + depth, token_end)
         count = upto - token_at
-        t = _ranges(token_at, count)
+        t = bv.ranges(token_at, count)
         which = np.repeat(np.arange(len(docs)), count)
         e, p = edges[t], places[t]
         run = np.concatenate([[0.0], np.cumsum(lat.logp[e])])
@@ -276,7 +252,7 @@ class Walks:
         after = mass + run[at + count] - run[at]
         state = p + self.shift[self.word_at(p)]
         n_alt = lat.off[state + 1] - lat.off[state]
-        alt = _ranges(lat.off[state], n_alt)
+        alt = bv.ranges(lat.off[state], n_alt)
         src = np.repeat(np.arange(len(t)), n_alt)
         other = alt != e[src]
         alt, src = alt[other], src[other]
@@ -334,7 +310,7 @@ class Walks:
             for source in np.unique(popped["leaf"]):  # the prefix comes from the leaf that was left
                 own = popped["leaf"] == source
                 d, q = popped["doc"][own], popped["place"][own]
-                idx = _ranges(self.doc_start[d], q - self.doc_start[d])
+                idx = bv.ranges(self.doc_start[d], q - self.doc_start[d])
                 edge_at[idx] = kept_paths[source][idx]
             edge_at[popped["place"]] = popped["edge"]
             begin = self.doc_start.copy()
@@ -393,15 +369,27 @@ class Walks:
 
 
 FIELDS = [
-    ("doc_id", pa.int64()), ("sample", pa.int32()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()),
+    ("doc_id", pa.int64()), ("repetition", pa.int64()), ("sample", pa.int32()), ("n_tokens", pa.int64()), ("log_prob", pa.float64()), ("perturbed", pa.float64()),
     ("log_inclusion", pa.float64()), ("ids", pa.list_(pa.int32())), ("round_trip", pa.bool_()),
 ]
-OUT = "doc_id long, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, ids array<int>, round_trip boolean"
+OUT = "doc_id long, repetition long, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, ids array<int>, round_trip boolean"
+
+
+def row_keys(doc_ids: list, seed: int, repetitions: list | None = None) -> np.ndarray:
+    """What a row's draws depend on: the seed, its id (null has a key of its own) and the number of its repetition."""
+    null = np.array([d is None for d in doc_ids], bool)
+    ids = np.array([0 if d is None else d for d in doc_ids], np.int64).view(np.uint64)
+    keys = bv.mix((ids + np.uint64(1)) * bv.GOLD + np.uint64(seed))
+    keys[null] = bv.mix(keys[null] ^ np.uint64(0x6E756C6C))
+    if repetitions is not None:
+        times = np.array([r or 0 for r in repetitions], np.int64).view(np.uint64)
+        keys = np.where(times > 0, bv.mix(keys + times * np.uint64(0xD1342543DE82EF95)), keys)
+    return keys
 
 
-def encode_chunk(v: Vocabulary, doc_ids: list, texts: list[str], k: int, seed: int):
+def encode_chunk(v: Vocabulary, doc_ids: list, texts: list[str], k: int, seed: int, repetitions: list | None = None):
     """Record batches for some texts, one for each sample."""
-    keys = _mix(np.array([0 if d is None else d + 1 for d in doc_ids], np.int64).astype(np.uint64) * _GOLD + np.uint64(seed))
+    keys = row_keys(doc_ids, seed, repetitions)
     walks = Walks(v, texts, keys)
     leaves = walks.sample(k)
     bound = np.full(len(texts), np.inf)  # log-time of the first arrival that isn't in the sample
@@ -418,20 +406,21 @@ def encode_chunk(v: Vocabulary, doc_ids: list, texts: list[str], k: int, seed: i
             small = np.exp(np.minimum(gap, 50.0))
             inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-small)))
         ok = [spelled[ends[d] : ends[d + 1]].tobytes()[1:] == raw[d] for d in docs]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((start[1:] - start[:-1])[docs])]).astype(np.int32)), pa.array(tokens[_ranges(start[docs], (start[1:] - start[:-1])[docs])].astype(np.int32)))
-        cols = [pa.array([doc_ids[d] for d in docs], pa.int64()), pa.array(np.full(len(docs), rank + 1, np.int32)), pa.array((start[1:] - start[:-1])[docs]), *(pa.array(np.round(x, 9) + 0.0) for x in (leaf["logp"], -leaf["arrival"], inclusion)), lists, pa.array(ok, pa.bool_())]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((start[1:] - start[:-1])[docs])]).astype(np.int32)), pa.array(tokens[bv.ranges(start[docs], (start[1:] - start[:-1])[docs])].astype(np.int32)))
+        cols = [pa.array([doc_ids[d] for d in docs], pa.int64()), pa.array([repetitions[d] or 0 if repetitions else 0 for d in docs], pa.int64()), pa.array(np.full(len(docs), rank + 1, np.int32)), pa.array((start[1:] - start[:-1])[docs]), *(pa.array(np.round(x, 9) + 0.0) for x in (leaf["logp"], -leaf["arrival"], inclusion)), lists, pa.array(ok, pa.bool_())]
         yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(FIELDS))
 
 
-def sample_encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str | None = None, power: float = POWER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sample_encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: str | None = None, power: float = POWER, id_col: str = "doc_id", text_col: str = "text", repetition_col: str | None = None) -> DataFrame:
     """k distinct segmentations per row, sampled without replacement: one row each, in order of arrival.
 
     ``log_prob``: of the segmentation; ``perturbed``: with its Gumbel noise; ``log_inclusion``: logarithm
     of the probability that the segmentation beats the best one left out, for weighted estimates;
     ``round_trip``: the ids decode to the text. A text with fewer than k segmentations gives all of them,
     with inclusion 1; null and empty texts have one, of no tokens. Rows with a null id share a key of their
-    own; rows of equal id and text get equal samples. Whole texts, of any length, are walked. Nothing is
-    shuffled; the model's path must be readable on every executor.
+    own; rows of equal id and text get equal samples, unless ``repetition_col`` numbers them (see
+    ``repetitions``), which is then part of the key. Whole texts, of any length, are walked, at some 110 bytes
+    of memory a character. Nothing is shuffled; the model's path must be readable on every executor.
     """
     path = model or default_model()
 
@@ -439,15 +428,30 @@ def sample_encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: st
         v = vocabulary(path, power)
         for batch in batches:
             ids, texts = batch.column(0).cast(pa.int64()).to_pylist(), batch.column(1).to_pylist()
+            again = batch.column(2).to_pylist() if repetition_col else None
             lo, size = 0, 0
             for i, t in enumerate(texts):
                 texts[i] = t or ""
                 size += len(texts[i])
                 if size > CHUNK or i == len(texts) - 1:
-                    yield from encode_chunk(v, ids[lo : i + 1], texts[lo : i + 1], k, seed)
+                    yield from encode_chunk(v, ids[lo : i + 1], texts[lo : i + 1], k, seed, again and again[lo : i + 1])
                     lo, size = i + 1, 0
 
-    return docs.select(id_col, text_col).mapInArrow(run, OUT)
+    more = [F.col(repetition_col).cast("long")] if repetition_col else []
+    return docs.select(id_col, text_col, *more).mapInArrow(run, OUT)
+
+
+def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "repetition", task_bytes: int = 8 << 20) -> DataFrame:
+    """``docs`` with the number (from 0) of each row among those of equal id and text, so that each can be sampled anew.
+
+    One shuffle by id and text, to tasks of about ``task_bytes`` of text. Rows of equal id and text are numbered
+    in any order: they differ in nothing that is encoded.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    own = docs.withColumn("_same", F.xxhash64(F.col(id_col), text))
+    w = Window.partitionBy("_same").orderBy("_same")
+    return own.repartition(max(1, -(-total // task_bytes)), "_same").withColumn(name, F.row_number().over(w) - 1).drop("_same")
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "text") -> DataFrame:

@@ -189,3 +189,26 @@ def test_mix_edges(frame):
     assert [(r.size, r.target, r.taken) for r in rows] == [(0, 0.0, 0)] * 3
     tied = mixing.plan_mix(frame([(1, "a b"), (1, "a b"), (1, "c")], ["a", "a", None])).collect()
     assert sum(r.taken for r in tied) == 5
+
+
+def test_mix_keeps_rows_with_null_and_repeated_ids(frame):
+    """Ids (1, 1, null, 2, null): each row is taken as its plan says, however its id repeats."""
+    rows = [(1, "a b c"), (1, "a b c"), (None, "d e"), (2, "f g h i"), (None, "j")]
+    out = [(r.doc_id, r.text) for r in mixing.mix_documents(frame(rows, ["x", "x", "x", "x", "x"])).collect()]
+    assert sorted(out, key=repr) == sorted(rows, key=repr)  # one source takes all its words once
+    rows = [(7, f"w{i} " * (i % 5 + 1)) for i in range(30)] + [(None, f"n{i}") for i in range(10)]
+    sources = [["a", "b"][i % 2] for i in range(40)]
+    plan = mixing.plan_mix(frame(rows, sources)).collect()
+    out = mixing.mix_documents(frame(rows, sources)).collect()
+    assert len(plan) == 40 and sum(len(r.text.split()) for r in out) == sum(r.taken for r in plan)
+    assert Counter(r.doc_id for r in out if r.doc_id is None)[None] >= 5
+
+
+def test_cut_repetitions_keep_white_space(frame):
+    text = " one\ttwo\n\nthree  four five six seven eight "
+    rows = [(1, text), (2, " ".join("abcdefgh"))]
+    out = mixing.mix_documents(frame(rows, ["a", "b"])).where("doc_id = 1").collect()
+    plan = {r.doc_id: r for r in mixing.plan_mix(frame(rows, ["a", "b"])).collect()}
+    cut = [r for r in out if r.text != text]
+    assert plan[1].taken % 8 and len(cut) == 1
+    assert text.startswith(cut[0].text) and len(cut[0].text.split()) == plan[1].taken % 8 and cut[0].n_chars == len(cut[0].text)

@@ -88,6 +88,28 @@ def test_batches_do_not_matter(v):
     assert sorted(whole, key=repr) == sorted(alone, key=repr)
 
 
+def test_ids_at_both_ends_and_null_have_keys_of_their_own(v):
+    ids = [None, -1, 0, 2**63 - 1, -(2**63)]
+    keys = sp.row_keys(ids, 1)
+    assert len(set(keys.tolist())) == 5
+    text = "one and the same text for each of these rows"
+    got = rows(v, ids, [text] * 5, 1)
+    assert len({tuple(r["ids"]) for r in got}) == 5 and all(r["round_trip"] for r in got)
+    again = sp.row_keys([7, 7, 7], 1, [0, 1, 2])
+    assert len(set(again.tolist())) == 3 and again[0] == sp.row_keys([7], 1)[0]
+
+
+def test_repetitions_are_sampled_anew(frame):
+    text = "a text that the mix takes three times over"
+    docs = frame([(1, text)] * 3 + [(2, text), (None, None), (None, None), (3, "")])
+    numbered = sp.repetitions(docs)
+    assert numbered.columns == [*docs.columns, "repetition"]
+    assert sorted((r.doc_id or 0, r.repetition) for r in numbered.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (1, 2), (2, 0), (3, 0)]
+    got = sp.sample_encode(numbered, repetition_col="repetition").where("doc_id IN (1, 2)").collect()
+    assert len({tuple(r.ids) for r in got}) >= 7 and all(r.round_trip for r in got)
+    assert sp.sample_encode(sp.repetitions(frame([])), repetition_col="repetition").count() == 0
+
+
 def test_library_decodes_the_same(v):
     import sentencepiece
 
@@ -276,6 +298,78 @@ def test_em_finds_the_worse_labeller():
     assert acc[2].mean() < acc[1].mean() < acc[0].mean()
 
 
+def penalised(v, acc, prior):
+    """Log-likelihood of votes under the labellers' model, with the prior of four right votes in five, summed row by row."""
+    total = float((4 * np.log(acc) + np.log1p(-acc)).sum())
+    for row in v:
+        up, down = prior, 1 - prior
+        for k, x in enumerate(row):
+            if x >= 0:
+                up *= acc[k, 1] if x == 1 else 1 - acc[k, 1]
+                down *= acc[k, 0] if x == 0 else 1 - acc[k, 0]
+        total += math.log(up + down)
+    return total
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_em_against_direct_maximisation(seed):
+    """No step from EM's result, along any parameter, is a better maximum; nor is the best of many random points."""
+    rng = np.random.default_rng(seed)
+    truth = rng.random(60) < 0.4
+    v = np.stack([np.where(rng.random(60) < e, ~truth, truth).astype(int) for e in (0.1, 0.2, 0.3)], axis=1)
+    v[rng.random(v.shape) < 0.2] = -1
+    post, acc, prior = clf.accuracies(v, rounds=400)
+    best = penalised(v, acc, prior)
+    for k in range(3):
+        for c in range(2):
+            for step in (-0.01, 0.01):
+                other = acc.copy()
+                other[k, c] = np.clip(other[k, c] + step, 0.55, 0.995)
+                assert penalised(v, other, prior) <= best + 1e-3
+    for step in (-0.01, 0.01):
+        assert penalised(v, acc, prior + step) <= best + 1e-3
+    for _ in range(300):
+        assert penalised(v, rng.uniform(0.55, 0.995, (3, 2)), rng.uniform(0.05, 0.95)) <= best + 1e-3
+
+
+def test_training_against_brute_force_gradients():
+    """The trained weights are where the slopes of the penalised loss, taken by differences, vanish."""
+    rng = np.random.default_rng(1)
+    n = 1200
+    post = np.where(rng.random(n) < 0.3, 0.9, 0.1)
+    has = np.stack([rng.random(n) < np.where(post > 0.5, p, q) for p, q in ((0.8, 0.05), (0.6, 0.1), (0.1, 0.7))], axis=1)
+    doc, ids = np.nonzero(has)
+    ids, w, bias = clf.train(doc, ids, post, rounds=4000)
+    assert ids.tolist() == [0, 1, 2]
+    count = has.sum(0)
+
+    def loss(w, bias):
+        s = has @ w + bias
+        return float((np.log1p(np.exp(s)) - post * s).sum() + 0.5 * 1e-3 * (count * w * w).sum())
+
+    for k in range(3):
+        e = np.zeros(3)
+        e[k] = 1e-4
+        assert abs(loss(w + e, bias) - loss(w - e, bias)) / 2e-4 < 0.05 * count[k]
+    assert abs(loss(w, bias + 1e-4) - loss(w, bias - 1e-4)) / 2e-4 < 0.02 * n
+    assert w[0] > 0 > w[2]
+
+
+def test_scores_are_the_linear_model_word_by_word():
+    """Scores against a sum over the distinct features of each text by itself."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["alpha", "betas", "gam!", "DELTA", "é"]) for _ in range(rng.randrange(12))) for _ in range(30)]
+    one = lambda t: clf.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[1]
+    known = np.unique(np.concatenate([one(t) for t in texts]))[::2]
+    weights = np.linspace(-1, 1, len(known))
+    model = clf.Model([(known, weights, 0.3), (known[:3], weights[:3], -0.2)])
+    data, ends = "".join(texts).encode(), np.cumsum([0] + [len(t.encode()) for t in texts])
+    got = model.score(np.frombuffer(data, np.uint8), ends)
+    for i, t in enumerate(texts):
+        s = 0.3 + sum(w for f, w in zip(known, weights) if f in set(one(t).tolist()))
+        assert abs(got[i, 0] - 1 / (1 + math.exp(-s))) < 1e-9
+
+
 def test_classifier_edges(spark, frame):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model, _ = clf.fit(frame([(1, "a")]), none)
