@@ -6,8 +6,8 @@ and a limited number of tokens of the turns before, which are repeated as contex
 assistant turns where they are new, so each trains once.
 
 Turns are written as ``### role``, a line end, the text, ``</turn>`` and a line end. Inside a text every
-backslash is doubled, and ``##`` and ``</turn>`` get a backslash inside, so neither control string can
-stand in a text and reading back is exact.
+backslash is doubled, and ``##`` and ``</turn>`` get a backslash inside, so neither ``###`` nor ``</turn>``
+can stand in a text and reading back is exact.
 
 Rows of a conversation reach one task in order and are streamed: the task holds a window's turns and no
 more, however long the conversation is.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.shared import staged
+from larkspur.llm.shared import staged, unstage
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -14,7 +14,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates the two star operations of the map-reduce algorithm (large-star, small-star): each round
     hooks neighbours to the smallest one known, and every round's edges are written to the shared folder,
     so lineage stays short. Rounds grow with the logarithm of the diameter. Loops, repeated edges and
-    null ends are ignored; no edges give no rows. The driver sees two numbers a round.
+    null ends are ignored; no edges give no rows. The driver sees two numbers a round. A graph that needs more
+    than ``max_rounds`` rounds raises an error: there is no partial result.
     """
     now = staged(_clean(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))), "cc-edges")
     seen = _print(now)
@@ -27,10 +28,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        now = staged(_clean(small), "cc-edges")
+        before, now = now, staged(_clean(small), "cc-edges")
         was, seen = seen, _print(now)
+        unstage(before)
         if was == seen:
             break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     tops = now.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("comp")).unionByName(tops)
 

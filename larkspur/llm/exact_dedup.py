@@ -23,6 +23,8 @@ from larkspur.llm.shared import documents, staged
 
 #: Bytes of text that one table may hold: in a task before copies are flushed, and in a bucket.
 TABLE_BYTES = 48 << 20
+#: Bytes of text that one task reads, about: its buckets come one after the other.
+TASK_BYTES = 128 << 20
 #: Buckets into which one level splits a bucket that is too large.
 FAN = 16
 #: The columns beside those of the documents.
@@ -179,28 +181,37 @@ def grace_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pending = groups.select("gid", "doc_id", "uid", "n", "sha", "n_bytes", F.col(f"c{text_at}").alias("text"))
     size = pending.agg(F.sum("n_bytes")).first()[0] or 0
     first_fan = 1 << max(4, int(np.ceil(np.log2(1 + 2 * size / table_bytes))))
+    tasks = max(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
     ready, level = [], 0
     while True:
         pending = pending.withColumn("bucket", _bucket(level, first_fan))
         per = pending.groupBy("bucket", "sha").agg(F.max("n_bytes").alias("b")).groupBy("bucket").agg(F.sum("b").alias("b"), F.count("b").alias("texts"))
         over = per.where((F.col("b") > table_bytes) & (F.col("texts") > 1)).select("bucket")
-        if level >= 12 or over.isEmpty():
+        if over.isEmpty():
             ready.append(pending)
             break
+        if level > 0 and _bits(level - 1, first_fan) > 60:
+            raise RuntimeError("different texts share the leading 60 bits and another 64-bit hash of their digests")
         ready.append(pending.join(over, "bucket", "left_anti"))
-        pending = staged(pending.join(over, "bucket", "left_semi").drop("bucket").withColumn("spill", _bucket(level + 1, first_fan)).repartition("spill").drop("spill"), "grace-spill")
+        pending = staged(pending.join(over, "bucket", "left_semi").drop("bucket").withColumn("spill", _bucket(level + 1, first_fan)).repartition(tasks, "spill").drop("spill"), "grace-spill")
         level += 1
     verdicts = None
     for r in ready:
-        dealt = r.select("bucket", "gid", "doc_id", "uid", "n", "sha", "text").repartition("bucket").sortWithinPartitions("bucket")
+        dealt = r.select("bucket", "gid", "doc_id", "uid", "n", "sha", "text").repartition(tasks, "bucket").sortWithinPartitions("bucket")
         v = dealt.mapInArrow(tables, "gid long, keep_id long, keep_uid long, group_size long")
         verdicts = v if verdicts is None else verdicts.unionByName(v)
     return members, groups, verdicts
 
 
+def _bits(level: int, first_fan: int) -> int:
+    return (first_fan * FAN**level).bit_length() - 1
+
+
 def _bucket(level: int, first_fan: int):
-    """The bucket at a level, from the digest's leading bits: each level refines the one above."""
-    bits = min(60, (first_fan * FAN**level).bit_length() - 1)
+    """The bucket at a level, from the digest's leading bits: each level refines the one above. After 60 bits a hash of the whole digest takes over."""
+    bits = _bits(level, first_fan)
+    if bits > 60:
+        return F.xxhash64("sha")
     head = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")
     return F.shiftright(head, 60 - bits)
 
