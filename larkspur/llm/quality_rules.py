@@ -186,5 +186,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-QUERIES = {"op7_quality_rules": op7}
-ORACLES = {"op7_quality_rules": ORACLE}
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the standing policy costs over all documents."""
+    return ablation(ledger(documents(spark, sf_dir)))
+
+
+ABLATION = f"""
+WITH f AS (SELECT failed_bits AS b FROM ({ORACLE})),
+r(rule, bit) AS (VALUES {", ".join(f"('{name}', {1 << i})" for i, (name, _) in enumerate(RULES) if POLICIES["v2"] >> i & 1)})
+SELECT rule, count_if((b & bit) <> 0) AS n_failed, count_if((b & {POLICIES["v2"]}) = bit) AS n_only, count(b) AS n_docs, coalesce(bool_or((b & bit) <> 0), false) AS ever
+FROM r LEFT JOIN f ON true GROUP BY rule
+"""
+
+QUERIES = {"op7_quality_rules": op7, "quality_ablation": quality_ablation}
+ORACLES = {"op7_quality_rules": ORACLE, "quality_ablation": ABLATION}

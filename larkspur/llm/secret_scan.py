@@ -19,6 +19,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.llm.shared import documents
 
@@ -174,5 +175,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(documents(spark, sf_dir))
 
 
-QUERIES = {"op8_secret_scan": op8}
+def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their secrets, by digest and size."""
+    out = redact(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+QUERIES = {"op8_secret_scan": op8, "redacted_documents": redacted_documents}
 ORACLES: dict[str, str] = {}
