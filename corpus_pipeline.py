@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written as Parquet and read
 again as the next stage's ``docs``. All but the last return the columns of ``documents``. The mix repeats
-documents, so from there on a doc_id can come more than once, and each row is encoded.
+documents, so from there on a doc_id can come more than once, and each row is encoded by draws of its own.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_sampling
-from larkspur.llm.shared import documents, staged
+from larkspur.llm.shared import documents, staged, unstage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled segmentations of every document of the mix."""
-    return sentencepiece_sampling.sample_encode(docs)
+    """Sampled segmentations of every document of the mix, new ones for each repetition."""
+    return sentencepiece_sampling.sample_encode(sentencepiece_sampling.repetitions(docs), repetition_col="repetition")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -55,5 +55,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        unstage(before)
     return STAGES[-1][1](spark, docs, sf_dir)
