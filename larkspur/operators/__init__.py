@@ -1,7 +1,9 @@
 """Relational and time-series operators composed from Spark's own."""
 
 from larkspur.operators.joins import asof_join, band_join, salted_join
+from larkspur.operators.python_functions import Words, aggregate, reversed_words
+from larkspur.operators.quantiles import quantiles
 from larkspur.operators.timeseries import fill_forward, funnel, rollup, sessions
 from larkspur.operators.vectors import nearest
 
-__all__ = ["asof_join", "band_join", "fill_forward", "funnel", "nearest", "rollup", "salted_join", "sessions"]
+__all__ = ["Words", "aggregate", "asof_join", "band_join", "fill_forward", "funnel", "nearest", "quantiles", "reversed_words", "rollup", "salted_join", "sessions"]

@@ -12,7 +12,10 @@ def rollup(events: DataFrame, every: str, keys: list[str], aggs: dict[str, Colum
 
 
 def sessions(events: DataFrame, gap_seconds: int, key: str, ts: str = "ts") -> DataFrame:
-    """key, session_start, session_end (last event), n_events; a session ends when the next event is ``gap_seconds`` or more away."""
+    """key, session_start, session_end (last event), n_events; a session ends when the next event is ``gap_seconds`` or more away.
+
+    A key's events are sorted by one task, spilling as they must: a key with a large share of all events makes that task the longest.
+    """
     w = Window.partitionBy(key).orderBy(ts)
     far = F.coalesce((F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))) >= gap_seconds * 1_000_000, F.lit(True))
     numbered = events.withColumn("_s", F.sum(far.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -20,13 +23,24 @@ def sessions(events: DataFrame, gap_seconds: int, key: str, ts: str = "ts") -> D
 
 
 def funnel(events: DataFrame, steps: list[str], key: str, ts: str = "ts", kind: str = "event_type") -> DataFrame:
-    """key and how many of ``steps`` it passed in order (each strictly after the one before)."""
-    out = events.where(F.col(kind).isin(steps)).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(ts, kind))).alias("e"))
-    passed = F.aggregate("e", F.lit(0), lambda n, e: F.when(e[kind] == F.get(F.array(*map(F.lit, steps)), n), n + 1).otherwise(n))
-    return out.select(key, passed.alias("depth"))
+    """key and how many of ``steps`` it passed in order, each at a time strictly after the one before.
+
+    The earliest time of each step after the one before is a minimum that combines before it is shuffled, so a
+    key of very many events is no group anywhere. Keys without any of the steps have no row; one whose first
+    event is another step has depth 0. Null times pass nothing.
+    """
+    out = events.where(F.col(kind).isin(steps)).select(key).distinct().withColumn("depth", F.lit(0))
+    before = None
+    for n, step in enumerate(steps, 1):
+        own = events.where(F.col(kind) == step).select(F.col(key).alias("_k"), F.col(ts).alias("_t"))
+        if before is not None:
+            own = own.join(before, "_k").where("_t > _before")
+        before = own.groupBy("_k").agg(F.min("_t").alias("_before")).where("_before IS NOT NULL")
+        out = out.join(before.select(F.col("_k").alias(key), F.lit(n).alias("_n")), key, "left").select(key, F.coalesce("_n", "depth").alias("depth"))
+    return out
 
 
 def fill_forward(df: DataFrame, key: str, ts: str, value: str) -> DataFrame:
-    """``value`` with nulls replaced by the last value before them in the key's time order."""
+    """``value`` with nulls replaced by the last value before them in the key's time order; a key's rows are sorted by one task."""
     w = Window.partitionBy(key).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn(value, F.last(value, ignorenulls=True).over(w))

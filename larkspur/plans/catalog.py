@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur import operators as ops
+from larkspur import streaming as st
 from larkspur.functions import safe_ratio
-from larkspur.sources import read_table
+from larkspur.sources import FORMATS, read_files, read_table, scratch, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +30,22 @@ def query(sql: str | None = None):
     return register
 
 
+def streaming_query(sql: str):
+    """Register a function of the event stream; its rows go to files of the shared folder, in append mode.
+
+    The table is a file or a folder; named as a pattern, the stream's source takes either.
+    """
+
+    def register(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return st.run_to_files(f(st.read_events(spark, f"{sf_dir}/events.parque[t]", files_per_trigger=1000)), scratch(spark, f.__name__))
+
+        QUERIES[f.__name__], ORACLES[f.__name__] = run, sql
+        return f
+
+    return register
+
+
 @query("""
 SELECT c_custkey, c_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
 FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey
@@ -69,7 +88,8 @@ def order_cube(t):
 SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished,
        median(o_totalprice) AS mid FROM orders GROUP BY o_orderpriority""")
 def distinct_and_filtered(t):
-    return t("orders").groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("customers"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"), F.median("o_totalprice").alias("mid"))
+    counts = t("orders").groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("customers"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    return counts.join(ops.quantiles(t("orders"), "o_orderpriority", "o_totalprice", {"mid": 0.5}), "o_orderpriority")
 
 
 @query("""
@@ -246,4 +266,180 @@ def scalar_subquery(t):
     return t("orders").where(F.col("o_totalprice") > limit).select("o_orderkey")
 
 
+@query("""
+SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')""")
+def anti_join_urgent(t):
+    done = t("orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'")
+    return t("customer").join(done, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+@query("""
+SELECT coalesce(c_nationkey, s_nationkey) AS nation, c.n AS customers, s.n AS suppliers
+FROM (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY ALL) c FULL JOIN (SELECT s_nationkey, count(*) AS n FROM supplier GROUP BY ALL) s ON c_nationkey = s_nationkey""")
+def full_join_counts(t):
+    c = t("customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"))
+    s = t("supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))
+    return c.join(s, F.col("c_nationkey") == F.col("s_nationkey"), "full").select(F.coalesce("c_nationkey", "s_nationkey").alias("nation"), "customers", "suppliers")
+
+
+@query("""
+SELECT o_custkey, round(sum(o_totalprice), 2) AS total, max(c_name) AS name
+FROM orders RIGHT JOIN customer ON o_custkey = c_custkey WHERE o_custkey IS NOT NULL GROUP BY o_custkey HAVING count(*) >= 12""")
+def right_join_having(t):
+    joined = t("orders").join(t("customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"), "right").where("o_custkey IS NOT NULL")
+    return joined.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("c_name").alias("name"), F.count(F.lit(1)).alias("n")).where("n >= 12").drop("n")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal < -900)")
+def not_in(t):
+    """The list is of different nations, so it stays small; a null in it leaves no row, as in SQL."""
+    listed = t("supplier").where("s_acctbal < -900").select("s_nationkey").distinct()
+    return t("customer").sparkSession.sql("SELECT c_custkey FROM {c} WHERE c_nationkey NOT IN (SELECT s_nationkey FROM {s})", c=t("customer"), s=listed)
+
+
+@query("SELECT o_orderkey FROM orders o WHERE o_totalprice > (SELECT 1.5 * avg(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)")
+def correlated_scalar(t):
+    mean = t("orders").groupBy(F.col("o_custkey").alias("k")).agg((1.5 * F.avg("o_totalprice")).alias("bar"))
+    return t("orders").join(mean, F.col("o_custkey") == F.col("k")).where("o_totalprice > bar").select("o_orderkey")
+
+
+@query("SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY GROUPING SETS ((c_mktsegment), (c_nationkey), ())")
+def grouping_sets(t):
+    c = t("customer")
+    return c.groupingSets([["c_mktsegment"], ["c_nationkey"], []], "c_mktsegment", "c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("""
+SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99
+FROM lineitem GROUP BY l_returnflag""")
+def percentiles(t):
+    q = ops.quantiles(t("lineitem"), "l_returnflag", "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99})
+    return q.select("l_returnflag", *(F.round(c, 4).alias(c) for c in ("p10", "p50", "p99")))
+
+
+@query("""
+SELECT o_custkey, o_orderkey, ntile(4) OVER w AS quarter, round(percent_rank() OVER w, 6) AS pr, round(cume_dist() OVER w, 6) AS cd, lead(o_orderkey) OVER w AS following,
+       first_value(o_orderkey) OVER w AS first_key, nth_value(o_orderkey, 2) OVER w AS second_key
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""")
+def ranking_functions(t):
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    return t("orders").select(
+        "o_custkey", "o_orderkey", F.ntile(4).over(w).alias("quarter"), F.round(F.percent_rank().over(w), 6).alias("pr"), F.round(F.cume_dist().over(w), 6).alias("cd"),
+        F.lead("o_orderkey").over(w).alias("following"), F.first("o_orderkey").over(w).alias("first_key"), F.nth_value("o_orderkey", 2).over(w).alias("second_key"))
+
+
+@query("SELECT o_orderpriority AS word FROM orders UNION SELECT c_mktsegment FROM customer")
+def union_distinct(t):
+    return t("orders").select(F.col("o_orderpriority").alias("word")).union(t("customer").select("c_mktsegment")).distinct()
+
+
+@query("SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def intersect_all(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).intersectAll(t("supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+def except_all(t):
+    return t("customer").select(F.col("c_nationkey").alias("k")).exceptAll(t("supplier").select("s_nationkey"))
+
+
+@query("""
+SELECT n_regionkey, count(*) FILTER (WHERE n_name LIKE '%A%') AS entries, CAST(sum(n_nationkey + 1) FILTER (WHERE n_name LIKE '%A%') AS BIGINT) AS total,
+       string_agg(lower(n_name), ',' ORDER BY n_name) FILTER (WHERE n_name LIKE '%A%') AS keys
+FROM nation GROUP BY n_regionkey""")
+def map_functions(t):
+    """Nations of a region as a map: there are a few dozen in all."""
+    m = t("nation").groupBy("n_regionkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey")))).alias("m"))
+    m = m.select("n_regionkey", F.transform_values(F.map_filter("m", lambda k, v: k.contains("A")), lambda k, v: (v + 1).cast("long")).alias("m"))
+    total = F.aggregate(F.map_values("m"), F.lit(0).cast("long"), lambda a, v: a + v)
+    return m.select("n_regionkey", F.size("m").cast("long").alias("entries"), F.when(F.size("m") > 0, total).alias("total"), F.when(F.size("m") > 0, F.array_join(F.map_keys(F.transform_keys("m", lambda k, v: F.lower(k))), ",")).alias("keys"))
+
+
+@query("""
+SELECT event_id, CAST(hour(ny) AS INT) AS hour_there, CAST(dayofyear(ny) AS INT) AS day_there
+FROM (SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS ny FROM events)""")
+def time_zones(t):
+    there = F.convert_timezone(F.lit("UTC"), F.lit("America/New_York"), F.col("ts"))
+    return t("events").select("event_id", F.hour(there).alias("hour_there"), F.dayofyear(there).alias("day_there"))
+
+
+_MONTHS = """
+WITH RECURSIVE m(d) AS (SELECT date_trunc('month', min(o_orderdate)) FROM {0} UNION ALL SELECT d + INTERVAL 1 MONTH FROM m WHERE d < TIMESTAMP '1998-08-01'),
+n AS (SELECT date_trunc('month', o_orderdate) AS d, count(*) AS n FROM {0} GROUP BY 1)
+SELECT {1} AS month, coalesce(n, 0) AS n FROM m LEFT JOIN n ON m.d = n.d"""
+
+
+@query(_MONTHS.format("orders", "strftime(m.d, '%Y-%m')"))
+def recursive_months(t):
+    """A calendar by recursion, joined with counts."""
+    o = t("orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
+    return o.sparkSession.sql(_MONTHS.format("{o}", "date_format(m.d, 'yyyy-MM')"), o=o)
+
+
+@query("SELECT p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS name FROM part")
+def scalar_udf(t):
+    return t("part").select("p_partkey", ops.reversed_words("p_name").alias("name"))
+
+
+@query("SELECT l_returnflag, round(exp(avg(ln(l_extendedprice))), 4) AS geometric, round(1 / avg(1 / l_extendedprice), 4) AS harmonic FROM lineitem GROUP BY l_returnflag")
+def aggregate_udf(t):
+    """Geometric and harmonic means by a Python aggregate whose states combine before the shuffle."""
+
+    def partial(f):
+        x = f["l_extendedprice"]
+        states = f.assign(n=1, logs=np.log(x), parts=1 / x).groupby("l_returnflag", as_index=False)[["n", "logs", "parts"]].sum()
+        return states
+
+    n = F.sum("n")
+    merge = {"geometric": F.round(F.exp(F.sum("logs") / n), 4), "harmonic": F.round(n / F.sum("parts"), 4)}
+    return ops.aggregate(t("lineitem").select("l_returnflag", "l_extendedprice"), ["l_returnflag"], partial, "l_returnflag string, n long, logs double, parts double", merge)
+
+
+@query("SELECT p_partkey, CAST(generate_subscripts(w, 1) AS INT) AS place, unnest(w) AS word FROM (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part)")
+def table_udf(t):
+    return t("part").select("p_partkey", "p_name").lateralJoin(ops.Words(F.col("p_name").outer())).select("p_partkey", "place", "word")
+
+
+@query("SELECT f AS format, s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier, (VALUES ('parquet'), ('orc'), ('json'), ('csv'), ('xml')) v(f)")
+def format_round_trips(t):
+    """Suppliers written to and read from every format, with their schema."""
+    s = t("supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    found = []
+    for fmt in FORMATS:
+        path = scratch(s.sparkSession, f"formats-{fmt}")
+        write_table(s, path, fmt)
+        found.append(read_files(s.sparkSession, path, fmt, s.schema).select(F.lit(fmt).alias("format"), *s.columns))
+    return reduce(DataFrame.unionByName, found)
+
+
+_CLOSED = "(SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 1 HOUR FROM events)"
+
+
+@streaming_query(f"""
+SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS bucket, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL)
+WHERE bucket + INTERVAL 1 HOUR <= {_CLOSED}""")
+def stream_window_counts(events):
+    """Windows that the watermark has closed, from the event files as a stream."""
+    c = st.window_counts(events)
+    return c.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@streaming_query("""
+SELECT a.user_id, a.event_id AS left_id, b.event_id AS right_id FROM events a JOIN events b
+ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""")
+def stream_interval_join(events):
+    """Purchases within an hour of a view, both from the event files as streams."""
+    return st.interval_join(events.where("event_type = 'view'"), events.where("event_type = 'purchase'")).select("user_id", "left_id", "right_id")
+
+
+@streaming_query(f"""
+WITH m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR, true) AS b FROM events),
+s AS (SELECT *, sum(CAST(b AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
+SELECT user_id, min(ts) AS session_start, count(*) AS n FROM s GROUP BY user_id, s HAVING max(ts) + INTERVAL 2 HOUR <= {_CLOSED}""")
+def stream_sessions(events):
+    """Sessions that the watermark has closed."""
+    return st.session_counts(events).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
+
+
+
 flagship = QUERIES["top_customers"]

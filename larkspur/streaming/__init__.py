@@ -53,6 +53,13 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, total double", "n long, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def run_to_files(stream: DataFrame, path: str) -> DataFrame:
+    """Process all files that are there in append mode, to Parquet files below ``path``, and return what they hold."""
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Process all files that are there and return the sink's table."""
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

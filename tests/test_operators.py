@@ -1,6 +1,9 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from larkspur import operators as ops
 from larkspur import plans
 from larkspur.functions import cosine
@@ -84,3 +87,32 @@ def test_nearest_vectors_cross_labels(spark):
     df = spark.createDataFrame([(i, label, [1.0, i / 1000]) for i, label in labels.items()], "vec_id long, label int, embedding array<float>")
     got = plans.catalog.nearest_vectors(lambda _: df).collect()
     assert {r.other for r in got if r.vec_id == 0} == set(range(1, 11))
+
+
+def test_quantiles_against_numpy(spark):
+    rng = random.Random(3)
+    rows = [(k, v) for k in ("a", "b", None) for v in [rng.choice([rng.random() * 1e6, 5.0, -3.0, 5.0]) for _ in range(rng.choice([1, 2, 57, 400]))]]
+    rows += [("c", None), ("d", 7.0), ("d", None), ("d", float("nan")), ("e", 1.0), ("e", 1e300)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    for bins in (1, 7, 4096):
+        got = {r.k: (r.p0, r.p30, r.p50, r.p1) for r in ops.quantiles(df, "k", "v", {"p0": 0.0, "p30": 0.3, "p50": 0.5, "p1": 1.0}, bins).collect()}
+        assert set(got) == {k for k, _ in rows} and got["c"] == (None,) * 4
+        for k in set(got) - {"c"}:
+            x = [v for q, v in rows if q == k and v is not None and v == v]
+            assert np.allclose(got[k], np.quantile(x, [0, 0.3, 0.5, 1]))
+    assert ops.quantiles(df.limit(0), "k", "v", {"m": 0.5}).count() == 0
+
+
+def test_funnel_on_ties_and_nulls(spark):
+    """Each step is strictly after the one before."""
+    data = [(1, 1, "view"), (1, 5, "click"), (1, 5, "purchase"), (2, 1, "view"), (2, 1, "click"), (2, 2, "click"), (2, 3, "purchase"), (3, 1, "click"), (4, None, "view"), (5, 1, "other")]
+    df = spark.createDataFrame(data, "user_id int, ts int, event_type string").selectExpr("user_id", "timestamp_seconds(ts) AS ts", "event_type")
+    got = {r.user_id: r.depth for r in ops.funnel(df, ["view", "click", "purchase"], "user_id").collect()}
+    assert got == {1: 2, 2: 3, 3: 0, 4: 0}
+
+
+def test_python_functions_on_nulls(spark):
+    df = spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "i int, t string")
+    assert {r.i: r.w for r in df.select("i", ops.reversed_words("t").alias("w")).collect()} == {1: "b a", 2: None, 3: ""}
+    words = df.lateralJoin(ops.Words(F.col("t").outer())).select("i", "place", "word")
+    assert sorted(map(tuple, words.collect())) == [(1, 1, "a"), (1, 2, "b"), (3, 1, "")]
