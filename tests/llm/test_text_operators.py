@@ -240,6 +240,20 @@ def test_runs_are_judged_once_and_fast():
         assert secrets.random_runs(text, base, enc) == every
 
 
+def test_redaction_is_what_the_scan_found(frame):
+    """Texts rebuilt from the scan's spans, merged where they overlap and named by the first."""
+    rows_ = list(enumerate(SECRET_TEXTS))
+    found = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in secrets.scan(frame(rows_)).collect()}
+    got = {r.doc_id: r.text for r in secrets.redact(frame(rows_)).collect()}
+    for d, t in rows_:
+        want, end = "", 0
+        for kind, a, z in found[d]:
+            if int(a) >= end:
+                want += t[end : int(a)] + f"[{kind}]"
+            end = max(end, int(z))
+        assert got[d] == (None if t is None else want + t[end:])
+
+
 def test_redaction_and_empty(frame):
     out = {r.doc_id: r.text for r in secrets.redact(frame([(1, "a token=abcdefghijklmnop b"), (2, None)])).collect()}
     assert out == {1: "a [assign] b", 2: None}
