@@ -6,20 +6,22 @@ multiplicities over the sum of the larger ones (weighted Jaccard) is 0.8 or more
 BagMinHash: each window owns a hierarchy of Poisson processes, one over each dyadic block of weights
 [0, 1), [1, 2), [2, 4), [4, 8), ...: a point has a time, a signature slot and a weight, and it counts in a
 text whose multiplicity exceeds its weight. A slot keeps the earliest time, so two texts agree in a slot
-with a probability equal to their weighted Jaccard similarity. Only points before a horizon that fits
-the text's total weight are made, which for long texts is fewer than one per window; the rare text with
-a slot still empty is done again with a later horizon.
+with a probability equal to their weighted Jaccard similarity. Only points that can still change a
+signature are made, which for long texts is fewer than one per window.
 
 Bands of slots name buckets. In a bucket every text is compared with its hub, the text that shares most
 buckets with others. Two other texts of a bucket matter only if they are still in different components,
 and then they can be near only if their common part with the hub is large enough by itself or if they
-share windows that the hub lacks; both are joins on the hub that give those pairs alone. So no link
-between different texts of a bucket is lost, and a group of copies does not cost the square of its size.
+share windows that the hub lacks. The texts of a hub that can take part in such a pair meet once, with
+their text, in blocks; a task leaves out pairs by their sizes and by how much of each stretch of the hub
+they hold, compares the others until they are linked, and gives links only. So no link between different
+texts of a bucket is lost, no pairs are shuffled, and a group of copies does not cost the square of its size.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import bytes_view as bv
 from larkspur.llm.components import components
 from larkspur.llm.exact_dedup import normalised
-from larkspur.llm.shared import documents, staged
+from larkspur.llm.shared import documents, staged, unstage
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -37,6 +39,9 @@ BANDS = 25
 ROWS = 5
 #: Windows known to be frequent, at most; see ``frequent_windows``.
 FREQUENT = 20_000
+#: Stretches of a hub in which a text's part of it is counted, and texts of a hub that are compared with one another together, about.
+SKETCH = 64
+BLOCK = 500
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -44,8 +49,8 @@ def _unit(h: np.ndarray) -> np.ndarray:
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def multisets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, window hash and multiplicity of every distinct window; sorted by text."""
+def multisets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH, places: bool = False) -> tuple[np.ndarray, ...]:
+    """Text number, window hash and multiplicity of every distinct window, and where it comes first if asked for; sorted by text and hash."""
     starts, ends, first = bv.words(buf, offsets)
     h, n = bv.window_hash(bv.spans_hash(buf, starts, ends), first, width)
     doc = np.repeat(np.arange(len(n)), n)
@@ -58,7 +63,11 @@ def multisets(buf: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> tuple
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
     at = np.flatnonzero(new)
-    return doc[at], h[at], np.diff(np.append(at, len(h)))
+    found = doc[at], h[at], np.diff(np.append(at, len(h)))
+    if places:
+        first = np.cumsum(n) - n
+        return *found, np.minimum.reduceat(order, at) - first[doc[at]] if len(at) else at
+    return found
 
 
 def _with_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -66,37 +75,49 @@ def _with_doc(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs: int, slots: int) -> np.ndarray:
-    """Earliest times per text and slot (n_docs x slots, float64); a text without elements has infinities."""
+    """Earliest times per text and slot (n_docs x slots, float64); a text without elements has infinities.
+
+    The processes of all elements and blocks run on together, each holding its next point. A text's points are
+    taken up to a horizon: at first one that fits its total weight, from when all slots are filled on the
+    latest time in its signature, since no later point can change it. Where a slot is still empty at the
+    horizon, the processes of that text go on from where they stand.
+    """
     out = np.full((n_docs, slots), np.inf)
+    flat = out.reshape(-1)
     total = np.bincount(doc, weights=weight, minlength=n_docs)
-    todo, reach = total > 0, np.log(slots) + 3.0
+    todo, reach = total > 0, np.log(slots) + 2.0
+    running = []  # for each block: low and high weight; text, weight, key and time of the next point of each process
+    block, low, high, d, e, w = 0, 0.0, 1.0, doc, element, weight.astype(np.float64)
+    while len(d):  # elements whose weight reaches into this block
+        key = bv.mix(bv.mix(e + np.uint64((block + 1) * int(bv.GOLD) & 0xFFFFFFFFFFFFFFFF)) + _STEP)
+        running.append((low, high, d, w, key, -np.log(_unit(key)) / (slots * (high - low))))
+        block, low, high = block + 1, high, high * 2
+        up = w > low
+        d, e, w = d[up], e[up], w[up]
     while todo.any():
-        own = todo[doc]
-        flat = out.reshape(-1)
-        d, e, w = doc[own], element[own], weight[own].astype(np.float64)
-        horizon = reach / total[d]
-        block, low, high = 0, 0.0, 1.0
-        while len(d):  # elements whose weight reaches into this block
-            rate = slots * (high - low)
-            key = bv.mix(e + np.uint64((block + 1) * int(bv.GOLD) & 0xFFFFFFFFFFFFFFFF))
-            k_d, k_w, k_h, time = d, w, horizon, np.zeros(len(d))
-            while len(k_d):
-                key = bv.mix(key + _STEP)
-                time = time - np.log(_unit(key)) / rate
-                on = time < k_h
-                k_d, k_w, k_h, key, time = k_d[on], k_w[on], k_h[on], key[on], time[on]
-                more = bv.mix(key ^ bv.GOLD)
-                slot = (more >> np.uint64(40)).astype(np.int64) % slots
-                if block == 0:
-                    np.minimum.at(flat, k_d * slots + slot, time)
+        horizon = np.where(todo, reach / np.maximum(total, 1.0), 0.0)
+        for low, high, d, w, key, time in running:
+            on = np.flatnonzero(time < horizon[d])
+            n_d, n_w, n_key, n_time, turn = d[on], w[on], key[on], time[on], 0
+            while len(on):
+                more = bv.mix(n_key ^ bv.GOLD)
+                at = n_d * slots + (more >> np.uint64(40)).astype(np.int64) % slots
+                if low == 0:
+                    np.minimum.at(flat, at, n_time)
                 else:
-                    inside = low + _unit(bv.mix(more)) * (high - low) < k_w
-                    np.minimum.at(flat, (k_d * slots + slot)[inside], time[inside])
-            block, low, high = block + 1, high, high * 2
-            up = w > low
-            d, e, w, horizon = d[up], e[up], w[up], horizon[up]
+                    inside = low + _unit(bv.mix(more)) * (high - low) < n_w
+                    np.minimum.at(flat, at[inside], n_time[inside])
+                turn += 1
+                if turn & (turn - 1) == 0:  # the latest times are looked up ever less often
+                    horizon = np.minimum(horizon, out.max(axis=1))
+                n_key = bv.mix(n_key + _STEP)
+                n_time = n_time - np.log(_unit(n_key)) / (slots * (high - low))
+                key[on], time[on] = n_key, n_time
+                go = n_time < horizon[n_d]
+                on, n_d, n_w, n_key, n_time = on[go], n_d[go], n_w[go], n_key[go], n_time[go]
         todo &= np.isinf(out).any(axis=1)
-        reach *= 2
+        reach *= 1.4
+        running = [(low, high, *(x[todo[d]] for x in (d, w, key, time))) for low, high, d, w, key, time in running] if todo.any() else []
     return out
 
 
@@ -150,22 +171,6 @@ def overlaps(a: pa.Array, b: pa.Array, width: int = WIDTH) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) whose texts are near. ``texts``: rep, text.
-
-    Joins with texts are merge joins at every size: how many pairs there are is not bounded, so none is broadcast.
-    """
-
-    def run(batches):
-        for batch in batches:
-            near = overlaps(batch.column(2), batch.column(3), width) >= similarity - 1e-12
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(near)), batch.column(1).filter(pa.array(near))], names=["a", "b"])
-
-    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
-    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long")
-
-
 def frequent_windows(texts: DataFrame, width: int) -> np.ndarray:
     """Hashes of the windows that most texts share, sorted; at most FREQUENT.
 
@@ -183,26 +188,30 @@ def frequent_windows(texts: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r.h for r in found.collect()], np.int64)).view(np.uint64)
 
 
-def compare_with_hub(a: pa.Array, b: pa.Array, similarity: float, width: int, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For pairs of hub and text: similarity, overlap, the text's weight, and a prefix of what it has beyond the hub.
+def compare_with_hub(a: pa.Array, b: pa.Array, similarity: float, width: int, late: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray], np.ndarray]:
+    """For pairs of hub and text: similarity, overlap, the text's weight, a prefix of what it has beyond the hub, and its sketch.
 
     A text near this one overlaps it by at least ``similarity`` times its weight, and all but the overlap
     with the hub lies in what is beyond the hub. Of two such sets, in one order (windows in ``late`` last,
     then by hash), the first few elements must meet: as many as are more than what may be missing.
+    The sketch is how much of the overlap lies in each of SKETCH equal stretches of the hub.
     """
     n = len(a)
-    parts = [multisets(buf, off, width) + (first,) for first, _, buf, off in bv.chunks(pa.concat_arrays([a.cast(pa.large_binary()), b.cast(pa.large_binary())]))]
-    doc = np.concatenate([d + first for d, _, _, first in parts])
-    h, w = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+    parts = [multisets(buf, off, width, True) + (first,) for first, _, buf, off in bv.chunks(pa.concat_arrays([a.cast(pa.large_binary()), b.cast(pa.large_binary())]))]
+    doc = np.concatenate([p[0] + p[4] for p in parts])
+    h, w, place = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 3))
     total = np.bincount(doc, weights=w, minlength=2 * n)
     order = np.lexsort((doc >= n, h, doc % n))
-    doc, h, w = doc[order], h[order], w[order]
+    doc, h, w, place = doc[order], h[order], w[order], place[order]
     pair = doc % n
     same = np.zeros(len(h), bool)
     same[1:] = (pair[1:] == pair[:-1]) & (h[1:] == h[:-1])
     before = np.where(same, np.concatenate([[0], w[:-1]]), 0)
-    common = np.bincount(pair, weights=np.minimum(w, before), minlength=n)
+    both = np.minimum(w, before)
+    common = np.bincount(pair, weights=both, minlength=n)
     union = total[:n] + total[n:] - common
+    stretch = np.concatenate([[0], place[:-1]]) * SKETCH // np.maximum(total[pair], 1).astype(np.int64)
+    sketch = np.bincount((pair * SKETCH + np.minimum(stretch, SKETCH - 1))[same], weights=both[same], minlength=n * SKETCH).reshape(n, SKETCH)
     extra = np.where(doc >= n, np.maximum(w - before, 0), 0)
     at = bv.ranges(np.zeros(len(extra), np.int64), extra)
     who = np.repeat(pair, extra)
@@ -214,26 +223,117 @@ def compare_with_hub(a: pa.Array, b: pa.Array, similarity: float, width: int, la
     size = np.diff(bounds)
     must = np.maximum(1, np.ceil(similarity * total[n:] - common - 1e-9)).astype(np.int64)
     take = np.maximum(0, size - must + 1)
-    return common / np.maximum(union, 1), common, total[n:], [key[i : i + k].view(np.int64) for i, k in zip(bounds[:-1], take)]
+    return common / np.maximum(union, 1), common, total[n:], [key[i : i + k].view(np.int64) for i, k in zip(bounds[:-1], take)], sketch
 
 
 def stars_verified(pairs: DataFrame, texts: DataFrame, similarity: float, width: int, late: np.ndarray) -> DataFrame:
-    """a (hub), b, near, common, weight, beyond (array of hashes) for each pair of hub and text."""
+    """a (hub), b, near, common, weight, beyond (array of hashes), sketch (32-bit counts) for each pair of hub and text.
+
+    Joins with texts are merge joins at every size: how many pairs there are is not bounded, so none is broadcast.
+    """
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 own = batch.slice(lo, 512)
-                sim, common, weight, beyond = compare_with_hub(own.column(2), own.column(3), similarity, width, late)
+                sim, common, weight, beyond, sketch = compare_with_hub(own.column(2), own.column(3), similarity, width, late)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in beyond])]).astype(np.int32)), pa.array(np.concatenate(beyond)))
-                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sim >= similarity - 1e-12), pa.array(common), pa.array(weight), lists], names=["a", "b", "near", "common", "weight", "beyond"])
+                counts = pa.array([x.tobytes() for x in sketch.astype("<i4")], pa.binary())
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(sim >= similarity - 1e-12), pa.array(common), pa.array(weight), lists, counts], names=["a", "b", "near", "common", "weight", "beyond", "sketch"])
 
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("a_text"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("b_text"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, near boolean, common double, weight double, beyond array<long>")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a long, b long, near boolean, common double, weight double, beyond array<long>, sketch binary")
+
+
+class Group:
+    """Texts of one hub, or of two of its blocks: what is needed to find the links among those in different components."""
+
+    def __init__(self, rows: list[tuple]) -> None:
+        self.ids, comp, self.common, self.weight, inside, self.block, shared, sketch, self.texts = zip(*rows)
+        self.comp, self.inside = np.array(comp), np.array(inside)
+        self.common, self.weight = np.array(self.common), np.array(self.weight)
+        self.sketch = np.frombuffer(b"".join(sketch), "<i4").reshape(len(rows), SKETCH)
+        self.where: dict[int, list[int]] = {}
+        for i, some in enumerate(shared):
+            for s in some or ():
+                self.where.setdefault(s, []).append(i)
+
+    def candidates(self, similarity: float) -> Iterator[tuple[int, int]]:
+        """Pairs that sizes, stretches and shared windows beyond the hub leave."""
+        least, n = similarity / (1 + similarity), len(self.ids)
+        block = np.array(self.block)
+        meet = np.zeros((n, n), bool)
+        meet[np.ix_(self.inside, self.inside)] = True
+        for own in self.where.values():
+            meet[np.ix_(own, own)] = True
+        beyond = self.weight - self.common
+        for i in range(n):
+            # with two blocks, pairs within one of them are another unit's
+            j = np.flatnonzero(meet[i, i + 1 :] & (self.comp[i + 1 :] != self.comp[i]) & ((block[i + 1 :] != block[i]) | (block[0] == block[-1]))) + i + 1
+            need = least * (self.weight[i] + self.weight[j]) - 1e-9
+            j = j[np.minimum(self.common[i], self.common[j]) + np.minimum(beyond[i], beyond[j]) >= need]
+            if len(j):
+                need = least * (self.weight[i] + self.weight[j]) - 1e-9
+                most = np.minimum(self.sketch[i], self.sketch[j]).sum(1) + np.minimum(beyond[i], beyond[j])
+                for k in j[most >= need].tolist():
+                    yield i, k
+
+    def links(self, similarity: float, width: int) -> Iterator[tuple[int, int]]:
+        """Pairs of ids that are near, as many as join their components."""
+        top = {c: c for c in self.comp.tolist()}
+        bags: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def find(c):
+            while top[c] != c:
+                top[c] = top[top[c]]
+                c = top[c]
+            return c
+
+        def bag(i):
+            if i not in bags:
+                ((_, _, buf, off),) = bv.chunks(pa.array([self.texts[i]], pa.large_binary()))
+                bags[i] = multisets(buf, off, width)[1:]
+            return bags[i]
+
+        for i, j in self.candidates(similarity):
+            p, q = find(int(self.comp[i])), find(int(self.comp[j]))
+            if p == q:
+                continue
+            (h, w), (g, v) = bag(i), bag(j)
+            _, x, y = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+            common = np.minimum(w[x], v[y]).sum()
+            if common >= (similarity - 1e-12) * (w.sum() + v.sum() - common):
+                top[max(p, q)] = min(p, q)
+                yield self.ids[i], self.ids[j]
+
+
+def linked(members: DataFrame, similarity: float, width: int) -> DataFrame:
+    """a, b: links among the members of each unit (a hub, u, v: two of its blocks), by texts. See ``Group``."""
+
+    def run(batches):
+        now, rows = None, []
+
+        def done():
+            found = list(Group(rows).links(similarity, width))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for unit, row in zip(zip(*cols[:3]), zip(*cols[3:])):
+                if unit != now and rows:
+                    yield done()
+                    rows = []
+                now = unit
+                rows.append(row)
+        if rows:
+            yield done()
+
+    cols = ["b", "comp", "common", "weight", "inside", "block", "shared", "sketch", "text"]
+    return members.select("a", "u", "v", *cols).repartition("a", "u", "v").sortWithinPartitions("a", "u", "v", "block", "b").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), kept (it is that one).
 
     Null text counts as empty; a text without words is near no other, and one of fewer than ``width``
@@ -252,23 +352,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = staged(docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(central.select("rep").hint("merge"), "rep", "left_semi"), "near-candidates")
     first = staged(stars_verified(stars, texts, similarity, width, frequent_windows(texts, width)), "near-stars")
     comp = staged(components(first.where("near").select("a", "b")), "near-components")
-    placed = first.join(comp, first["b"] == comp["node"], "left").select("a", "b", "common", "weight", "beyond", F.coalesce("comp", "b").alias("comp"))
+    placed = first.join(comp, first["b"] == comp["node"], "left").select("a", "b", "near", "common", "weight", "beyond", "sketch", F.coalesce("comp", "b").alias("comp"))
     placed = staged(placed, "near-placed")
-    # the hub's part alone can make two texts near only where it is most of both
-    least = similarity / (1 + similarity)
-    one = placed.where(F.col("common") >= similarity * F.col("weight") - 1e-9).select("a", "b", "common", "weight", "comp")
-    two = one.select(F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("common").alias("common2"), F.col("weight").alias("weight2"), F.col("comp").alias("comp2"))
-    by_hub = one.join(two, (F.col("a") == F.col("a2")) & (F.col("comp") < F.col("comp2")) & (F.least("common", "common2") >= least * (F.col("weight") + F.col("weight2")) - 1e-9))
-    beyond = placed.select("a", "b", "comp", "common", "weight", F.explode("beyond").alias("s"))
+    # the hub's part alone can make two texts near only where it is most of both; else they share windows beyond it
+    inside = F.col("common") >= similarity * F.col("weight") - 1e-9
+    beyond = placed.select("a", "b", "comp", F.explode("beyond").alias("s"))
     mixed = beyond.groupBy("a", "s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("a", "s")
-    beyond = staged(beyond.join(mixed, ["a", "s"]), "near-beyond")
-    other = beyond.select("a", "s", F.col("b").alias("b2"), F.col("comp").alias("comp2"), F.col("common").alias("common2"), F.col("weight").alias("weight2"))
-    most = F.least("common", "common2") + F.least(F.col("weight") - F.col("common"), F.col("weight2") - F.col("common2"))
-    by_rest = beyond.join(other, ["a", "s"]).where((F.col("comp") < F.col("comp2")) & (most >= least * (F.col("weight") + F.col("weight2")) - 1e-9))
-    rest = by_hub.select("b", "b2").unionByName(by_rest.select("b", "b2")).select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
-    second = verified(rest, texts, similarity, width)
+    sharing = beyond.join(mixed, ["a", "s"]).groupBy("a", "b").agg(F.collect_set("s").alias("shared"))
+    able = placed.drop("beyond").withColumn("inside", inside).join(sharing, ["a", "b"], "left").where("inside OR shared IS NOT NULL")
+    able = staged(able, "near-members")
+    # blocks of a hub, those of texts that are not near it first: a unit for each two blocks, so that no task holds all
+    # texts of a hub; texts near the hub are linked already and meet the others only
+    size = able.groupBy("a").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *(F.sum(F.when(w, F.greatest(F.lit(1.0), F.col("weight") / 1000))).alias(c) for c, w in (("far", ~F.col("near")), ("close", F.col("near"))))).where("lo < hi")
+    count = lambda c: F.ceil(F.coalesce(F.col(c), F.lit(0.0)) / block).cast("int")
+    dealt = able.join(size.select("a", count("far").alias("n_far"), count("close").alias("n_close")), "a")
+    of_block = lambda n: F.pmod(F.xxhash64("b"), n).cast("int")
+    dealt = dealt.withColumn("block", F.when(F.col("near"), F.col("n_far") + of_block("n_close")).otherwise(of_block("n_far")))
+    others = F.sequence(F.lit(0), F.col("n_far") - 1 + F.when(F.col("near"), 0).otherwise(F.col("n_close")))
+    units = dealt.withColumn("other", F.explode(others)).select("*", F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"))
+    second = linked(units.join(texts.withColumnRenamed("rep", "b").hint("merge"), "b"), similarity, width)
     links = staged(second.unionByName(comp.select(F.col("node").alias("a"), F.col("comp").alias("b"))), "near-links")
+    unstage(members, texts, first, comp, placed, able)
     final = components(links)
+    unstage(links)
     classes = reps.select("digest", "rep").join(final, reps["rep"] == final["node"], "left").select("digest", F.coalesce("comp", "rep").alias("class"))
     # equal texts share a digest: the smallest id stands for them on one row, so only hot digests are wide
     joined = signed.select("doc_id", "digest", F.size("bands").alias("n")).join(classes, "digest", "left")

@@ -58,6 +58,40 @@ def test_classes_match_brute_force(frame):
     assert {r.doc_id: r.class_id for r in n.near_groups(frame(rows)).collect()} == classes(rows)
 
 
+def test_blocks_of_a_hub_do_not_matter(frame):
+    rows = variants(9)
+    assert {r.doc_id: r.class_id for r in n.near_groups(frame(rows), block=3).collect()} == classes(rows)
+
+
+def parts_of_a_page(count, seed=2):
+    """A page of 40 paragraphs and pages that hold 28 of them each: near to few others, though all share much with the page."""
+    rng = random.Random(seed)
+    page = [" ".join(rng.choice("abcdefghijkl") + str(rng.randrange(400)) for _ in range(30)) for _ in range(40)]
+    rows = [(0, "\n".join(page))]
+    for k in range(count):
+        rows.append((k + 1, "\n".join(page[i] for i in sorted(rng.sample(range(40), 28)))))
+        if k % 10 == 0:
+            rows.append((10_000 + k, rows[-1][1] + "\nand a few words more"))
+    return rows
+
+
+def test_parts_of_one_page(frame):
+    rows = parts_of_a_page(80)
+    assert {r.doc_id: r.class_id for r in n.near_groups(frame(rows), block=30).collect()} == classes(rows)
+
+
+def test_few_pairs_of_a_hub_are_compared():
+    rows = parts_of_a_page(200)
+    hub, texts = pa.array([rows[0][1]] * (len(rows) - 1)), pa.array([t for _, t in rows[1:]])
+    sim, common, weight, beyond, sketch = n.compare_with_hub(hub, texts, 0.8, 5, np.zeros(0, np.uint64))
+    assert np.allclose(sim, [similarity(rows[0][1], t) for _, t in rows[1:]])
+    group = n.Group([(d, d, common[i], weight[i], common[i] >= 0.8 * weight[i], 0, beyond[i].tolist(), sketch[i].astype("<i4").tobytes(), t.encode()) for i, (d, t) in enumerate(rows[1:])])
+    near = {(a, b) for i, (a, s) in enumerate(rows[1:]) for b, t in rows[i + 2 :] if similarity(s, t) >= 0.8}
+    left = {(group.ids[i], group.ids[j]) for i, j in group.candidates(0.8)}
+    assert near <= left and len(left) < 2 * len(rows) + len(near)
+    assert set(group.links(0.8, 5)) <= near
+
+
 def test_nulls_empty_short_and_repeated(frame):
     rows = [(1, None), (2, ""), (3, "a b"), (4, " a\tb "), (5, "a b c"), (None, "a b"), (7, "x " * 30000), (7, "x " * 30000)]
     df = n.near_groups(frame(rows))
