@@ -33,6 +33,8 @@ LENGTH = 50
 GRAM = 24
 #: Windows in a piece at most, so that rounds are bounded; an anchor that comes once is in 27 windows.
 WINDOWS = LENGTH - GRAM + 1
+#: Bytes of text whose anchors are found together; a longer text makes a chunk of its own.
+SCAN_BYTES = 1_000_000
 #: Pieces indexed together, about; documents cut together.
 BLOCK = 2_000
 ROWS = 1_500
@@ -246,7 +248,7 @@ def _buckets(batches):
                 yield now, held
                 held = []
             now = bucket
-            held.append(_unpack(blob))
+            held.append(blob)
     if held:
         yield now, held
 
@@ -270,6 +272,88 @@ def _gather(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*columns)]
 
 
+def pack_anchors(rows: list[list[np.ndarray]], bits: int) -> pa.RecordBatch:
+    """Anchors (h, start, n, and row's id and text hash) packed by bucket, so that few tasks' worth of text makes one blob of each."""
+    h, start, n, ids, whole = _gather(rows)
+    out = []
+    for bucket, own in _by_bucket((h >> np.uint64(64 - bits)).astype(np.int32)):
+        d, w = ids[own], whole[own]
+        new = np.ones(len(own), bool)
+        new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
+        texts = _pack(d[new], w[new])
+        low = np.ascontiguousarray(h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+        out.append((bucket, len(texts).to_bytes(4, "little") + texts + _pack(new.astype(np.int8), start[own].astype(np.int32), n[own].astype(np.int8), raw=low)))
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+
+
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+    """doc_id, row_key, spans (array of lo, hi byte offsets, may overlap) for documents with repeats.
+
+    Equal texts go through the index as one, owned by their smallest id; its later copies are repeats from
+    end to end. ``length`` is at most 255.
+    """
+    if not 1 <= length <= 255:
+        raise ValueError(f"common prefixes are kept in a byte: length {length} is not within 1 to 255")
+    gram = min(GRAM, max(1, length // 2))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    bits = n_bits(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+    tasks = 1 << bits
+
+    def scan(batches):
+        rows, count = [], 0
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for lo, hi, buf, offsets in bv.chunks(b.column(1), SCAN_BYTES):
+                whole, own = bv.spans_hash(buf, offsets[:-1], offsets[1:]), ids[lo:hi]
+                # of equal texts in a chunk the first document will do
+                first = np.zeros(hi - lo, bool)
+                first[distinct(np.zeros(hi - lo, np.int8), whole, own)[0]] = True
+                row, start, n, h = anchors(buf, offsets, length, gram)
+                keep = first[row]
+                row = row[keep]
+                rows.append((h[keep], start[keep], n[keep], own[row], whole[row]))
+                count += len(row)
+                if count >= min(1024 << bits, 4_000_000):
+                    yield pack_anchors(rows, bits)
+                    rows, count = [], 0
+        if count:
+            yield pack_anchors(rows, bits)
+
+    def shared(batches):
+        """Places of anchors that more than one text has; of each text, those of its first document."""
+
+        def found(bucket, held):
+            parts = []
+            for blob in held:
+                cut = 4 + int.from_bytes(blob[:4], "little")
+                (ids, whole), _ = _unpack(blob[4:cut])
+                (new, start, n), low = _unpack(blob[cut:])
+                h = np.zeros((len(n), 8), np.uint8)
+                h[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
+                at = np.cumsum(new, dtype=np.int64) - 1
+                parts.append((h.view("<i8")[:, 0], whole[at], ids[at], start, n))
+            h, whole, doc, start, n = _gather(parts)
+            order = np.lexsort((doc, whole, h))
+            h, whole, doc, start, n = (x[order] for x in (h, whole, doc, start, n))
+            new_h = np.diff(h, prepend=h[0] ^ 1) != 0
+            new_text = new_h.copy()
+            new_text[1:] |= whole[1:] != whole[:-1]
+            heads, group = np.flatnonzero(new_text), np.cumsum(new_text) - 1
+            texts = np.add.reduceat(new_text, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
+            keep = (texts > 1) & (doc == doc[heads][group])
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, n, h | (bucket << 40), texts > hot)], names=["doc_id", "start", "n", "h", "hot"])
+
+        for bucket, held in _buckets(batches):
+            yield found(bucket, held)
+
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, row_key long, z binary")
+
+
+def _gather(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
+    return [np.concatenate(c) for c in zip(*columns)]
+
+
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, row_key, spans (array of lo, hi byte offsets, may overlap) for documents with repeats.
 
@@ -300,7 +384,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         rows, count = [], 0
         for b in batches:
             ids = b.column(0).to_numpy()
-            for lo, hi, buf, offsets in bv.chunks(b.column(1)):
+            for lo, hi, buf, offsets in bv.chunks(b.column(1), SCAN_BYTES):
                 whole, own = bv.spans_hash(buf, offsets[:-1], offsets[1:]), ids[lo:hi]
                 # of equal texts in a chunk the first document will do
                 first = np.zeros(hi - lo, bool)
@@ -310,11 +394,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 row = row[keep]
                 rows.append((h[keep], start[keep], n[keep], own[row], whole[row]))
                 count += len(row)
-                if count >= min(256 << bits, 2_000_000):
-                    yield blobs(rows)
+                if count >= min(1024 << bits, 4_000_000):
+                    yield pack_anchors(rows, bits)
                     rows, count = [], 0
         if count:
-            yield blobs(rows)
+            yield pack_anchors(rows, bits)
 
     def shared(batches):
         """Places of anchors that more than one text has; of each text, those of its first document."""
@@ -381,12 +465,24 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 yield b.column(0).to_numpy()[row], b.column(1).to_numpy()[row], start, n, h, (buf, (np.cumsum(sizes) - sizes)[row] + start, size)
 
     def pack_pieces(parts: list) -> pa.RecordBatch:
+        """For each bucket the different pieces (anchor, windows, bytes) and, piece by piece, their places (id, row key, start, steps between pieces)."""
         doc, key, start, n, h, at, size = _gather([(*p[:5], *p[5][1:]) for p in parts])
         bufs = [p[5][0] for p in parts]
         at = at + np.repeat(np.cumsum([0] + [len(b) for b in bufs[:-1]]), [len(p[0]) for p in parts])
         buf = np.concatenate(bufs)
-        out = [(bucket, _pack(h[own], doc[own], key[own], start[own], n[own], raw=buf[bv.ranges(at[own], size[own])].tobytes())) for bucket, own in _by_bucket((h >> 38).astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
+        order = np.argsort(at)
+        content = np.empty(len(at), np.uint64)
+        content[order] = hashes(buf, at[order], (at + size)[order])
+        some, of = distinct(h, content, doc)
+        order = np.argsort(of, kind="stable")
+        bounds = np.searchsorted(of[order], np.arange(len(some) + 1))
+        blobs_, names = [], (h[some] >> 38).astype(np.int32)  # in order, as anchors are
+        heads = np.flatnonzero(np.diff(names, prepend=-1))
+        for i, j in zip(heads, np.append(heads[1:], len(names))):
+            own, places = some[i:j], order[bounds[i] : bounds[j]]
+            pieces = _pack(h[own], n[own], raw=buf[bv.ranges(at[own], size[own])].tobytes())
+            blobs_.append(len(pieces).to_bytes(4, "little") + pieces + _pack(doc[places], key[places], start[places], np.diff(of[places], prepend=i).astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(names[heads]), pa.array(blobs_, pa.binary())], names=["bucket", "blob"])
 
     def cut(batches):
         parts, count, held = [], 0, 0
@@ -401,20 +497,31 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def solve(batches):
         for _, held in _buckets(batches):
-            h, doc, key, start, n = _gather([x for x, _ in held])
-            raw = np.frombuffer(b"".join(x for _, x in held), np.uint8)
+            pieces, places, raws, count = [], [], [], 0
+            for blob in held:
+                cut_ = 4 + int.from_bytes(blob[:4], "little")
+                own, raw = _unpack(blob[4:cut_])
+                doc, key, start, step = _unpack(blob[cut_:])[0]
+                of = np.cumsum(step, dtype=np.int64)
+                places.append((doc, key, start, of + count))
+                pieces.append((*own, np.minimum.reduceat(doc, np.searchsorted(of, np.arange(len(own[0]))))))
+                raws.append(raw)
+                count += len(own[0])
+            h, n, owner = _gather(pieces)
+            doc, key, start, at_piece = _gather(places)
+            raw = np.frombuffer(b"".join(raws), np.uint8)
             size = n.astype(np.int64) + length - 1
             at = np.cumsum(size) - size
             # the different pieces of each anchor, with their smallest owner
-            some, of = distinct(h, hashes(raw, at, at + size), doc)
-            least, mixed = least_owners(raw[bv.ranges(at[some], size[some])], size[some], h[some], doc[some], length)
-            plain = np.flatnonzero(~mixed[of] & (doc[some][of] < doc))  # all windows are one owner's
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[plain], key[plain], start[plain].astype(np.int64), start[plain] + size[plain])], names=["doc_id", "row_key", "lo", "hi"])
-            part = np.flatnonzero(mixed[of])
-            windows = size[some] - length + 1
+            some, of = distinct(h, hashes(raw, at, at + size), owner)
+            size, h, owner, of = size[some], h[some], owner[some], of[at_piece]
+            least, mixed = least_owners(raw[bv.ranges(at[some], size)], size, h, owner, length)
+            plain = np.flatnonzero(~mixed[of] & (owner[of] < doc))  # all windows are one owner's
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[plain], key[plain], start[plain].astype(np.int64), start[plain] + size[of[plain]])], names=["doc_id", "row_key", "lo", "hi"])
+            part, windows = np.flatnonzero(mixed[of]), size - length + 1
             first = np.cumsum(windows) - windows
-            row = np.repeat(part, n[part])
-            place = bv.ranges(np.zeros(len(part), np.int64), n[part].astype(np.int64))
+            row = np.repeat(part, windows[of[part]])
+            place = bv.ranges(np.zeros(len(part), np.int64), windows[of[part]])
             hit = least[first[of[row]] + place] < doc[row]
             yield _spans(row[hit], (start[row] + place)[hit], doc, key, length)
 
