@@ -12,8 +12,8 @@ from pyspark.sql import SparkSession
 _own: dict[str, str] = {}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; below a temporary folder of a local application where that is unset, and an error on a cluster."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one of a local application (tests), and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
@@ -23,4 +23,9 @@ def scratch(spark: SparkSession, name: str) -> str:
             _own[app] = tempfile.mkdtemp(prefix="larkspur-")
             atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
         found = _own[app]
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
