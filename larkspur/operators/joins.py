@@ -11,7 +11,8 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], on: str, take: l
 
     Both sides are stacked and sorted once per key, and the last right row is carried along, so no pair is
     ever made that isn't in the result. Ties on the right go to the largest ``take``. Left rows without a
-    match have nulls; null keys match each other as one key.
+    match have nulls; null keys match each other as one key. A key's rows are sorted by one task, spilling as they
+    must, so a key with a large share of all rows makes that task the longest.
     """
     carried = F.struct(*(F.col(c) for c in take))
     names = left.columns

@@ -25,3 +25,16 @@ def test_unknown_names_are_refused(spark, tmp_path):
         sources.read_table(spark, str(tmp_path), "nope")
     with pytest.raises(ValueError):
         sources.read_files(spark, str(tmp_path), "nope")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from larkspur.sources import scratch
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default=None: default), sparkContext=SimpleNamespace(master="spark://somewhere:7077"))
+    with pytest.raises(RuntimeError):
+        scratch(cluster, "x")
+    cluster.conf.get = lambda name, default=None: "/shared/"
+    a, b = scratch(cluster, "x"), scratch(cluster, "x")
+    assert a != b and a.startswith("/shared/x-")
