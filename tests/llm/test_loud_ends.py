@@ -1,3 +1,7 @@
+import os
+import subprocess
+import sys
+
 import pytest
 
 from larkspur.llm import shared
@@ -36,3 +40,20 @@ def test_tables_are_dropped(spark):
     shared.unstage(t, spark.range(2))
     with pytest.raises(Exception):
         t.count()
+
+
+def entry_without(module):
+    """The driver's entry points in a process in which a module is missing."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"import sys; sys.modules[{module!r}] = None; import __spark_entry__ as e; print(*e.queries())"
+    return subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+
+
+@pytest.mark.parametrize("module", ["corpus_pipeline", "larkspur.llm"])
+def test_the_rest_works_without_the_corpus_modules(module):
+    names = entry_without(module).stdout.split()
+    assert "top_customers" in names and "pipeline" not in names and not any(n.startswith("op") for n in names)
+
+
+def test_errors_inside_the_corpus_modules_are_seen():
+    assert "larkspur.llm.components" in entry_without("larkspur.llm.components").stderr
