@@ -176,8 +176,14 @@ class Lattice:
             first = np.cumsum(counts[p]) - counts[p]
             beta[p] = np.logaddexp.reduceat(val, first)
         self.logp = weight + np.where(inside, beta[np.minimum(to, n)], 0.0) - beta[start]
-        run = np.cumsum(np.exp(self.logp))
-        self.cum = run - np.concatenate([[0.0], run])[off[start]]
+        # running sums by rank among a position's edges, so that they do not depend on the words around
+        self.cum = np.exp(self.logp)
+        e, last = off[:-1] + 1, off[1:]
+        while len(e):
+            on = e < last
+            e, last = e[on], last[on]
+            self.cum[e] += self.cum[e - 1]
+            e = e + 1
         self.cum[off[1:] - 1] = 2.0
 
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
