@@ -11,8 +11,8 @@ each alternative left on the way becomes a node of its own (all of them beyond a
 one node, which is opened only if it is popped). Every draw is a function of the seed, the row's key and
 the place in its text, so results do not depend on batches, partitions or retries.
 
-Pieces never span the start of a word, so the lattices of the distinct words of a batch are built once
-and the walks of all its texts advance together.
+Pieces never span the start of a word, so the lattice of a word is built once for all texts of a worker, as
+long as it is kept, and the walks of the texts of a chunk advance together.
 """
 
 from __future__ import annotations
@@ -35,7 +35,9 @@ POWER = 1.0
 #: Tokens after a divergence whose alternatives become nodes at once.
 DEPTH = 48
 #: Characters of text walked together.
-CHUNK = 1_000_000
+CHUNK = 300_000
+#: Edges of the words' lattices that a worker keeps, about 26 bytes each; beyond, it starts anew.
+KEPT_EDGES = 2_000_000
 META = 0x2581  # stands for a space in pieces
 LITERAL = 0x110000  # that character itself, in a text
 
@@ -98,6 +100,7 @@ class Vocabulary:
             self.keys[slot], self.next[slot] = k, to
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in text])])
         self.bytes = np.frombuffer(b"".join(text) or b"\0", np.uint8)
+        self.lattices = Lattices(self)
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The trie's next states, -1 where there is none."""
@@ -186,6 +189,49 @@ class Lattice:
             e = e + 1
         self.cum[off[1:] - 1] = 2.0
 
+
+class Lattices:
+    """The lattices of the words met so far, one after the other, found by the words' hashes."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        self.v = v
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.positions = self.edges = 0
+        self._off, self._columns = np.zeros(1024, np.int64), {c: np.zeros(1024, t) for c, t in (("len", np.int32), ("piece", np.int32), ("logp", np.float64), ("cum", np.float64))}
+
+    def _append(self, more: Lattice) -> None:
+        n, m = self.positions + len(more.off) - 1, self.edges + len(more.len)
+        if n + 1 > len(self._off):
+            self._off = np.resize(self._off, 2 * n)
+        self._off[self.positions + 1 : n + 1] = more.off[1:] + self.edges
+        for c, held in self._columns.items():
+            if m > len(held):
+                self._columns[c] = held = np.resize(held, 2 * m)
+            held[self.edges : m] = getattr(more, c)
+        self.positions, self.edges = n, m
+
+    def find(self, h: np.ndarray, chars: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where the lattice of each word begins; ``h`` are their hashes, in order and each once."""
+        if self.edges > KEPT_EDGES:
+            self.clear()
+        i = np.searchsorted(self.hash, h)
+        new = np.ones(len(h), bool)
+        inside = i < len(self.hash)
+        new[inside] = self.hash[i[inside]] != h[inside]
+        if new.any():
+            size = sizes[new]
+            ends = np.cumsum(size)
+            begin = self.positions
+            self._append(Lattice(self.v, chars[bv.ranges(starts[new], size)], ends - size, ends))
+            self.hash, self.at = np.insert(self.hash, i[new], h[new]), np.insert(self.at, i[new], begin + ends - size)
+            i = np.searchsorted(self.hash, h)
+        self.off = self._off[: self.positions + 1]
+        self.len, self.piece, self.logp, self.cum = (self._columns[c][: self.edges] for c in ("len", "piece", "logp", "cum"))
+        return self.at[i]
+
     def draw(self, state: np.ndarray, u: np.ndarray) -> np.ndarray:
         e = self.off[state]
         left = np.flatnonzero(u >= self.cum[e])
@@ -222,11 +268,10 @@ class Walks:
         power, down = (bv.powers(x, n) for x in (bv.BASE, pow(bv.BASE, -1, 1 << 64)))
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bv.mix(flat.astype(np.uint64) + bv.GOLD) * power, dtype=np.uint64)])
         h = bv.mix((sums[self.w_end] - sums[self.w_start]) * down[self.w_start] + (self.w_end - self.w_start).astype(np.uint64))
-        _, index, inv = np.unique(h, return_index=True, return_inverse=True)
-        sizes = (self.w_end - self.w_start)[index]
-        ends = np.cumsum(sizes)
-        self.lattice = Lattice(v, flat[bv.ranges(self.w_start[index], sizes)], ends - sizes, ends)
-        self.shift = (ends - sizes)[inv] - self.w_start if n else self.w_start  # from a place to its lattice position, by word
+        distinct, index, inv = np.unique(h, return_index=True, return_inverse=True)
+        self.lattice = v.lattices
+        at = self.lattice.find(distinct, flat, self.w_start[index], (self.w_end - self.w_start)[index])
+        self.shift = at[inv] - self.w_start  # from a place to its lattice position, by word
         self.w_doc = np.searchsorted(self.doc_end, self.w_start, side="right")
 
     def walk(self, leaf: int, edge_at: np.ndarray, place: np.ndarray, word: np.ndarray) -> None:
