@@ -273,85 +273,52 @@ def _gather(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
 
 
 def pack_anchors(rows: list[list[np.ndarray]], bits: int) -> pa.RecordBatch:
-    """Anchors (h, start, n, and row's id and text hash) packed by bucket, so that few tasks' worth of text makes one blob of each."""
-    h, start, n, ids, whole = _gather(rows)
-    out = []
-    for bucket, own in _by_bucket((h >> np.uint64(64 - bits)).astype(np.int32)):
-        d, w = ids[own], whole[own]
-        new = np.ones(len(own), bool)
-        new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
-        texts = _pack(d[new], w[new])
-        low = np.ascontiguousarray(h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-        out.append((bucket, len(texts).to_bytes(4, "little") + texts + _pack(new.astype(np.int8), start[own].astype(np.int32), n[own].astype(np.int8), raw=low)))
-    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
-
-
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, row_key, spans (array of lo, hi byte offsets, may overlap) for documents with repeats.
+    """Places (anchor, start, windows, document, text hash) of some text, packed by bucket.
 
-    Equal texts go through the index as one, owned by their smallest id; its later copies are repeats from
-    end to end. ``length`` is at most 255.
+    An anchor that several of these texts have is known to be shared: its places go along as they are, in a
+    blob of a negative bucket, and its own bucket gets one witness (no windows; how many texts for a start). So a
+    bucket holds an anchor as often as there are such packings at most, however many documents have it.
     """
-    if not 1 <= length <= 255:
-        raise ValueError(f"common prefixes are kept in a byte: length {length} is not within 1 to 255")
-    gram = min(GRAM, max(1, length // 2))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bits = n_bits(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
-    tasks = 1 << bits
-
-    def scan(batches):
-        rows, count = [], 0
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            for lo, hi, buf, offsets in bv.chunks(b.column(1), SCAN_BYTES):
-                whole, own = bv.spans_hash(buf, offsets[:-1], offsets[1:]), ids[lo:hi]
-                # of equal texts in a chunk the first document will do
-                first = np.zeros(hi - lo, bool)
-                first[distinct(np.zeros(hi - lo, np.int8), whole, own)[0]] = True
-                row, start, n, h = anchors(buf, offsets, length, gram)
-                keep = first[row]
-                row = row[keep]
-                rows.append((h[keep], start[keep], n[keep], own[row], whole[row]))
-                count += len(row)
-                if count >= min(1024 << bits, 4_000_000):
-                    yield pack_anchors(rows, bits)
-                    rows, count = [], 0
-        if count:
-            yield pack_anchors(rows, bits)
-
-    def shared(batches):
-        """Places of anchors that more than one text has; of each text, those of its first document."""
-
-        def found(bucket, held):
-            parts = []
-            for blob in held:
-                cut = 4 + int.from_bytes(blob[:4], "little")
-                (ids, whole), _ = _unpack(blob[4:cut])
-                (new, start, n), low = _unpack(blob[cut:])
-                h = np.zeros((len(n), 8), np.uint8)
-                h[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-                at = np.cumsum(new, dtype=np.int64) - 1
-                parts.append((h.view("<i8")[:, 0], whole[at], ids[at], start, n))
-            h, whole, doc, start, n = _gather(parts)
-            order = np.lexsort((doc, whole, h))
-            h, whole, doc, start, n = (x[order] for x in (h, whole, doc, start, n))
-            new_h = np.diff(h, prepend=h[0] ^ 1) != 0
-            new_text = new_h.copy()
-            new_text[1:] |= whole[1:] != whole[:-1]
-            heads, group = np.flatnonzero(new_text), np.cumsum(new_text) - 1
-            texts = np.add.reduceat(new_text, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
-            keep = (texts > 1) & (doc == doc[heads][group])
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, n, h | (bucket << 40), texts > hot)], names=["doc_id", "start", "n", "h", "hot"])
+    h, start, n, ids, whole = _gather(rows)
+    key = (h & np.uint64(0xFFFFFFFFFF)).astype(np.int64) | (h >> np.uint64(64 - bits)).astype(np.int64) << 40
+    order = np.lexsort((whole, key))
+    new = np.ones(len(key), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    texts = new.copy()
+    texts[1:] |= whole[order][1:] != whole[order][:-1]
+    heads = np.flatnonzero(new)
+    count = np.add.reduceat(texts, heads, dtype=np.int64)
+    known = np.empty(len(key), bool)
+    known[order] = (count > 1)[np.cumsum(new) - 1]
+    sure, own = np.flatnonzero(known), np.flatnonzero(~known)
+    seen = order[heads[count > 1]]
+    zero = np.zeros(len(seen), np.int64)
+    out = [_places_blob(-1 - int(key[sure[0]] & 0xFFFF), key[sure], start[sure], n[sure], ids[sure], whole[sure])] if len(sure) else []
+    key, start, n = np.concatenate([key[own], key[seen]]), np.concatenate([start[own], count[count > 1]]), np.concatenate([n[own], zero])
+    ids, whole = np.concatenate([ids[own], zero]), np.concatenate([whole[own], zero.astype(np.uint64)])
+    out += [_places_blob(bucket, *(x[i] for x in (key, start, n, ids, whole))) for bucket, i in _by_bucket((key >> 40).astype(np.int32))]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
 
-        for bucket, held in _buckets(batches):
-            yield found(bucket, held)
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row_key long, z binary")
+def _places_blob(bucket: int, key: np.ndarray, start: np.ndarray, n: np.ndarray, ids: np.ndarray, whole: np.ndarray) -> tuple[int, bytes]:
+    """Texts once where their places follow one another; of a bucket's own anchors 40 bits, else all 64."""
+    new = np.ones(len(key), bool)
+    new[1:] = (ids[1:] != ids[:-1]) | (whole[1:] != whole[:-1])
+    texts = _pack(ids[new], whole[new])
+    low = np.ascontiguousarray(key.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : 5 if bucket >= 0 else 8]).tobytes()
+    return bucket, len(texts).to_bytes(4, "little") + texts + _pack(new.astype(np.int8), start.astype(np.int32), n.astype(np.int8), raw=low)
 
 
-def _gather(columns: list[list[np.ndarray]]) -> list[np.ndarray]:
-    return [np.concatenate(c) for c in zip(*columns)]
+def _read_places(bucket: int, blob: bytes) -> tuple[np.ndarray, ...]:
+    """Anchor, text hash, document, start and windows of each place of a blob."""
+    cut = 4 + int.from_bytes(blob[:4], "little")
+    (ids, whole), _ = _unpack(blob[4:cut])
+    (new, start, n), low = _unpack(blob[cut:])
+    width = 5 if bucket >= 0 else 8
+    key = np.zeros((len(n), 8), np.uint8)
+    key[:, :width] = np.frombuffer(low, np.uint8).reshape(-1, width)
+    at = np.cumsum(new, dtype=np.int64) - 1
+    return key.view("<i8")[:, 0] | (max(bucket, 0) << 40), whole[at], ids[at], start, n
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -367,19 +334,6 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bits = n_bits(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
     tasks = 1 << bits
 
-    def blobs(rows: list[list[np.ndarray]]) -> pa.RecordBatch:
-        """Anchors (h, start, n, and row's id and text hash) packed by bucket, so that few tasks' worth of text makes one blob of each."""
-        h, start, n, ids, whole = _gather(rows)
-        out = []
-        for bucket, own in _by_bucket((h >> np.uint64(64 - bits)).astype(np.int32)):
-            d, w = ids[own], whole[own]
-            new = np.ones(len(own), bool)
-            new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
-            texts = _pack(d[new], w[new])
-            low = np.ascontiguousarray(h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-            out.append((bucket, len(texts).to_bytes(4, "little") + texts + _pack(new.astype(np.int8), start[own].astype(np.int32), n[own].astype(np.int8), raw=low)))
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], names=["bucket", "blob"])
-
     def scan(batches):
         rows, count = [], 0
         for b in batches:
@@ -401,43 +355,35 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pack_anchors(rows, bits)
 
     def shared(batches):
-        """Places of anchors that more than one text has; of each text, those of its first document."""
+        """Places (kind 0) of anchors that more than one text has, of each text those of its first document; and anchors (kind 1) of very many texts."""
 
-        def found(bucket, held):
-            parts = []
-            for blob in held:
-                cut = 4 + int.from_bytes(blob[:4], "little")
-                (ids, whole), _ = _unpack(blob[4:cut])
-                (new, start, n), low = _unpack(blob[cut:])
-                h = np.zeros((len(n), 8), np.uint8)
-                h[:, :5] = np.frombuffer(low, np.uint8).reshape(-1, 5)
-                at = np.cumsum(new, dtype=np.int64) - 1
-                parts.append((h.view("<i8")[:, 0], whole[at], ids[at], start, n))
-            h, whole, doc, start, n = _gather(parts)
+        def batch(doc, start, n, h, kind):
+            cols = (doc, start.astype(np.int32), n.astype(np.int8), h, np.full(len(h), kind, np.int8))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["doc_id", "start", "n", "h", "kind"])
+
+        for bucket, held in _buckets(batches):
+            if bucket < 0:
+                for blob in held:
+                    h, _, doc, start, n = _read_places(bucket, blob)
+                    yield batch(doc, start, n, h, 0)
+                continue
+            h, whole, doc, start, n = _gather([_read_places(bucket, blob) for blob in held])
             order = np.lexsort((doc, whole, h))
             h, whole, doc, start, n = (x[order] for x in (h, whole, doc, start, n))
             new_h = np.diff(h, prepend=h[0] ^ 1) != 0
             new_text = new_h.copy()
             new_text[1:] |= whole[1:] != whole[:-1]
-            heads, group = np.flatnonzero(new_text), np.cumsum(new_text) - 1
-            texts = np.add.reduceat(new_text, np.flatnonzero(new_h))[np.cumsum(new_h) - 1]
-            keep = (texts > 1) & (doc == doc[heads][group])
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (doc, start, n, h | (bucket << 40), texts > hot)], names=["doc_id", "start", "n", "h", "hot"])
-
-        now, held = None, []
-        for b in batches:
-            for bucket, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if bucket != now and held:
-                    yield found(now, held)
-                    held = []
-                now = bucket
-                held.append(blob)
-        if held:
-            yield found(now, held)
+            first, heads = np.flatnonzero(new_text)[np.cumsum(new_text) - 1], np.flatnonzero(new_h)
+            texts = np.add.reduceat(np.where(n == 0, start, new_text), heads)
+            keep = (n > 0) & (texts > 1)[np.cumsum(new_h) - 1] & (doc == doc[first])
+            yield batch(doc[keep], start[keep], n[keep], h[keep], 0)
+            wide = heads[(texts > 1) & (texts > hot)]
+            yield batch(doc[wide], start[wide], n[wide], h[wide], 1)
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), text.cast("binary").alias("text"))
     packed = rows.mapInArrow(scan, "bucket int, blob binary")
-    live = staged(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "doc_id long, start int, n tinyint, h long, hot boolean"), "repeat-anchors")
+    marked = staged(packed.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(shared, "doc_id long, start int, n tinyint, h long, kind tinyint"), "repeat-anchors")
+    live, wide = marked.where("kind = 0"), marked.where("kind = 1").select("h")
 
     def with_places(some):
         places = some.groupBy(F.col("doc_id").alias("d")).agg(F.collect_set(F.struct("start", "n", "h")).alias("places"))
@@ -526,9 +472,10 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield _spans(row[hit], (start[row] + place)[hit], doc, key, length)
 
     marks = "doc_id long, row_key long, lo long, hi long"
-    found = with_places(live.where("NOT hot")).mapInArrow(cut, "bucket int, blob binary").repartition(2 * tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, marks)
-    if not live.where("hot").isEmpty():
-        found = found.unionByName(_split_spans(with_places(live.where("hot")), read_places, length, gram, hot, tasks))
+    some_wide = not wide.isEmpty()
+    found = with_places(live.join(wide, "h", "left_anti") if some_wide else live).mapInArrow(cut, "bucket int, blob binary").repartition(2 * tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(solve, marks)
+    if some_wide:
+        found = found.unionByName(_split_spans(with_places(live.join(wide, "h", "left_semi")), read_places, length, gram, hot, tasks))
     # later copies of a whole text: all their windows are the first one's
     key, size = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc_id"), F.octet_length(text).cast("long")
     keys = staged(docs.select(key, F.xxhash64(F.col(id_col), text).alias("row_key"), F.sha2(text, 256).alias("same"), size.alias("hi")).where(F.col("hi") >= length), "repeat-texts")
@@ -647,18 +594,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         import zstandard
 
         unzip = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in (every.slice(at, ROWS) for every in batches for at in range(0, every.num_rows, ROWS)):
             out = []
-            for z, spans_ in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                text = unzip.decompress(z)
+            n = b.column(2).value_lengths().fill_null(0).to_numpy()
+            flat, row = b.column(2).flatten(), np.repeat(np.arange(b.num_rows), n)
+            lo, hi = (flat.field(k).to_numpy() for k in range(2))
+            order = np.lexsort((hi, lo, row))
+            lo, hi, ends = lo[order], hi[order], np.cumsum(n)
+            for i, (first, last) in enumerate(zip((ends - n).tolist(), ends.tolist())):
+                text = unzip.decompress(b.column(1)[i].as_py())
                 size, gone, runs, kept, at = len(text), 0, 0, [], 0
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans_ or ()):
-                    if lo > at or runs == 0:
-                        kept.append(text[at:lo])
+                for x, y in zip(lo[first:last].tolist(), hi[first:last].tolist()):
+                    if x > at or runs == 0:
+                        kept.append(text[at:x])
                         runs += 1
-                        at = lo
-                    gone += max(0, hi - at)
-                    at = max(at, hi)
+                        at = x
+                    gone += max(0, y - at)
+                    at = max(at, y)
                 kept = b"".join([*kept, text[at:]])
                 out.append((size, gone, runs, hashlib.sha256(kept).hexdigest(), kept if with_bytes else None))
             cols = list(zip(*out)) or [()] * 5

@@ -114,3 +114,19 @@ def test_packing_round_trip():
     columns = [rng.integers(0, 1 << 63, 500, dtype=np.uint64), rng.integers(-9, 1 << 40, 500), rng.integers(1, 36, 500).astype(np.int8)]
     out, raw = r._unpack(r._pack(*columns, raw=b"after"))
     assert [x.tolist() for x in out] == [x.tolist() for x in columns] and raw == b"after"
+
+
+def test_a_bucket_gets_one_witness_of_an_anchor_that_many_texts_share():
+    """However many documents of a packing have an anchor; its places go past the bucket."""
+    n = 500
+    common, own = np.full(n, 77, np.uint64), np.arange(1000, 1000 + n).astype(np.uint64)
+    docs = np.arange(n)
+    whole = r.bv.mix(docs.astype(np.uint64))
+    rows = [(np.concatenate([common, own]), np.arange(2 * n), np.full(2 * n, 3), np.concatenate([docs, docs]), np.concatenate([whole, whole]))]
+    out = r.pack_anchors(rows, 4).to_pylist()
+    by_kind = {sign: [r._read_places(x["bucket"], x["blob"]) for x in out if (x["bucket"] < 0) == sign] for sign in (True, False)}
+    ((h, w, d, start, windows),) = by_kind[True]
+    assert (h == 77).all() and sorted(d.tolist()) == docs.tolist() and start.tolist() == list(range(n)) and (windows == 3).all() and set(w) == set(whole)
+    ((h, w, d, start, windows),) = by_kind[False]
+    assert [(int(h[i]), int(start[i])) for i in np.flatnonzero(windows == 0)] == [(77, n)]
+    assert sorted(h[windows > 0].tolist()) == own.tolist()
