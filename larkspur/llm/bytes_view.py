@@ -11,7 +11,6 @@ import pyarrow as pa
 CHUNK = 3_000_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-BASE = 0xD1342543DE82EF95
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -22,27 +21,57 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A random 64-bit value for each byte.
-BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLD)
+#: The field of the spans' hashes: a Mersenne prime, so that a product of two elements fits 64 bits and is reduced by shifts.
+PRIME = np.uint64((1 << 31) - 1)
+#: A base for each of the two hashes that make one of 62 bits.
+BASES = (1_103_515_245, 1_812_433_253 % ((1 << 31) - 1))
 _powers: dict[int, np.ndarray] = {}
 
 
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, not fully: below 2**33 for any x below 2**64."""
+    return (x & PRIME) + (x >> np.uint64(31))
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n - 1), modulo 2**64; kept for the next call."""
+    """base**0 .. base**(n - 1), modulo PRIME; kept for the next call."""
     if base not in _powers or len(_powers[base]) < n:
-        out = np.full(max(n, CHUNK + 1), base, np.uint64)
-        out[0] = 1
-        _powers[base] = np.cumprod(out, dtype=np.uint64)
+        size = max(n, CHUNK + 1)
+        out = np.ones(size, np.uint64)
+        done, step = 1, base
+        while done < size:
+            more = min(done, size - done)
+            out[done : done + more] = out[:more] * np.uint64(step) % PRIME
+            done, step = done + more, step * step % int(PRIME)
+        _powers[base] = out
     return _powers[base][:n]
 
 
+def symbols_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of symbols[start:end]; equal strings have equal hashes wherever they lie.
+
+    Two polynomials over a prime field, with a random value for each symbol (``table`` has those of small alphabets), mixed with
+    the length. Over a field two strings of n symbols agree for at most n - 1 bases, so no family of strings collides
+    for every base, as it does modulo a power of two.
+    """
+    n, out = len(symbols), (ends - starts).astype(np.uint64) * GOLD
+    value = table[symbols] if table is not None else mix(symbols.astype(np.uint64) + GOLD)
+    for k, base in enumerate(BASES):
+        v = (value >> np.uint64(32 * k + 1)) & PRIME
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_folded(v * powers(base, n)), dtype=np.uint64, out=sums[1:])  # below 2**64 for 2**31 symbols
+        at = _folded(sums[ends] - sums[starts]) % PRIME
+        out = mix(out + at * powers(pow(base, -1, int(PRIME)), n + 1)[starts] % PRIME)
+    return out
+
+
+#: A random 64-bit value for each byte.
+BYTE = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * GOLD)
+
+
 def spans_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of buf[start:end]; equal bytes have equal hashes wherever they lie."""
-    n = len(buf)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE[buf] * powers(BASE, n), dtype=np.uint64, out=sums[1:])
-    back = powers(pow(BASE, -1, 1 << 64), n + 1)[starts]
-    return mix((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64))
+    """64-bit hashes of buf[start:end], bytes; see ``symbols_hash``."""
+    return symbols_hash(buf, starts, ends, BYTE)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -265,9 +265,7 @@ class Walks:
         self.w_start = np.flatnonzero(first[:n])
         self.w_end = np.append(self.w_start[1:], n) if n else self.w_start
         # distinct words by a 64-bit hash of their characters
-        power, down = (bv.powers(x, n) for x in (bv.BASE, pow(bv.BASE, -1, 1 << 64)))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(bv.mix(flat.astype(np.uint64) + bv.GOLD) * power, dtype=np.uint64)])
-        h = bv.mix((sums[self.w_end] - sums[self.w_start]) * down[self.w_start] + (self.w_end - self.w_start).astype(np.uint64))
+        h = bv.symbols_hash(flat, self.w_start, self.w_end)
         distinct, index, inv = np.unique(h, return_index=True, return_inverse=True)
         self.lattice = v.lattices
         at = self.lattice.find(distinct, flat, self.w_start[index], (self.w_end - self.w_start)[index])
@@ -457,6 +455,8 @@ def encode_chunk(v: Vocabulary, doc_ids: list, texts: list[str], k: int, seed: i
             small = np.exp(np.minimum(gap, 50.0))
             inclusion = np.where(gap < -30, gap, np.log(-np.expm1(-small)))
         ok = [spelled[ends[d] : ends[d + 1]].tobytes()[1:] == raw[d] for d in docs]
+        if not all(ok):
+            raise RuntimeError("the ids of a segmentation do not spell its text")
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum((start[1:] - start[:-1])[docs])]).astype(np.int32)), pa.array(tokens[bv.ranges(start[docs], (start[1:] - start[:-1])[docs])].astype(np.int32)))
         cols = [pa.array([doc_ids[d] for d in docs], pa.int64()), pa.array([repetitions[d] or 0 if repetitions else 0 for d in docs], pa.int64()), pa.array(np.full(len(docs), rank + 1, np.int32)), pa.array((start[1:] - start[:-1])[docs]), *(pa.array(np.round(x, 9) + 0.0) for x in (leaf["logp"], -leaf["arrival"], inclusion)), lists, pa.array(ok, pa.bool_())]
         yield pa.RecordBatch.from_arrays(cols, schema=pa.schema(FIELDS))
@@ -467,7 +467,7 @@ def sample_encode(docs: DataFrame, k: int = SAMPLES, seed: int = SEED, model: st
 
     ``log_prob``: of the segmentation; ``perturbed``: with its Gumbel noise; ``log_inclusion``: logarithm
     of the probability that the segmentation beats the best one left out, for weighted estimates;
-    ``round_trip``: the ids decode to the text. A text with fewer than k segmentations gives all of them,
+    ``round_trip``: the ids decode to the text (anything else is an error, so it is true). A text with fewer than k segmentations gives all of them,
     with inclusion 1; null and empty texts have one, of no tokens. Rows with a null id share a key of their
     own; rows of equal id and text get equal samples, unless ``repetition_col`` numbers them (see
     ``repetitions``), which is then part of the key. Whole texts, of any length, are walked, at some 110 bytes
