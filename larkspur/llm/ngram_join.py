@@ -9,10 +9,9 @@ passage or line that many documents share makes no group unless it is nearly all
 
 A group's first set is its hub. Overlaps are counted fragment by fragment: the tokens of a hub's fragment
 and those of the sets to compare meet in a task, which counts them; the counts are summed for each pair. Each set
-is compared with the hub it shares most segments with; then with its other hubs, where these are still in other
-components. What is left are groups whose members are in different components: they meet in blocks of bounded size,
-where all overlaps of a block are counted together and links alone leave the task. So no pair of a group is
-overlooked, and a group of near copies costs its size, not the square of it.
+is compared with the hub it shares most segments with. What is left are hubs whose sets are in different components: they
+meet in blocks of bounded size, where all overlaps of a block are counted together and links alone leave the task. So no
+pair of a group is overlooked, and a group of near copies costs its size, not the square of it.
 
 Equal sets are one set from the beginning, so copies take part once.
 """
@@ -339,23 +338,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = found.where(able).groupBy("rep").agg(F.max_by(F.struct("hub", "n_hub", "n_rep"), F.struct("shared", -F.col("hub"))).alias("b")).select("rep", "b.*")
     links = staged(overlaps(best, texts, least, width, fragment, dealt), "ngram-links")
 
-    def placed() -> DataFrame:
-        """The stars with the components of both ends."""
-        comp = staged(components(links.select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "ngram-components")
-        of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-        out = found.join(of("rep"), "rep", "left").join(of("hub"), "hub", "left")
-        return staged(out.withColumn("comp_rep", F.coalesce("comp_rep", "rep")).withColumn("comp_hub", F.coalesce("comp_hub", "hub")), "ngram-placed")
-
-    now = placed()
-    others = now.where(able & (F.col("comp_rep") != F.col("comp_hub"))).join(best.select("hub", "rep"), ["hub", "rep"], "left_anti")
-    more = staged(overlaps(others.select("hub", "rep", "n_hub", "n_rep"), texts, least, width, fragment, dealt), "ngram-links")
-    if not more.isEmpty():
-        links = staged(links.unionByName(more), "ngram-links")
-        unstage(now)
-        now = placed()
-    rest = left_over(now.select("hub", "rep", F.col("comp_rep").alias("comp"), F.col("n_rep").alias("n")), texts, least, width, block)
+    comp = staged(components(links.select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "ngram-components")
+    of = lambda c: comp.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
+    now = found.join(best.select("rep", F.col("hub").alias("first_hub")), "rep", "left").join(of("rep"), "rep", "left").join(of("hub"), "hub", "left")
+    now = now.select("hub", "n_hub", F.coalesce("comp_hub", "hub").alias("comp_hub"), "rep", "n_rep", F.coalesce("comp_rep", "rep").alias("comp_rep"), F.coalesce(F.col("first_hub") == F.col("hub"), F.lit(False)).alias("seen"))
+    now = staged(now, "ngram-placed")
+    # a hub with one other set that it has been compared with has nothing left
+    alone = now.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.max("seen").alias("seen")).where("members = 1 AND seen").select("hub")
+    lists = now.select("hub", "rep", F.col("comp_rep").alias("comp"), F.col("n_rep").alias("n")).unionByName(now.select("hub", F.col("hub").alias("rep"), F.col("comp_hub").alias("comp"), F.col("n_hub").alias("n")).distinct())
+    rest = left_over(lists.join(alone, "hub", "left_anti"), texts, least, width, block)
     links = staged(links.unionByName(rest), "ngram-links")
-    unstage(now, texts, found)
+    unstage(now, texts, found, comp)
     comp = staged(components(links.select(F.col("hub").alias("a"), F.col("rep").alias("b"))), "ngram-components")
     sets = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", "first_id", F.coalesce("comp", "rep").alias("comp"))
     lowest = sets.groupBy("comp").agg(F.min("first_id").alias("component_id"))
