@@ -9,6 +9,8 @@ import pyarrow as pa
 
 #: Bytes of text looked at together; a longer text makes a chunk of its own.
 CHUNK = 3_000_000
+#: Symbols whose sums are taken together; a longer span makes a stretch of its own.
+STRETCH = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -36,7 +38,7 @@ def _folded(x: np.ndarray) -> np.ndarray:
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n - 1), modulo PRIME; kept for the next call."""
     if base not in _powers or len(_powers[base]) < n:
-        size = max(n, CHUNK + 1)
+        size = max(n, STRETCH + 1)
         out = np.ones(size, np.uint64)
         done, step = 1, base
         while done < size:
@@ -52,14 +54,29 @@ def symbols_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, tabl
 
     Two polynomials over a prime field, with a random value for each symbol (``table`` has those of small alphabets), mixed with
     the length. Over a field two strings of n symbols agree for at most n - 1 bases, so no family of strings collides
-    for every base, as it does modulo a power of two.
+    for every base, as it does modulo a power of two. Spans are taken a stretch of symbols at a time.
     """
+    out = np.empty(len(starts), np.uint64)
+    if len(symbols) <= STRETCH:
+        return _stretch_hash(symbols, starts, ends, table)
+    order = np.argsort(starts, kind="stable")
+    starts, ends, lo = starts[order], ends[order], 0
+    while lo < len(starts):
+        base = starts[lo]
+        hi = int(np.searchsorted(starts, base + STRETCH // 2, side="right"))
+        out[order[lo:hi]] = _stretch_hash(symbols[base : ends[lo:hi].max()], starts[lo:hi] - base, ends[lo:hi] - base, table)
+        lo = hi
+    return out
+
+
+def _stretch_hash(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray | None) -> np.ndarray:
     n, out = len(symbols), (ends - starts).astype(np.uint64) * GOLD
     value = table[symbols] if table is not None else mix(symbols.astype(np.uint64) + GOLD)
     for k, base in enumerate(BASES):
         v = (value >> np.uint64(32 * k + 1)) & PRIME
+        v *= powers(base, n)
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_folded(v * powers(base, n)), dtype=np.uint64, out=sums[1:])  # below 2**64 for 2**31 symbols
+        np.cumsum(_folded(v), dtype=np.uint64, out=sums[1:])  # below 2**64 for 2**31 symbols
         at = _folded(sums[ends] - sums[starts]) % PRIME
         out = mix(out + at * powers(pow(base, -1, int(PRIME)), n + 1)[starts] % PRIME)
     return out
