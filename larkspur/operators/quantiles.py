@@ -5,23 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges into which the values of a group are counted first.
-BINS = 4096
+#: Ranges into which the values of a group are counted first, a power of two.
+BINS = 1024
+
+
+def position(bounds: Column, value: Column, most: int) -> Column:
+    """How many of a sorted array of up to ``2 * most - 1`` bounds are at or below a value, by halving steps; ``most`` is a power of two."""
+    steps = F.array(*(F.lit(most >> k) for k in range(most.bit_length())))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= value, F.lit(False)), at + step).otherwise(at))
+
+
+def binned(rows: DataFrame, bins: int = BINS) -> DataFrame:
+    """``rows`` (_k, _v) with ``_b``: ranges of about equally many values, from a quantile sketch of each group.
+
+    However the values lie, a range has about 1 in ``bins`` of its group's values, but for copies of one value.
+    """
+    grid = F.percentile_approx("_v", [i / bins for i in range(1, bins)], 10 * bins)
+    bounds = rows.where("_v IS NOT NULL").groupBy("_k").agg(F.array_distinct(grid).alias("_bounds"))
+    return _with(rows.where("_v IS NOT NULL"), bounds).select("_k", "_v", position(F.col("_bounds"), F.col("_v"), bins).alias("_b"))
 
 
 def quantiles(df: DataFrame, key: str, value: str, at: dict[str, float], bins: int = BINS) -> DataFrame:
     """key and, for each name in ``at``, the exact quantile of ``value`` (interpolated between neighbours).
 
-    No task holds a group: its values are counted in ``bins`` ranges of equal width, only the ranges that hold a
-    wanted rank are looked at again, and there equal values are counted once. Nulls and NaN don't count; a
-    group of nulls alone has null quantiles.
+    No task holds a group: its values are counted in ``bins`` ranges whose bounds come from a sketch, only the ranges that hold a
+    wanted rank are looked at again, and there equal values are counted once. The sketch places bounds; it does not
+    decide results. Nulls and NaN don't count; a group of nulls alone has null quantiles.
     """
     rows = df.select(F.col(key).alias("_k"), F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")).alias("_v"))
-    span = rows.groupBy("_k").agg(F.count("_v").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    place = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(F.lit(0)).cast("int")
-    binned = _with(rows.where("_v IS NOT NULL"), span).select("_k", "_v", place.alias("_b"))
+    span = rows.groupBy("_k").agg(F.count("_v").alias("_n"))
+    placed = binned(rows, bins)
     upto = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = binned.groupBy("_k", "_b").agg(F.count("_v").alias("_c")).withColumn("_from", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+    counts = placed.groupBy("_k", "_b").agg(F.count("_v").alias("_c")).withColumn("_from", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
     # the two ranks (from 0) beside each quantile, and the range that holds them
     wanted = F.array(*(F.struct(F.lit(name).alias("_q"), (F.lit(float(p)) * (F.col("_n") - 1)).alias("_r")) for name, p in at.items()))
     wanted = span.where("_n > 0").select("_k", F.inline(wanted))
@@ -29,7 +44,7 @@ def quantiles(df: DataFrame, key: str, value: str, at: dict[str, float], bins: i
     held = _with(ranks, counts, (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_from") + F.col("_c")))
     some = held.select("_k", F.col("_b").alias("_b2")).distinct()
     inside = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    values = _with(binned, some, F.col("_b") == F.col("_b2")).groupBy("_k", "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
+    values = _with(placed, some, F.col("_b") == F.col("_b2")).groupBy("_k", "_b", "_v").agg(F.count(F.lit(1)).alias("_m"))
     values = values.select("_k", F.col("_b").alias("_b2"), "_v", "_m", F.coalesce(F.sum("_m").over(inside), F.lit(0)).alias("_at"))
     rank = F.col("_rank") - F.col("_from")
     hit = _with(held, values, (F.col("_b") == F.col("_b2")) & (rank >= F.col("_at")) & (rank < F.col("_at") + F.col("_m")))

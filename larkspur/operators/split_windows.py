@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from larkspur.operators.quantiles import position
+
 #: Rows of a key from which on it is cut, and rows of a range, about.
 RANGE_ROWS = 100_000
 #: Ranges of one key at most, a power of two; more rows make longer ranges.
@@ -41,10 +43,7 @@ def ranged(df: DataFrame, by: list[str], on: str, rows: int = RANGE_ROWS) -> Dat
     ranges = F.least(F.lit(GRID), F.ceil(F.col("_n") / rows)).cast("int")
     bounds = F.transform(F.sequence(F.lit(1), ranges - 1), lambda i: F.get(F.col("_grid"), F.floor(i * GRID / ranges).cast("int")))
     placed = same(df, cut.select(*by, bounds.alias("_bounds")), by)
-    # how many bounds are at or below the value, by halving steps
-    steps = F.array(*(F.lit(GRID >> k) for k in range(GRID.bit_length())))
-    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get("_bounds", at + step - 1) <= F.col(on), F.lit(False)), at + step).otherwise(at))
-    return placed.withColumn("_range", F.when(F.col("_bounds").isNull(), 0).otherwise(below + 1)).drop("_bounds")
+    return placed.withColumn("_range", F.when(F.col("_bounds").isNull(), 0).otherwise(position(F.col("_bounds"), F.col(on), GRID) + 1)).drop("_bounds")
 
 
 def before(df: DataFrame, by: list[str], state: dict[str, Column], scan: dict[str, Column]) -> DataFrame:

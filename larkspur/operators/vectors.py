@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the rows answers, and rows they are multiplied with at a time (32 MB of products).
+#: Queries of a group, about, and rows they are multiplied with at a time (32 MB of products).
 QUERY_BLOCK, ROW_BLOCK = 4096, 1024
 #: Similarities are compared as whole numbers of 1e-5; this one stands for null and sorts last.
 SCALE = 100_000
@@ -35,13 +34,18 @@ def _first(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
+def _column(t: pa.Table, j: int) -> pa.Array:
+    """A column in one piece."""
+    c = t.column(j).combine_chunks()
+    return pa.concat_arrays(c.chunks) if isinstance(c, pa.ChunkedArray) else c
+
+
 class _Block:
     """Some queries: ids, groups, vectors and norms."""
 
-    def __init__(self, rows: list) -> None:
-        self.ids = np.array([r[0] for r in rows], np.int64)
-        self.groups = np.array([r[1] for r in rows], np.int64)
-        self.vectors, self.norms = _matrix(pa.array([r[2] for r in rows], pa.list_(pa.float64())))
+    def __init__(self, rows: pa.Table) -> None:
+        self.ids, self.groups = (_column(rows, j).to_numpy() for j in (0, 1))
+        self.vectors, self.norms = _matrix(_column(rows, 2))
 
     def nearest(self, ids: np.ndarray, groups: np.ndarray, vectors: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of the ``k`` nearest of some rows for each query; places that no row takes have similarity NONE - 1."""
@@ -60,48 +64,100 @@ class _Block:
         return np.where(key < 0, np.iinfo(np.int64).max, ids[n - 1 - key % n]), np.where(key < 0, NONE - 1, key // n + NONE - 1)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[_Block]:
-    rows: list = []
-    for r in queries.toLocalIterator():
-        rows.append(r)
-        if len(rows) == size:
-            yield _Block(rows)
-            rows = []
-    if rows:
-        yield _Block(rows)
+def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """(number, some rows of (i, g, v) as Arrow bytes), of up to ``size`` rows each; the number counts a task's blocks."""
+    held: list = []
+    n = count = 0
+
+    def done():
+        t = pa.Table.from_batches(held).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, t.schema) as out:
+            out.write_table(t)
+        return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["n", "blob"])
+
+    for b in batches:
+        for lo in range(0, b.num_rows, size):
+            held.append(b.slice(lo, size))
+            count += held[-1].num_rows
+            if count >= size:
+                yield done()
+                held, count, n = [], 0, n + 1
+    if count:
+        yield done()
+
+
+def _unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
 def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", within: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """The ``k`` rows nearest to each query: ``id_col``, other, sim (cosine, five decimals), without rows of the query's own id.
 
-    The queries pass through the driver in blocks of ``block``. Each block is broadcast and meets every row in
-    its reading task, which keeps its ``k`` best a query; only those are shuffled, and the ``k`` best of them stay.
-    Equal similarities go to the smaller id. With ``within``, an integer column, only rows of the query's own
-    value count, without a join on it. Null vectors and zero norms have null similarity, which is last; null
-    ids, and null values of ``within``, match nothing. Vectors have one length.
+    Queries and rows are packed into blocks. Every query block meets every block of rows: queries are dealt out in about
+    ``block`` a group, rows in as many deals as fill the tasks, and a task multiplies a group with a deal's blocks one after the other,
+    keeping the ``k`` best a query; those of all deals are merged. No vector passes the driver. Equal similarities go to the smaller id. With
+    ``within``, an integer column, only rows of the query's own value count, without a join on it. Null vectors and zero norms
+    have null similarity, which is last; null ids, and null values of ``within``, match nothing. Vectors have one length.
     """
     group = F.col(within).cast("long") if within else F.lit(0).cast("long")
     some = lambda df: df.select(F.col(id_col).cast("long").alias("i"), group.alias("g"), F.col(vector_col).cast("array<double>").alias("v")).where("i IS NOT NULL AND g IS NOT NULL")
-    every, sc = some(rows), rows.sparkSession.sparkContext
-
-    def search(shared):
-        def run(batches):
-            q = shared.value
-            best = np.zeros((len(q.ids), 0), np.int64), np.zeros((len(q.ids), 0), np.int64)
-            for b in batches:
-                for lo in range(0, b.num_rows, ROW_BLOCK):
-                    part = b.slice(lo, ROW_BLOCK)
-                    new = q.nearest(part.column(0).to_numpy(), part.column(1).to_numpy(), *_matrix(part.column(2)), k)
-                    best = _first(*(np.concatenate(x, axis=1) for x in zip(best, new)), k)
+    asked, every = some(queries), some(rows)
+    groups = max(1, -(-asked.count() // block))
+    deals = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups))
+
+    def pack(size):
+        return lambda batches: _packed(batches, size)
+
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = asked.withColumn("q", F.pmod(F.xxhash64("i"), F.lit(groups)).cast("int")).repartition(groups, "q").sortWithinPartitions("q")
+
+    def pack_groups(batches):
+        """Blocks of one group each."""
+        for b in batches:
+            q = b.column(3).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(q)) + 1).tolist(), len(q)] if len(q) else [0]
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                for x in _packed(iter([b.slice(lo, hi - lo).select([0, 1, 2])]), hi - lo):
+                    yield pa.RecordBatch.from_arrays([pa.array([int(q[lo])], pa.int32()), x.column(1)], names=["q", "blob"])
+
+    left = own.mapInArrow(pack_groups, "q int, blob binary").select("q", numbers(deals).alias("d"), F.lit(0).alias("side"), "blob")
+    packed = every.mapInArrow(pack(ROW_BLOCK), "n int, blob binary").withColumn("d", F.pmod(F.col("n") + F.spark_partition_id(), F.lit(deals)))
+    right = packed.select(numbers(groups).alias("q"), "d", F.lit(1).alias("side"), "blob")
+
+    def search(batches):
+        unit, asking, found, best = None, [], None, None
+
+        def done():
+            if best is None:
+                return
             at, place = np.nonzero(best[1] >= NONE)
-            sim = best[1][at, place]
+            ids, sim = best[0][at, place], best[1][at, place]
             for lo in range(0, len(at), 10_000):
                 s = sim[lo : lo + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(q.ids[at[lo : lo + 10_000]]), pa.array(best[0][at, place][lo : lo + 10_000]), pa.array(s / SCALE, mask=s == NONE)], names=["i", "other", "sim"])
-
-        return run
+                yield pa.RecordBatch.from_arrays([pa.array(found.ids[at[lo : lo + 10_000]]), pa.array(ids[lo : lo + 10_000]), pa.array(s / SCALE, mask=s == NONE)], names=["i", "other", "sim"])
+
+        for b in batches:
+            for q, d, side, blob in zip(*(b.column(j).to_pylist() for j in range(4))):
+                if (q, d) != unit:
+                    yield from done()
+                    unit, asking, found, best = (q, d), [], None, None
+                t = _unpacked(blob)
+                if side == 0:
+                    asking.append(t)
+                    continue
+                if not asking:
+                    continue
+                if found is None:
+                    found = _Block(pa.concat_tables(asking).combine_chunks())
+                    best = np.zeros((len(found.ids), 0), np.int64), np.zeros((len(found.ids), 0), np.int64)
+                for lo in range(0, t.num_rows, ROW_BLOCK):
+                    part = t.slice(lo, ROW_BLOCK)
+                    new = found.nearest(_column(part, 0).to_numpy(), _column(part, 1).to_numpy(), *_matrix(_column(part, 2)), k)
+                    best = _first(*(np.concatenate(x, axis=1) for x in zip(best, new)), k)
+        yield from done()
 
-    found = [every.mapInArrow(search(sc.broadcast(b)), "i long, other long, sim double") for b in _blocks(some(queries), block)]
-    pairs = reduce(DataFrame.unionAll, found) if found else every.select("i", F.col("i").alias("other"), F.lit(None).cast("double").alias("sim")).limit(0)
+    met = left.unionByName(right).repartition("q", "d").sortWithinPartitions("q", "d", "side")
+    pairs = met.mapInArrow(search, "i long, other long, sim double")
     w = Window.partitionBy("i").orderBy(F.desc("sim"), "other")
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(F.col("i").alias(id_col), "other", "sim")

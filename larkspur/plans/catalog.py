@@ -33,12 +33,13 @@ def query(sql: str | None = None):
 def streaming_query(sql: str):
     """Register a function of the event stream; its rows go to files of the shared folder, in append mode.
 
-    The table is a file or a folder; named as a pattern, the stream's source takes either.
+    The table is a file or a folder; named as a pattern, the stream's source takes either. All files that are there make one
+    trigger, however many: files need no order, and the watermark closes windows after the last of them.
     """
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return st.run_to_files(f(st.read_events(spark, f"{sf_dir}/events.parque[t]", files_per_trigger=1000)), scratch(spark, f.__name__))
+            return st.run_to_files(f(st.read_events(spark, f"{sf_dir}/events.parque[t]", files_per_trigger=None)), scratch(spark, f.__name__))
 
         QUERIES[f.__name__], ORACLES[f.__name__] = run, sql
         return f
@@ -104,9 +105,12 @@ def left_join(t):
     return t("customer").join(t("orders"), (F.col("c_custkey") == F.col("o_custkey")) & (F.col("o_orderstatus") == "P"), "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT c_nationkey, s_nationkey, c_custkey, s_suppkey FROM (FROM customer WHERE c_acctbal > 9900) FULL JOIN (FROM supplier WHERE s_acctbal > 9000) ON c_nationkey = s_nationkey")
+@query("""
+SELECT coalesce(c_custkey, user_id) AS id, c_name, n FROM customer FULL JOIN (SELECT user_id, count(*) AS n FROM events GROUP BY user_id) ON c_custkey = user_id""")
 def full_join(t):
-    return t("customer").where("c_acctbal > 9900").join(t("supplier").where("s_acctbal > 9000"), F.col("c_nationkey") == F.col("s_nationkey"), "full").select("c_nationkey", "s_nationkey", "c_custkey", "s_suppkey")
+    """Customers and users by number, those of one side alone too."""
+    users = t("events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return t("customer").join(users, F.col("c_custkey") == F.col("user_id"), "full").select(F.coalesce("c_custkey", "user_id").alias("id"), "c_name", "n")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
@@ -201,13 +205,19 @@ def date_functions(t):
 
 
 @query("""
-SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim
-FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
-QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 10""")
+SELECT vec_id, CAST(count(*) FILTER (WHERE same) AS BIGINT) AS same_label, round(max(sim) FILTER (WHERE same), 5) AS nearest_same, round(max(sim) FILTER (WHERE NOT same), 5) AS nearest_other FROM (
+SELECT a.vec_id, a.label = b.label AS same, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 5) AS sim
+FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 10) GROUP BY vec_id""")
 def cosine_pairs(t):
-    """The ten nearest of the same label for every vector whose id is divisible by 50."""
+    """For every vector whose id is divisible by 50: how many of its ten nearest among all rows have its label, and the nearest of either kind."""
     e = t("embeddings")
-    return ops.nearest(e.where("vec_id % 50 = 0"), e, 10, within="label")
+    labels = e.select(F.col("vec_id").alias("i"), F.col("label").alias("l"))
+    near = ops.nearest(e.where("vec_id % 50 = 0"), e, 10)
+    near = near.join(labels, near["vec_id"] == labels["i"]).drop("i").withColumnRenamed("l", "own")
+    near = near.join(labels, near["other"] == labels["i"]).withColumn("same", F.col("own") == F.col("l"))
+    best = lambda some: F.max(F.when(some, F.col("sim")))
+    return near.groupBy("vec_id").agg(F.count_if("same").alias("same_label"), best(F.col("same")).alias("nearest_same"), best(~F.col("same")).alias("nearest_other"))
 
 
 @query("""
@@ -254,6 +264,31 @@ def fill_forward(t):
     return ops.fill_forward(e, "user_id", "ts", "v").select("event_id", "v")
 
 
+@query("""
+SELECT event_id, event_type, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS running FROM events""")
+def running_by_type(t):
+    """Five keys of a fifth of all rows each, cut into ranges of a thousand rows."""
+    e = ops.running_sum(t("events"), ["event_type"], ["ts", "event_id"], "value", rows=1000)
+    return e.select("event_id", "event_type", F.round("running", 3).alias("running"))
+
+
+@query("""
+WITH m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY event_type ORDER BY ts) >= INTERVAL 20 MINUTE, true) AS b FROM events),
+s AS (SELECT *, sum(CAST(b AS INT)) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
+SELECT event_type, min(ts) AS session_start, max(ts) AS session_end, count(*) AS n_events FROM s GROUP BY event_type, s""")
+def bursts_by_type(t):
+    """Sessions of five keys of a fifth of all rows each, made in ranges of a thousand rows and joined over their edges."""
+    return ops.sessions(t("events"), 1200, "event_type", rows=1000)
+
+
+@query("""
+SELECT a.event_id, b.event_id AS asof_event_id FROM events a ASOF LEFT JOIN (FROM events WHERE event_type = 'error') b ON (a.value > 0) = (b.value > 0) AND a.ts >= b.ts""")
+def asof_last_error(t):
+    """The last error before each event, by the sign of the value alone: a key or two with all rows."""
+    e = t("events").withColumn("sign", F.col("value") > 0)
+    return ops.asof_join(e, e.where("event_type = 'error'"), ["sign"], "ts", ["ts", "event_id"], rows=1000).select("event_id", "asof_event_id")
+
+
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, c_acctbal / nullif(c_nationkey, 0) AS per FROM customer")
 def case_and_ratio(t):
     b = F.col("c_acctbal")
@@ -363,15 +398,18 @@ def time_zones(t):
     return t("events").select("event_id", F.hour(there).alias("hour_there"), F.dayofyear(there).alias("day_there"))
 
 
+#: Years by recursion, each with its months: the engines stop at 100 steps, which are years here.
 _MONTHS = """
-WITH RECURSIVE m(d) AS (SELECT date_trunc('month', min(o_orderdate)) FROM {0} UNION ALL SELECT d + INTERVAL 1 MONTH FROM m WHERE d < TIMESTAMP '1998-08-01'),
+WITH RECURSIVE span AS (SELECT date_trunc('month', min(o_orderdate)) AS lo, date_trunc('month', max(o_orderdate)) AS hi FROM {0}),
+y(d, hi) AS (SELECT lo, hi FROM span WHERE lo IS NOT NULL UNION ALL SELECT d + INTERVAL 1 YEAR, hi FROM y WHERE d + INTERVAL 1 YEAR <= hi),
+m AS (%s),
 n AS (SELECT date_trunc('month', o_orderdate) AS d, count(*) AS n FROM {0} GROUP BY 1)
-SELECT {1} AS month, coalesce(n, 0) AS n FROM m LEFT JOIN n ON m.d = n.d"""
+SELECT {1} AS month, coalesce(n, 0) AS n FROM m LEFT JOIN n ON m.d = n.d""" % " UNION ALL ".join(f"SELECT d + INTERVAL {k} MONTH AS d FROM y WHERE d + INTERVAL {k} MONTH <= hi" for k in range(12))
 
 
 @query(_MONTHS.format("orders", "strftime(m.d, '%Y-%m')"))
 def recursive_months(t):
-    """A calendar by recursion, joined with counts."""
+    """A calendar by recursion, from the first order's month to the last one's, joined with counts."""
     o = t("orders").withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp"))
     return o.sparkSession.sql(_MONTHS.format("{o}", "date_format(m.d, 'yyyy-MM')"), o=o)
 

@@ -12,9 +12,16 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, folder: str, files_per_trigger: int = 1, delay: str = "1 hour") -> DataFrame:
-    """A stream of event files with a watermark. ``ts`` becomes a zoned timestamp, which watermarks need."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_events(spark: SparkSession, folder: str, files_per_trigger: int | None = 1, delay: str = "1 hour") -> DataFrame:
+    """A stream of event files with a watermark. ``ts`` becomes a zoned timestamp, which watermarks need.
+
+    Files come in the order in which they were written; with several triggers, rows older than what the watermark has passed
+    are late and are dropped by windowed operators, so files should then follow event time. Without ``files_per_trigger`` all files make one trigger.
+    """
+    reader = spark.readStream.schema(EVENTS)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    raw = reader.parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
