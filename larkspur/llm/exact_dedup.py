@@ -169,7 +169,7 @@ def grace_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def collapse(batches):
         return _collapse(batches, text_at, id_at, table_bytes)
 
-    spread = staged(docs.mapInArrow(collapse, out), "grace-rows")
+    spread = staged(docs.toDF(*(f"c{i}" for i in range(len(docs.columns)))).mapInArrow(collapse, out), "grace-rows")
     members = spread.where("kind = 0").select("uid", "doc_id", "sha", "gid")
     groups = spread.where("kind = 1")
 

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm import bytes_view as bv
 from larkspur.llm.components import components
 from larkspur.llm.exact_dedup import normalised
-from larkspur.llm.shared import documents, staged, unstage
+from larkspur.llm.shared import SPACE, documents, staged, unstage
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -333,14 +333,8 @@ def linked(members: DataFrame, similarity: float, width: int) -> DataFrame:
     return members.select("a", "u", "v", *cols).repartition("a", "u", "v").sortWithinPartitions("a", "u", "v", "block", "b").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), kept (it is that one).
-
-    Null text counts as empty; a text without words is near no other, and one of fewer than ``width``
-    words is one window. Equal texts are one class. Rows with a null id have a null class and link nothing;
-    rows that share an id are one document. Links are transitive. A pair at the threshold is missed by all
-    bands with probability (1 - 0.8**5)**25 = 5e-5. An empty table gives no rows.
-    """
+def _classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """doc_id, digest (of the words), class_id and kept for every row; see ``near_groups``."""
     signed = staged(sign(docs, id_col, text_col, bands, rows, width), "near-signatures")
     reps = staged(signed.where("doc_id IS NOT NULL AND size(bands) > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "near-texts")
     in_bucket = reps.select(F.explode("bands").alias("key"), "rep")
@@ -379,13 +373,29 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal texts share a digest: the smallest id stands for them on one row, so only hot digests are wide
     joined = signed.select("doc_id", "digest", F.size("bands").alias("n")).join(classes, "digest", "left")
     class_id = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("class"))
-    return joined.select("doc_id", class_id.alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+    return joined.select("doc_id", "digest", class_id.alias("class_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)))
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (the smallest id of its class), kept (it is that one).
+
+    Null text counts as empty; a text without words is near no other, and one of fewer than ``width``
+    words is one window. Equal texts are one class. Rows with a null id have a null class and link nothing;
+    rows that share an id are one document. Links are transitive. A pair at the threshold is missed by all
+    bands with probability (1 - 0.8**5)**25 = 5e-5. An empty table gives no rows.
+    """
+    return _classes(docs, id_col, text_col, **options).select("doc_id", "class_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class, columns as they were; rows with a null id stay."""
-    gone = near_groups(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone.hint("merge"), id_col, "left_anti").select(*docs.columns)
+    """``docs`` with one document of each class, columns as they were.
+
+    A row goes by its id and its words together: another row of the same id with a text of its own stays. Rows with a null id stay.
+    """
+    gone = _classes(docs, id_col, text_col, **options).where("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_digest")).distinct()
+    words = F.trim(F.regexp_replace(F.coalesce(docs[f"`{text_col}`"], F.lit("")), SPACE, " "))
+    same = (docs[f"`{id_col}`"] == gone["_gone_id"]) & (F.unhex(F.sha2(words, 256)) == gone["_gone_digest"])
+    return docs.join(gone.hint("merge"), same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

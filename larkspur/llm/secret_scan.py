@@ -168,7 +168,8 @@ def redact(docs: DataFrame, text_col: str = "text", vocabulary: str | None = Non
             cols[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names=b.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

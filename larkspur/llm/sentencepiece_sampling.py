@@ -498,11 +498,14 @@ def repetitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     One shuffle by id and text, to tasks of about ``task_bytes`` of text. Rows of equal id and text are numbered
     in any order: they differ in nothing that is encoded.
     """
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name!r} already")
     text = F.coalesce(F.col(text_col), F.lit(""))
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    own = docs.withColumn("_same", F.xxhash64(F.col(id_col), text))
-    w = Window.partitionBy("_same").orderBy("_same")
-    return own.repartition(max(1, -(-total // task_bytes)), "_same").withColumn(name, F.row_number().over(w) - 1).drop("_same")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64(F.col(id_col), text).alias("same"))
+    w = Window.partitionBy("same").orderBy("same")
+    dealt = own.repartition(max(1, -(-total // task_bytes)), "same").withColumn("number", F.row_number().over(w) - 1)
+    return dealt.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns), F.col("number").alias(name))
 
 
 def decode(encoded: DataFrame, model: str | None = None, ids_col: str = "ids", out_col: str = "text") -> DataFrame:
