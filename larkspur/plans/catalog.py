@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from larkspur import operators as ops
 from larkspur import streaming as st
 from larkspur.functions import safe_ratio
-from larkspur.sources import FORMATS, read_files, read_table, scratch, write_table
+from larkspur.sources import FORMATS, read_files, read_table, register_logs, scratch, write_logs, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -479,5 +479,66 @@ def stream_sessions(events):
     return st.session_counts(events).select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), "n")
 
 
+@query(f"""
+WITH m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 1 DAY, true) AS b FROM events),
+s AS (SELECT *, sum(CAST(b AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m)
+SELECT user_id, CAST(s AS BIGINT) AS alert, max(ts) AS last_event, count(*) AS n_events, count(DISTINCT event_type) AS n_kinds FROM s
+GROUP BY user_id, s HAVING max(ts) + INTERVAL 1 DAY <= {_CLOSED}""")
+def stream_inactivity(t):
+    """An alert for every user who is silent for a day, by state with timers; the events come in four parts with a restart after each."""
+    e = t("events")
+    spark, path = e.sparkSession, scratch(e.sparkSession, "inactivity")
+
+    def run():
+        with st.rocksdb(spark):
+            alerts = st.inactivity(st.read_events(spark, f"{path}/events", files_per_trigger=None), 86_400)
+            st.run_to_files(alerts, f"{path}/alerts")
+
+    st.replay(e, f"{path}/events", run)
+    return spark.read.parquet(f"{path}/alerts/rows").withColumn("last_event", F.col("last_event").cast("timestamp_ntz"))
+
+
+@query("""
+SELECT user_id, event_id, ts, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1""")
+def stream_latest_per_user(t):
+    """The last event of each user, kept by an idempotent keyed sink; after each of four parts the stream's last batch is forced to come again."""
+    e = t("events")
+    spark, path = e.sparkSession, scratch(e.sparkSession, "latest")
+    table = st.KeyedTable(spark, f"{path}/table", ["user_id"], ["ts", "event_id"])
+
+    def run():
+        for _ in range(2):
+            st.run_to_keyed_table(st.read_events(spark, f"{path}/events", files_per_trigger=None), table, f"{path}/checkpoint")
+            st.forget_last_commit(spark, f"{path}/checkpoint")
+
+    st.replay(e, f"{path}/events", run)
+    return table.read().select("user_id", "event_id", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", "value")
+
+
+@query("""
+SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS level, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def log_lines(t):
+    """All events as lines of log files, read back by a data source of the library's own."""
+    e = t("events")
+    spark, folder = e.sparkSession, scratch(e.sparkSession, "logs")
+    write_logs(e, folder)
+    register_logs(spark)
+    logs = spark.read.format("lines_log").load(folder)
+    return logs.groupBy("day", "level").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT event_id, ts, event_type AS level, value FROM events")
+def stream_log_lines(t):
+    """The log files as a stream: the first half of the month, a stop, and the rest from the offset where it stopped."""
+    e = t("events")
+    spark, path = e.sparkSession, scratch(e.sparkSession, "log-stream")
+    register_logs(spark)
+    early = F.dayofmonth("ts") <= 15
+    for part in (e.where(early), e.where(~early)):
+        write_logs(part, f"{path}/logs")
+        lines = spark.readStream.format("lines_log").load(f"{path}/logs")
+        out = st.run_to_files(lines.select("event_id", "ts", "level", "value"), f"{path}/out")
+    return out
+
 
 flagship = QUERIES["top_customers"]

@@ -1,7 +1,8 @@
 """Table readers and writers."""
 
 from larkspur.sources.formats import FORMATS, read_files, write_table
+from larkspur.sources.logs import register_logs, write_logs
 from larkspur.sources.scratch import scratch
 from larkspur.sources.tables import TABLES, read_table
 
-__all__ = ["FORMATS", "TABLES", "read_files", "read_table", "scratch", "write_table"]
+__all__ = ["FORMATS", "TABLES", "read_files", "read_table", "register_logs", "scratch", "write_logs", "write_table"]

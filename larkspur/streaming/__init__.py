@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from larkspur.streaming.inactivity import inactivity, rocksdb
+from larkspur.streaming.keyed_table import KeyedTable, forget_last_commit, run_to_keyed_table
+
+__all__ = [
+    "EVENTS", "KeyedTable", "first_of_key", "forget_last_commit", "inactivity", "interval_join", "read_events", "replay", "rocksdb",
+    "run_to_files", "run_to_keyed_table", "run_to_memory", "running_totals", "session_counts", "window_counts",
+]
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -72,3 +80,13 @@ def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> D
     q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def replay(events: DataFrame, folder: str, run: Callable[[], object], parts: int = 4, ts: str = "ts") -> None:
+    """Let a table come as a stream: its rows arrive in ``folder`` in ``parts`` parts by time, and ``run`` is called after each, so that a stream's query stops and goes on from its checkpoint."""
+    at = F.col(ts).cast("timestamp")
+    bounds = events.select(F.percentile_approx(F.unix_micros(at), [k / parts for k in range(1, parts)], 10_000).alias("b")).first().b or []
+    part = F.array_size(F.filter(F.array(*(F.lit(b) for b in bounds)).cast("array<long>"), lambda b: b <= F.unix_micros(at)))
+    for k in range(len(bounds) + 1):
+        events.where(F.coalesce(part, F.lit(0)) == k).write.mode("append").parquet(folder)
+        run()
