@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from larkspur import operators as ops
 from larkspur import streaming as st
 from larkspur.functions import safe_ratio
+from larkspur.operators import sketches as sk
 from larkspur.sources import FORMATS, read_files, read_table, register_logs, scratch, write_logs, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,6 +290,90 @@ def asof_last_error(t):
     return ops.asof_join(e, e.where("event_type = 'error'"), ["sign"], "ts", ["ts", "event_id"], rows=1000).select("event_id", "asof_event_id")
 
 
+_HEAVY = 0.002
+
+
+@query(f"""
+WITH w AS (SELECT unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM documents)
+SELECT word, count(*) AS n FROM w GROUP BY word HAVING count(*) >= {_HEAVY} * (SELECT count(*) FROM w)""")
+def heavy_words(t):
+    """Words that make up a five-hundredth of all, by summaries of bounded size and an exact recount."""
+    words = t("documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("word"))
+    return ops.heavy_hitters(words, "word", _HEAVY)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice, rank() OVER (ORDER BY l_extendedprice) AS rank,
+       row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate) AS row_number FROM lineitem""")
+def rank_of_all_lines(t):
+    """Every line's place among all lines, in ranges of ten thousand rows."""
+    ties = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate"]
+    r = ops.global_rank(t("lineitem"), "l_extendedprice", ties, rows=10_000)
+    return r.select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "rank", "row_number")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, row_number FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS row_number FROM lineitem)
+WHERE row_number > 2000 AND row_number <= 2100""")
+def page_of_lines(t):
+    """The 21st page of a hundred lines by date of shipment."""
+    return ops.page(t("lineitem"), "l_shipdate", ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity"], 21, 100, rows=10_000).select("l_orderkey", "l_linenumber", "row_number")
+
+
+@query("""
+WITH m AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 2 HOUR, true) AS b FROM events),
+s AS (SELECT *, sum(CAST(b AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM m),
+p AS (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM s GROUP BY user_id, s)
+SELECT a.user_id, count(*) AS n, count(DISTINCT b.user_id) AS others FROM p a JOIN p b ON a.lo <= b.hi AND b.lo <= a.hi AND a.user_id <> b.user_id GROUP BY a.user_id""")
+def overlapping_sessions(t):
+    """How many sessions of others each user's sessions overlap."""
+    s = ops.sessions(t("events"), 7200, "user_id").select("user_id", *(F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("session_start", "session_end")))
+    on = (F.col("session_start"), F.col("session_end"))
+    pairs = ops.overlap_join(s, s, on, on).where("left.user_id <> right.user_id")
+    return pairs.groupBy(F.col("left.user_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("right.user_id").alias("others"))
+
+
+def _stored_sketches(t) -> DataFrame:
+    """Hourly sketches of the events by type, written and read again."""
+    e = t("events")
+    path = scratch(e.sparkSession, "sketches")
+    sk.sketch(e, ["event_type"], "user_id", "value", "1 hour").write.parquet(path)
+    return e.sparkSession.read.parquet(path)
+
+
+@query("""
+SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near FROM events GROUP BY ALL""")
+def sketched_days(t):
+    """Daily users and medians merged from hourly sketches, beside the exact users; whether each estimate is within its bound."""
+    day = F.date_trunc("day", "bucket").alias("day")
+    est = sk.roll_up(_stored_sketches(t), "event_type", day).select(F.col("event_type").alias("k"), F.col("day").alias("d"), F.col("n").alias("merged"), sk.n_distinct().alias("about"), sk.quantile(0.5).alias("mid"))
+    e = t("events").withColumn("day", F.date_trunc("day", "ts"))
+    exact = e.join(est, (F.col("event_type") == F.col("k")) & (F.col("day") == F.col("d")))
+    low, same = F.count_if(F.col("value") < F.col("mid")), F.count_if(F.col("value") <= F.col("mid"))
+    got = exact.groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("rows"), F.max("merged").alias("n"), F.countDistinct("user_id").alias("users"), F.max("about").alias("about"), low.alias("low"), same.alias("same"))
+    slack = sk.rank_error() * F.col("rows") + 1
+    near = (F.col("low") <= F.col("rows") / 2 + slack) & (F.col("same") >= F.col("rows") / 2 - slack)
+    return got.select("event_type", F.col("day").cast("timestamp_ntz").alias("day"), "n", "users", sk.within(F.col("about"), F.col("users"), sk.hll_error()).alias("users_near"), near.alias("median_near"))
+
+
+@query("""
+WITH u AS (SELECT DISTINCT event_type, user_id FROM events)
+SELECT a.event_type AS a, b.event_type AS b, count(*) AS n_both, true AS both_near, true AS only_near, true AS either_near
+FROM u a JOIN u b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY ALL""")
+def sketched_sets(t):
+    """Users of two types of event, of one alone and of either, by set algebra over merged sketches, beside exact counts."""
+    of_type = sk.roll_up(_stored_sketches(t), "event_type")
+    x, y = (of_type.select(F.col("event_type").alias(c), F.col("theta").alias(f"theta_{c}")) for c in "ab")
+    users = t("events").select("event_type", "user_id").distinct()
+    own = users.groupBy("event_type").agg(F.count(F.lit(1)).alias("size"))
+    u, v = (users.select(F.col("event_type").alias(c), "user_id") for c in "ab")
+    pairs = u.join(v, "user_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both"))
+    all_of = pairs.join(x, "a").join(y, "b").join(own.select(F.col("event_type").alias("a"), F.col("size").alias("size_a")), "a").join(own.select(F.col("event_type").alias("b"), F.col("size").alias("size_b")), "b")
+    both, either = F.col("n_both"), F.col("size_a") + F.col("size_b") - F.col("n_both")
+    near = lambda estimate, exact: sk.within(estimate, exact, sk.theta_error(), either)
+    return all_of.select("a", "b", "n_both", near(sk.n_both("theta_a", "theta_b"), both).alias("both_near"), near(sk.n_only("theta_a", "theta_b"), F.col("size_a") - both).alias("only_near"), near(sk.n_either("theta_a", "theta_b"), either).alias("either_near"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, c_acctbal / nullif(c_nationkey, 0) AS per FROM customer")
 def case_and_ratio(t):
     b = F.col("c_acctbal")
