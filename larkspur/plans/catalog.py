@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from larkspur import operators as ops
 from larkspur import streaming as st
-from larkspur.functions import safe_ratio
+from larkspur.functions import safe_ratio, variants
 from larkspur.operators import sketches as sk
-from larkspur.sources import FORMATS, read_files, read_table, register_logs, scratch, write_logs, write_table
+from larkspur.operators import snapshots, vector_index
+from larkspur.sources import FORMATS, read_files, read_table, register_logs, scratch, write_bucketed, write_logs, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -374,6 +375,60 @@ def sketched_sets(t):
     return all_of.select("a", "b", "n_both", near(sk.n_both("theta_a", "theta_b"), both).alias("both_near"), near(sk.n_only("theta_a", "theta_b"), F.col("size_a") - both).alias("only_near"), near(sk.n_either("theta_a", "theta_b"), either).alias("either_near"))
 
 
+@query("""
+SELECT o_orderkey, 'deleted' AS change FROM orders WHERE o_orderkey BETWEEN 100 AND 120 UNION ALL SELECT o_orderkey, 'changed' FROM orders WHERE o_orderkey BETWEEN 500 AND 550
+UNION ALL SELECT o_orderkey + 1000000000, 'inserted' FROM orders WHERE o_orderkey < 20""")
+def snapshot_changes(t):
+    """What differs between the orders and a copy with some deleted, changed and inserted: only ranges of keys that differ are read row by row."""
+    o = t("orders")
+    path = scratch(o.sparkSession, "snapshots")
+    k = F.col("o_orderkey")
+    later = o.where(~k.between(100, 120)).withColumn("o_totalprice", F.when(k.between(500, 550), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    later = later.unionByName(o.where(k < 20).withColumn("o_orderkey", k + 1_000_000_000))
+    snapshots.write_snapshot(o, f"{path}/old", "o_orderkey")
+    snapshots.write_snapshot(later, f"{path}/new", "o_orderkey", like=f"{path}/old")
+    return snapshots.snapshot_difference(o.sparkSession, f"{path}/old", f"{path}/new", "o_orderkey")
+
+
+@query("""
+SELECT o_orderpriority, count(*) AS lines, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""")
+def bucketed_join(t):
+    """Orders with their lines from tables written by buckets of the key: the join and the count by order have no exchange."""
+    o = write_bucketed(t("orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority"), ["k"], 8, "orders")
+    li = write_bucketed(t("lineitem").select(F.col("l_orderkey").alias("k"), "l_extendedprice"), ["k"], 8, "lines")
+    per = o.join(li.hint("merge"), "k").groupBy("k", "o_orderpriority").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_extendedprice").alias("total"))
+    return per.groupBy("o_orderpriority").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("orders"), F.round(F.sum("total"), 2).alias("total"))
+
+
+_MIXED = """CASE event_type WHEN 'view' THEN props WHEN 'click' THEN '{"k": "' || CAST(event_id AS VARCHAR(20)) || 'x", "z": {"on": true}}' WHEN 'error' THEN '{"k": ' WHEN 'signup' THEN '{"k": null, "z": 1.5}' ELSE '[1, 2]' END"""
+
+
+@query(f"""
+WITH j AS (SELECT event_id, {_MIXED} AS text, event_type FROM events), v AS (SELECT *, CASE WHEN json_valid(text) THEN text END AS ok FROM j)
+SELECT event_id, ok IS NOT NULL AS is_json, CASE WHEN json_type(ok, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(ok ->> '$.k' AS BIGINT) END AS number,
+       CASE WHEN json_type(ok, '$.k') = 'VARCHAR' THEN ok ->> '$.k' END AS word, CAST(ok ->> '$.z.on' AS BOOLEAN) AS is_on FROM v""")
+def variant_fields(t):
+    """Properties whose field ``k`` is a number, a text or null, or that are no object or no JSON at all: typed columns from variants."""
+    v = t("events").select("event_id", variants.parsed(F.expr(_MIXED.replace("VARCHAR(20)", "STRING"))).alias("v"))
+    kind = variants.kind_of(F.col("v"), "k")
+    number, word = (F.try_variant_get("v", "$.k", x) for x in ("long", "string"))
+    return v.select("event_id", F.col("v").isNotNull().alias("is_json"), F.when(kind == "BIGINT", number).alias("number"), F.when(kind == "STRING", word).alias("word"), F.try_variant_get("v", "$.z.on", "boolean").alias("is_on"))
+
+
+@query("""
+SELECT count(*) AS queries, true AS all_answered, true AS recall_90 FROM embeddings WHERE vec_id % 50 = 0""")
+def index_recall(t):
+    """The vector index over all rows against the exact search: whether nine of ten of the true ten nearest are found, for every vector whose id is divisible by 50."""
+    e = t("embeddings")
+    path = scratch(e.sparkSession, "index")
+    vector_index.build(e, path)
+    asked = e.where("vec_id % 50 = 0")
+    found = vector_index.search(e.sparkSession, path, asked, 10).select("vec_id", "other", F.lit(1).alias("hit"))
+    true = ops.nearest(asked, e, 10)
+    per = true.join(found, ["vec_id", "other"], "left").groupBy("vec_id").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("true"))
+    return per.agg(F.count(F.lit(1)).alias("queries"), (F.min("hits") > 0).alias("all_answered"), (F.sum("hits") >= 0.9 * F.sum("true")).alias("recall_90"))
+
+
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'low' ELSE 'high' END AS band, c_acctbal / nullif(c_nationkey, 0) AS per FROM customer")
 def case_and_ratio(t):
     b = F.col("c_acctbal")
