@@ -37,6 +37,9 @@ NAMES = {
     "CC-BY-ND-4.0": ("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License", "CC-BY-ND-4.0"),
     "CC-BY-NC-SA-4.0": ("CC BY-NC-SA 4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", "CC-BY-NC-SA-4.0"),
     "CC-BY-NC-ND-4.0": ("CC BY-NC-ND 4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License", "CC-BY-NC-ND-4.0"),
+    "GPL-2.0-only": ("GPL-2.0-only",), "GPL-2.0-or-later": ("GPL-2.0-or-later",), "GPL-3.0-only": ("GPL-3.0-only",), "GPL-3.0-or-later": ("GPL-3.0-or-later",),
+    "LGPL-2.1-only": ("LGPL-2.1-only",), "LGPL-2.1-or-later": ("LGPL-2.1-or-later",), "LGPL-3.0-only": ("LGPL-3.0-only",), "LGPL-3.0-or-later": ("LGPL-3.0-or-later",),
+    "AGPL-3.0-only": ("AGPL-3.0-only",), "AGPL-3.0-or-later": ("AGPL-3.0-or-later",),
 }
 # Ways to name a licence in one sentence.
 FRAMES = (
@@ -123,14 +126,19 @@ UNDER = r"(?:^|[^a-z0-9])under(?:[^a-z0-9]|$)"
 BREAK = r"\n+|[.!?](?:[\x20\t\r]+|$)"
 NOISE = r"[^a-z0-9]+"
 #: A line end inside a paragraph, with the next line's comment leader: no blank line and no list item follows. It
-#: becomes JOINT, and the lines between two other ends are also read as one sentence.
-WRAP = r"\n[\x20\t]*+(?:(?://+|#+|\*+|;+|--+|>+|%+)[\x20\t]*+)?+(?![\x20\t\r]*\n|\(?(?:[a-z]|\d{1,2})[.)][\x20\t])"
+#: becomes JOINT, and the lines between two other ends are also read as one sentence, from each of them on.
+LEADER = r"(?://+|#+|\*+|;+|--+|>+|%+|'+|(?:rem|dnl)[\x20\t])"
+WRAP = rf"\n[\x20\t]*+(?:{LEADER}[\x20\t]*+)?+(?![\x20\t\r]*\n|\(?(?:[a-z]|\d{{1,2}})[.)][\x20\t])"
 JOINT = "\x01"
 BREAK_JOINED = r"\n+|[.!?](?:[\x20\t\r\x01]+|$)"
 
 
+#: What normalising leaves of a comment's leader that is a word.
+WORD_LEADER = r"^(?:rem|dnl) "
+
+
 def normal(sentence: str) -> str:
-    return re.sub(NOISE, " ", sentence.lower()).strip()
+    return re.sub(WORD_LEADER, "", re.sub(NOISE, " ", sentence.lower()).strip())
 
 
 def sentences_of(text: str) -> list[str]:
@@ -159,14 +167,28 @@ def _tables() -> tuple[list[str], list[tuple[str, tuple[int, ...]]]]:
 
 #: Identifier i + 1 is KNOWN[i]; each rule is its licence and its identifiers in order.
 KNOWN, RULES = _tables()
+#: Words of the longest known sentence: one that is wrapped has at most so many lines.
+LONGEST = max(s.count(" ") + 1 for s in KNOWN)
+#: Names as they come out of normalising, longer ones first, with the identifier of the sentence that says no more than the name.
+NAMED = {n: KNOWN.index(f"licensed under {n}") + 1 for n in sorted({normal(x) for names in NAMES.values() for x in names}, key=lambda n: (-len(n), n))}
+_NAME = f"(?:{'|'.join(NAMED)})"
+#: A notice inside a longer sentence: names after "under" or an SPDX tag, one or several.
+NOTICE = rf"\b(?:(?:licensed|licenced|released|distributed|available|provided|published|covered) under (?:the )?(?:terms of (?:the )?)?|spdx license identifier )({_NAME}(?: licen[cs]e)?(?: (?:and|or|with) (?:the )?{_NAME}(?: licen[cs]e)?)*)\b"
+ONE_NAME = rf"\b({_NAME})\b"
+
+
+def notices_of(sentence: str) -> list[int]:
+    """Identifiers of the licences that a normalised sentence, not known itself, names in notices."""
+    return [NAMED[n] for chunk in re.findall(NOTICE, sentence) for n in re.findall(ONE_NAME, chunk)]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, sentence_ids (array of the known sentences in order), licenses (array, sorted).
 
-    Sentences are single lines, and lines of one paragraph joined, without comment leaders; a joined one follows its lines. Null and
-    empty texts have no sentence. Whole texts are cut, of any length. Ids are carried as they are,
-    null or repeated; other columns are ignored.
+    Sentences are single lines, and lines of one paragraph joined, without comment leaders, from any of them to the end of the sentence;
+    joined ones follow its lines. A whole sentence that is not known but names licences in notices ("..., and is released under the MIT
+    license, see below") counts as the known sentences that name them. Null and empty texts have no sentence. Whole texts are cut, of any
+    length. Ids are carried as they are, null or repeated; other columns are ignored.
     """
     low = docs.select(F.col(id_col).alias("doc_id"), F.lower(text_or_empty(text_col)).alias("t"))
     some = F.contains("t", F.lit("under")) & F.rlike("t", F.lit(UNDER))
@@ -174,11 +196,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         some = F.contains("t", F.lit(a)) | some
     joined = F.regexp_replace(F.translate("t", JOINT, "\x02"), WRAP, JOINT)
     cut = low.select("doc_id", F.when(some, F.split(joined, BREAK_JOINED)).alias("s"))
-    lines = lambda s: F.filter(F.transform(F.split(s, JOINT), lambda x: F.btrim(F.regexp_replace(x, NOISE, " "))), lambda x: x != "")
-    both = lambda x: F.when(F.size(x) > 1, F.concat(x, F.array(F.array_join(x, " ")))).otherwise(x)
-    clean = cut.select("doc_id", F.flatten(F.transform(F.transform("s", lines), both)).alias("s"))
-    known = clean.select("doc_id", F.filter("s", lambda s: s.isin(KNOWN)).alias("s"))
-    ids = known.select("doc_id", F.coalesce(F.transform("s", lambda s: F.array_position(F.array(*map(F.lit, KNOWN)), s).cast("int")), F.array().cast("array<int>")).alias("sentence_ids"))
+    clean = lambda x: F.regexp_replace(F.btrim(F.regexp_replace(x, NOISE, " ")), WORD_LEADER, "")
+    lines = lambda s: F.filter(F.transform(F.split(s, JOINT), clean), lambda x: x != "")
+    # a sentence joined from each of its lines on but the last; one that begins earlier has more words than any known sentence
+    joins = lambda x: F.transform(F.sequence(F.greatest(F.lit(1), F.size(x) - LONGEST), F.size(x) - 1), lambda i: F.array_join(F.slice(x, i, F.size(x)), " "))
+    said = F.array(*map(F.lit, KNOWN))
+    number = lambda s: F.when(s.isin(KNOWN), F.array_position(said, s).cast("int")).otherwise(F.lit(0))
+    of_name = F.create_map(*(F.lit(x) for pair in NAMED.items() for x in pair))
+    chunks = lambda s: F.flatten(F.transform(F.regexp_extract_all(s, F.lit(NOTICE), F.lit(1)), lambda c: F.regexp_extract_all(c, F.lit(ONE_NAME), F.lit(1))))
+    named = lambda s: F.when((F.contains(s, F.lit(" under ")) | F.startswith(s, F.lit("under ")) | F.contains(s, F.lit("spdx license identifier"))) & ~s.isin(KNOWN), F.transform(chunks(s), lambda n: F.element_at(of_name, n))).otherwise(F.array().cast("array<int>"))
+    whole = lambda x: F.array_join(x, " ")
+    of_sentence = lambda x: F.concat(F.filter(F.concat(F.transform(x, number), F.when(F.size(x) > 1, F.transform(joins(x), number)).otherwise(F.array().cast("array<int>"))), lambda i: i > 0), named(whole(x)))
+    ids = cut.select("doc_id", F.transform("s", lines).alias("s")).select("doc_id", F.coalesce(F.flatten(F.transform("s", of_sentence)), F.array().cast("array<int>")).alias("sentence_ids"))
     seq = ids.withColumn("seq", F.concat(F.lit(","), F.array_join(F.col("sentence_ids").cast("array<string>"), ","), F.lit(",")))
     # one sentence: the rule is the sentence; more: their identifiers one after the other
     single = {ids_[0]: name for name, ids_ in RULES if len(ids_) == 1}
@@ -206,12 +235,23 @@ _q = lambda s: "'" + s.replace("'", "''") + "'"
 _K = ", ".join(f"({i + 1}, {_q(s)})" for i, s in enumerate(KNOWN))
 _R = ", ".join(f"({_q(name)}, ',{','.join(map(str, ids))},')" for name, ids in RULES)
 _I = " OR ".join(f"(name = {_q(p)} AND list_contains(names, {_q(w)}))" for p, w in INSIDE.items())
+_N = ", ".join(f"({_q(n)}, {i})" for n, i in NAMED.items())
+#: Lines that go on are found line by line, so no look-ahead is needed; a paragraph's lines are put together, and cut at its marks.
 ORACLE = rf"""
-WITH k(id, s) AS (VALUES {_K}), r(name, pat) AS (VALUES {_R}),
-p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i
-      FROM (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '{BREAK}') AS parts FROM documents)),
-h AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids, count(*) AS n
-      FROM (SELECT doc_id, i, trim(regexp_replace(part, '{NOISE}', ' ', 'g')) AS s FROM p) JOIN k USING (s) GROUP BY doc_id),
+WITH k(id, s) AS (VALUES {_K}), r(name, pat) AS (VALUES {_R}), nm(name, id) AS (VALUES {_N}),
+l0 AS (SELECT doc_id, unnest(x) AS line, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(replace(lower(coalesce(text, '')), chr(1), chr(2)), chr(10)) AS x FROM documents)),
+l1 AS (SELECT *, regexp_replace(line, '^[\x20\t]*(?:{LEADER.replace("'", "''")}[\x20\t]*)?', '') AS rest FROM l0),
+l2 AS (SELECT *, i > 1 AND NOT (regexp_full_match(rest, '[\x20\t\r]*') AND i < max(i) OVER (PARTITION BY doc_id)) AND NOT regexp_matches(rest, '^\(?(?:[a-z]|[0-9]{{1,2}})[.)][\x20\t]') AS goes_on FROM l1),
+l3 AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS para FROM l2),
+g0 AS (SELECT doc_id, para, string_agg(CASE WHEN goes_on THEN rest ELSE line END, chr(1) ORDER BY i) AS t FROM l3 GROUP BY ALL),
+g1 AS (SELECT doc_id, para, unnest(x) AS part, generate_subscripts(x, 1) AS j FROM (SELECT doc_id, para, regexp_split_to_array(t, '[.!?](?:[\x20\t\r\x01]+|$)') AS x FROM g0)),
+g2 AS (SELECT doc_id, para, j, list_filter(list_transform(string_split(part, chr(1)), lambda x: regexp_replace(trim(regexp_replace(x, '{NOISE}', ' ', 'g')), '{WORD_LEADER}', '')), lambda x: x <> '') AS x FROM g1),
+c0 AS (SELECT doc_id, para, j, array_to_string(x, ' ') AS whole, list_concat(x, list_transform(range(greatest(1, len(x) - {LONGEST}), len(x)), lambda a: array_to_string(x[a:], ' '))) AS c FROM g2 WHERE len(x) > 0),
+c1 AS (SELECT doc_id, para, j, unnest(c) AS s, generate_subscripts(c, 1) AS n FROM c0),
+n0 AS (SELECT doc_id, para, j, unnest(x) AS chunk, generate_subscripts(x, 1) AS a FROM (SELECT doc_id, para, j, regexp_extract_all(whole, '{NOTICE}', 1) AS x FROM c0 WHERE whole NOT IN (SELECT s FROM k))),
+n1 AS (SELECT doc_id, para, j, a, unnest(x) AS name, generate_subscripts(x, 1) AS b FROM (SELECT doc_id, para, j, a, regexp_extract_all(chunk, '{ONE_NAME}', 1) AS x FROM n0)),
+u AS (SELECT doc_id, para, j, 0 AS kind, n AS a, 0 AS b, id FROM c1 JOIN k USING (s) UNION ALL SELECT doc_id, para, j, 1, a, b, id FROM n1 JOIN nm USING (name)),
+h AS (SELECT doc_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY para, j, kind, a, b) AS ids, count(*) AS n FROM u GROUP BY doc_id),
 m AS (SELECT DISTINCT doc_id, name FROM h JOIN r ON contains(',' || ids || ',', pat)),
 g AS (SELECT *, list(name) OVER (PARTITION BY doc_id) AS names FROM m),
 l AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM g WHERE NOT ({_I}) GROUP BY doc_id)

@@ -95,7 +95,9 @@ def by_sentences(text):
     ids = []
     for part in re.split(license_scan.BREAK_JOINED, text):
         lines = [x for x in map(license_scan.normal, part.split("\x01")) if x]
-        ids += [license_scan.KNOWN.index(x) + 1 for x in lines + ([" ".join(lines)] if len(lines) > 1 else []) if x in license_scan.KNOWN]
+        joined = [" ".join(lines[i:]) for i in range(len(lines) - 1)]
+        ids += [license_scan.KNOWN.index(x) + 1 for x in lines + joined if x in license_scan.KNOWN]
+        ids += license_scan.notices_of(" ".join(lines)) if " ".join(lines) not in license_scan.KNOWN else []
     said = "," + ",".join(map(str, ids)) + ","
     found = {name for name, seq in license_scan.RULES if "," + ",".join(map(str, seq)) + "," in said}
     return ids, sorted(found - {p for p, w in license_scan.INSIDE.items() if w in found})
@@ -139,6 +141,37 @@ def test_license_scan_of_wrapped_texts_against_rules(frame):
     assert got == {d: by_sentences(t) for d, t in rows} and sum(bool(x) for _, x in got.values()) > 50
 
 
+def test_licenses_of_real_files(frame):
+    """A licence text right after its title or notice, other comment leaders, SPDX expressions, and names inside longer sentences."""
+    mit = "\n".join(textwrap.wrap(license_scan.TEXTS["MIT"][0], 76)) + "\n\n" + "\n".join(textwrap.wrap(license_scan.TEXTS["MIT"][1], 76))
+    cases = {
+        "MIT License\n" + mit: ["MIT"], "Copyright (c) 2020 Foo Bar\n" + mit: ["MIT"], "Title\nCopyright 2020 Foo Bar\nAll rights reserved\n" + mit: ["MIT"],
+        "rem " + mit.replace("\n", "\nrem "): ["MIT"], "dnl " + mit.replace("\n", "\ndnl "): ["MIT"], "' " + mit.replace("\n", "\n' "): ["MIT"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache-2.0", "MIT"], "// SPDX-License-Identifier: GPL-2.0-only": ["GPL-2.0-only"], "# SPDX-License-Identifier: (LGPL-2.1-or-later AND MIT)": ["LGPL-2.1-or-later", "MIT"],
+        "This code is released under the MIT license": ["MIT"], "Licensed under the MIT license, see LICENSE for details.": ["MIT"], "Licensed under MIT or Apache-2.0": ["Apache-2.0", "MIT"],
+        "The engine is made available under the terms of the Mozilla Public\nLicense 2.0 and its tools are distributed under the ISC license.": ["ISC", "MPL-2.0"],
+        "They worked under the mitigation plan. Licensed underneath MIT.": [], "is licensed under mitigated terms": [], "Licensed under\n\nMIT": [],
+    }
+    got = {r.doc_id: list(r.licenses) for r in license_scan.scan(frame(list(enumerate(cases)))).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_sql_states_wrapped_texts(spark, frame, tmp_path):
+    rng = random.Random(14)
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            said = rng.choice([" ".join(rng.choice(list(license_scan.TEXTS.values()))), *license_scan.WITH_TEXTS, "Released under the MIT License.", "Both are released under the MIT license or Apache-2.0, at will", "prose of no meaning.", "SPDX-License-Identifier: MIT AND ISC", "1. item", "(a) item", ""])
+            lead = rng.choice(["", "# ", " * ", "// ", "; ", "rem ", "' ", "-- ", "- "])
+            parts.append("\n".join(textwrap.wrap(said, rng.choice([30, 72, 200]), initial_indent=lead, subsequent_indent=lead)))
+        rows.append((i, rng.choice(["\n\n", "\n", "\r\n \n", "\n \t\n", "\n\x01"]).join(parts) + rng.choice(["", "\n", "\n ", " "])))
+    frame([*rows, (None, None), (900, "")]).write.parquet(str(tmp_path / "documents.parquet"))
+    assert_same(llm.QUERIES["op5_license_scan"](spark, str(tmp_path)), llm.ORACLES["op5_license_scan"], str(tmp_path))
+    got = {r.doc_id: (list(r.sentence_ids), list(r.licenses)) for r in license_scan.scan(frame(rows)).collect()}
+    assert got == {d: by_sentences(t) for d, t in rows} and sum(bool(x) for _, x in got.values()) > 50
+
+
 def test_license_scan_of_nothing(frame):
     assert license_scan.scan(frame([])).count() == 0
 
