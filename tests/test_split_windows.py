@@ -23,7 +23,7 @@ def events(seed, n=700, keys=(1, 1, 1, 1, 2, 3, None), gaps=(0, 1, 1, 5, 60, 61,
     return rows
 
 
-@pytest.fixture(params=[1, 2], ids=str)
+@pytest.fixture(params=[1], ids=str)
 def table(request, spark):
     return spark.createDataFrame(events(request.param), SCHEMA).repartition(3)
 
