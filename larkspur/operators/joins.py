@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 
 def band_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, lo: float, hi: float, width: float | None = None) -> DataFrame:
-    """Pairs with ``lo <= right_on - left_on <= hi``, as an equi-join on bins of the value.
+    """Pairs with ``left_on + lo <= right_on <= left_on + hi``, as an equi-join on bins of the value.
 
     The left side is repeated once for each bin its band touches, so the join hashes and never compares
-    all pairs. ``width`` defaults to the band's own width. Nulls match nothing.
+    all pairs. ``width`` defaults to the band's own width. Nulls match nothing. The ends of the band are rounded sums, as in
+    SQL's ``BETWEEN``, and the bins are made from these; a difference ``right_on - left_on`` would be rounded otherwise.
     """
     width = float(width or max(hi - lo, 1e-9))
     bins = F.sequence(F.floor((F.col(left_on) + lo) / width), F.floor((F.col(left_on) + hi) / width))
     a = left.where(F.col(left_on).isNotNull()).withColumn("_bin", F.explode(bins))
     b = right.where(F.col(right_on).isNotNull()).withColumn("_bin", F.floor(F.col(right_on) / width))
-    gap = F.col(right_on) - F.col(left_on)
-    return a.join(b, "_bin").where((gap >= lo) & (gap <= hi)).drop("_bin")
+    inside = F.col(right_on).between(F.col(left_on) + lo, F.col(left_on) + hi)
+    return a.join(b, "_bin").where(inside).drop("_bin")
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int = 16, how: str = "inner") -> DataFrame:

@@ -29,6 +29,16 @@ def test_band_join_has_each_pair_once(spark):
     assert got == sorted((i, j) for i in range(20) for j in range(40) if -1.0 <= j / 2 - i <= 1.5)
 
 
+def test_band_join_ends_where_sql_does(spark):
+    """The ends are sums rounded to doubles: -513.96 is between -511.96 - 2 and -511.96 + 2, though the difference is a little more than 2."""
+    ends = [(i, s, s + d) for i, (s, d) in enumerate((x, y) for x in (-511.96, -511.7, 8191.79, 4703.96, 1.5) for y in (-2.0, 2.0))]
+    a = spark.createDataFrame([(i, s) for i, s, _ in ends], "a int, x double")
+    b = spark.createDataFrame([(i, round(c, 2)) for i, _, c in ends], "b int, y double")
+    got = sorted((r.a, r.b) for r in ops.band_join(a, b, "x", "y", -2.0, 2.0).collect())
+    want = sorted((i, j) for i, s, _ in ends for j, _, c in ends if s - 2.0 <= round(c, 2) <= s + 2.0)
+    assert got == want and -513.96 - -511.96 < -2.0
+
+
 def test_salted_join_is_an_equi_join(spark):
     a = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0)], "k int, v int")
     b = spark.createDataFrame([(1, "x"), (1, "y")], "k int, w string")
