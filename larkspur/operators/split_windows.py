@@ -22,11 +22,15 @@ GRID = 1024
 
 
 def same(left: DataFrame, right: DataFrame, by: list[str], extra: tuple[str, ...] = (), how: str = "left") -> DataFrame:
-    """A join on ``by``, null keys too, and on ``extra``; the columns of ``right`` that it is not joined on are added."""
+    """A join on ``by``, null keys too, and on ``extra``; the columns of ``right`` that it is not joined on are added.
+
+    ``right`` has one row for some ``rows`` rows of ``left`` at most and is broadcast: ``left`` is not shuffled, and a key that is the same
+    in all rows, whose test the optimizer drops, doesn't make it the side that is broadcast.
+    """
     named = right.select(*(F.col(f"`{c}`").alias(f"_r{i}") if c in (*by, *extra) else F.col(f"`{c}`") for i, c in enumerate(right.columns)))
     place = {c: f"_r{i}" for i, c in enumerate(right.columns)}
     on = reduce(lambda a, b: a & b, (left[f"`{c}`"].eqNullSafe(named[place[c]]) for c in (*by, *extra)))
-    return left.join(named, on, how).drop(*(place[c] for c in (*by, *extra)))
+    return left.join(F.broadcast(named), on, how).drop(*(place[c] for c in (*by, *extra)))
 
 
 def ranged(df: DataFrame, by: list[str], on: str, rows: int = RANGE_ROWS) -> DataFrame:
@@ -51,10 +55,10 @@ def before(df: DataFrame, by: list[str], state: dict[str, Column], scan: dict[st
 
     The names of ``scan`` are added, null for the first range of a key and for keys that are not cut.
     """
-    dealt = df.repartition(*by, "_range")
     folded = df.where("_range > 0").groupBy(*by, "_range").agg(*(c.alias(n) for n, c in state.items()))
     earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    return same(dealt, folded.select(*by, "_range", *(c.over(earlier).alias(n) for n, c in scan.items())), by, ("_range",))
+    carried = same(df, folded.select(*by, "_range", *(c.over(earlier).alias(n) for n, c in scan.items())), by, ("_range",))
+    return carried.repartition(*by, "_range")
 
 
 def within(by: list[str], *order) -> WindowSpec:

@@ -63,6 +63,15 @@ def test_ranks_of_all_rows(spark, rows):
     assert ops.page(df, "v", ["id"], 99, 40, rows=rows).count() == 0 and ops.global_rank(df.limit(0), "v", ["id"]).count() == 0
 
 
+def test_ranks_do_not_broadcast_the_rows(spark):
+    """The key of all rows is a constant; a join on it must neither build on the rows nor compare them with more than the bounds."""
+    df = spark.range(5000).select("id", F.pmod(F.xxhash64("id"), F.lit(1000)).alias("v"))
+    for some in (ops.global_rank(df, "v", ["id"], rows=100), ops.page(df, "v", ["id"], 3, 40, rows=100)):
+        plan = some._jdf.queryExecution().sparkPlan().toString()
+        assert "BuildLeft" not in plan and "SortMergeJoin" not in plan
+    assert ops.page(df, "v", ["id"], 3, 40, rows=100).count() == 40
+
+
 def test_ranges_of_a_rank_are_small(spark):
     from larkspur.operators.split_windows import ranged
 
