@@ -5,30 +5,40 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.operators.split_windows import RANGE_ROWS, before, ranged, within
+from larkspur.operators.split_windows import RANGE_ROWS, ranged, within
 
 _ALL = ["_all"]
 
 
+def _numbered(df: DataFrame, on: str, ties: list[str], rank: str, number: str, rows: int, first: int | None = None, last: int | None = None) -> DataFrame:
+    """``df`` with rank and row number; with ``first`` and ``last``, only the ranges that hold some of these row numbers are dealt out and sorted."""
+    placed = ranged(df.withColumn("_all", F.lit(0)), _ALL, on, rows)
+    counts = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range, GRID at most
+    starts = counts.select("_range", "_rows", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+    if first is not None:
+        starts = starts.where((F.col("_before") < last) & (F.col("_before") + F.col("_rows") >= first))
+    dealt = placed.join(F.broadcast(starts.drop("_rows")), "_range").repartition("_range")
+    start = F.col("_before")
+    out = dealt.withColumn(number, start + F.row_number().over(within([], on, *ties))).withColumn(rank, start + F.rank().over(within([], on)))
+    return out.select(*(f"`{c}`" for c in df.columns), rank, number)
+
+
 def global_rank(df: DataFrame, on: str, ties: list[str], rank: str = "rank", number: str = "row_number", rows: int = RANGE_ROWS) -> DataFrame:
     """``df`` with its rank by ``on`` (equal values share one) and its row number by ``on`` and ``ties``, ascending, null values first.
 
     The rows are cut at quantiles of ``on``, each range is numbered by itself, and the counts of the ranges before it are added:
     no task sorts more than a range, whereas a window without keys sorts all rows in one. Equal values of ``on`` share a range.
     """
-    placed = ranged(df.withColumn("_all", F.lit(0)), _ALL, on, rows)
-    earlier = before(placed, _ALL, {"_rows": F.count(F.lit(1))}, {"_before": F.sum("_rows")})
-    start = F.coalesce("_before", F.lit(0))
-    out = earlier.withColumn(rank, start + F.rank().over(within(_ALL, on))).withColumn(number, start + F.row_number().over(within(_ALL, on, *ties)))
-    return out.drop("_all", "_range", "_before")
+    return _numbered(df, on, ties, rank, number, rows)
 
 
 def page(df: DataFrame, on: str, ties: list[str], number: int, size: int, rows: int = RANGE_ROWS) -> DataFrame:
-    """Page ``number`` (from 1) of ``size`` rows of the order, with their row numbers."""
-    numbered = global_rank(df, on, ties, rows=rows)
+    """Page ``number`` (from 1) of ``size`` rows of the order, with their row numbers; ranges without any of them are counted but not sorted."""
+    numbered = _numbered(df, on, ties, "rank", "row_number", rows, (number - 1) * size + 1, number * size)
     return numbered.where((F.col("row_number") > (number - 1) * size) & (F.col("row_number") <= number * size))
 
 
