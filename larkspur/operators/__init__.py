@@ -1,6 +1,6 @@
 """Relational and time-series operators composed from Spark's own."""
 
-from larkspur.operators.intervals import overlap_join
+from larkspur.operators.intervals import overlap_counts, overlap_join
 from larkspur.operators.joins import band_join, salted_join
 from larkspur.operators.python_functions import Words, aggregate, reversed_words
 from larkspur.operators.quantiles import quantiles
@@ -10,6 +10,6 @@ from larkspur.operators.timeseries import funnel, rollup
 from larkspur.operators.vectors import nearest
 
 __all__ = [
-    "Words", "aggregate", "asof_join", "band_join", "fill_forward", "funnel", "global_rank", "heavy_hitters", "nearest", "overlap_join", "page",
+    "Words", "aggregate", "asof_join", "band_join", "fill_forward", "funnel", "global_rank", "heavy_hitters", "nearest", "overlap_counts", "overlap_join", "page",
     "quantiles", "reversed_words", "rollup", "running_sum", "salted_join", "sessions",
 ]

@@ -327,11 +327,11 @@ s AS (SELECT *, sum(CAST(b AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS
 p AS (SELECT user_id, min(ts) AS lo, max(ts) AS hi FROM s GROUP BY user_id, s)
 SELECT a.user_id, count(*) AS n, count(DISTINCT b.user_id) AS others FROM p a JOIN p b ON a.lo <= b.hi AND b.lo <= a.hi AND a.user_id <> b.user_id GROUP BY a.user_id""")
 def overlapping_sessions(t):
-    """How many sessions of others each user's sessions overlap."""
-    s = ops.sessions(t("events"), 7200, "user_id").select("user_id", *(F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("session_start", "session_end")))
-    on = (F.col("session_start"), F.col("session_end"))
-    pairs = ops.overlap_join(s, s, on, on).where("left.user_id <> right.user_id")
-    return pairs.groupBy(F.col("left.user_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("right.user_id").alias("others"))
+    """How many sessions of others each user's sessions overlap, and of how many others."""
+    e = t("events")
+    path = scratch(e.sparkSession, "sessions")
+    ops.sessions(e, 7200, "user_id").select("user_id", *(F.unix_micros(F.col(c).cast("timestamp")).alias(c) for c in ("session_start", "session_end"))).write.parquet(path)
+    return ops.overlap_counts(e.sparkSession.read.parquet(path), "user_id", "session_start", "session_end")
 
 
 def _stored_sketches(t) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window
@@ -144,3 +145,38 @@ def test_set_algebra_of_sketches(spark, visits):
     slack = sk.theta_error() * len(a | b)
     assert abs(r.both - len(a & b)) <= slack and abs(r.only - len(a - b)) <= slack and abs(r.either - len(a | b)) <= slack
     assert len(a | b) > 1 << sk.LG_THETA
+
+
+@pytest.mark.parametrize("tile,block,short", [(4096, 2_000_000, 32), (2, 40, 0)])
+def test_overlap_counts_are_those_of_the_pairs(spark, monkeypatch, tile, block, short):
+    """Keys with overlapping intervals of their own, ties of ends, nulls and intervals that end before they begin; in one tile and in many tiles and blocks."""
+    from larkspur.operators import intervals as iv
+
+    monkeypatch.setattr(iv, "SHORT", short)
+    rng = random.Random(8)
+    rows = [(rng.randrange(40), lo, hi) for _, _, lo, hi in intervals(3, 260, 300.0) if hi - lo < 400 or rng.random() < 0.1]
+    rows += [(7, 5.0, 4.0), (None, 0.0, 1.0), (3, None, 1.0), (99, 9e9, 9e9)]
+    df = spark.createDataFrame(rows, "k long, lo double, hi double").repartition(3)
+    good = [r for r in rows if None not in r and r[1] <= r[2]]
+    met = [(a[0], b[0]) for a in good for b in good if a[0] != b[0] and a[1] <= b[2] and b[1] <= a[2]]
+    n, others = Counter(k for k, _ in met), Counter(k for k, _ in set(met))
+    monkeypatch.setattr(iv, "TILE", tile)
+    found = []
+    for a_tiles in [iv._tiles(*(np.array([r[c] for r in good], np.float64 if c else np.int64) for c in range(3)))]:
+        assert len(a_tiles) == (1 if tile == 4096 else -(-len({r[0] for r in good}) // 2))
+        for p, a in enumerate(a_tiles):
+            found += [x for b in a_tiles[p:] for x in iv._tile_counts(a, b)]
+    got_n, got_others = Counter(), Counter()
+    for keys, m, o in found:
+        got_n.update(dict(zip(keys.tolist(), m.tolist())))
+        got_others.update(dict(zip(keys.tolist(), o.tolist())))
+    assert +got_n == n and +got_others == others and len(n) > 30
+    assert {r.k: (r.n, r.others) for r in ops.overlap_counts(df, "k", "lo", "hi", block=block).collect()} == {k: (n[k], others[k]) for k in n}
+
+
+def test_overlap_counts_make_no_pairs(spark):
+    """Two thousand keys that all meet: no operator passes more rows on than a few for each key (pairs would be four million)."""
+    df = spark.range(2000).select(F.col("id").alias("k"), F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi"))
+    got = ops.overlap_counts(df, "k", "lo", "hi", block=500)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.where("n = 1999 AND others = 1999").count() == 2000 and ops.overlap_counts(df.limit(0), "k", "lo", "hi").count() == 0
