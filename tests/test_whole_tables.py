@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur import operators as ops
 from larkspur import plans, streaming
-from larkspur.operators.quantiles import binned
+from larkspur.operators.quantiles import around, binned
 
 SF = "/root/testdata/sf0.001"
 
@@ -66,3 +66,25 @@ def test_no_range_of_a_quantile_is_full(spark, shape):
     values.sort()
     at = lambda p: values[int(p * (len(values) - 1))] + (values[min(len(values) - 1, int(p * (len(values) - 1)) + 1)] - values[int(p * (len(values) - 1))]) * (p * (len(values) - 1) % 1)
     assert (got.a, got.m, got.z) == pytest.approx((values[0], at(0.5), at(0.9999)))
+
+
+@pytest.mark.parametrize("shape", ["even", "heavy", "copies"])
+def test_quantiles_look_at_few_values_and_shuffle_no_rows(spark, shape):
+    """Around a quantile are a few values in a thousand; values that many rows share have ranges of their own; rows are not dealt by their group."""
+    rng = random.Random(5)
+    draw = {"even": rng.random, "heavy": lambda: rng.paretovariate(0.3), "copies": lambda: rng.choice([0.5, 0.5, rng.random()])}[shape]
+    df = spark.createDataFrame([(k, draw()) for k in (1, 2, None) for _ in range(20_000)] + [(9, None)], "k int, v double").repartition(4)
+    at = [0.1, 0.5, 0.99]
+    sizes = around(df.select(F.col("k").alias("_k"), F.col("v").alias("_v")), at).groupBy("_k", "_b").agg(F.countDistinct("_v").alias("n"))
+    inside = sizes.where("_b % 2 = 1 OR _b % 4 = 2").agg(F.max("n")).first()[0]
+    assert inside <= 20 or shape == "copies"
+    assert shape != "copies" or sizes.where("_b % 2 = 1").agg(F.max("n")).first()[0] == 1
+    got = ops.quantiles(df, "k", "v", {f"q{i}": p for i, p in enumerate(at)})
+    want = df.groupBy("k").agg(*(F.percentile("v", p).alias(f"q{i}") for i, p in enumerate(at)))
+    found, right = ({r.k: tuple(r)[1:] for r in df.collect()} for df in (got, want))
+    assert found.keys() == right.keys() and found[9] == right[9] == (None, None, None)
+    assert all(found[k] == pytest.approx(right[k], rel=1e-12) for k in (1, 2, None))
+    many = [i / 40 for i in range(41)]
+    assert [round(x, 9) for x in ops.quantiles(df, "k", "v", {f"q{i}": p for i, p in enumerate(many)}).where("k = 1").first()[1:]] == [
+        round(x, 9) for x in df.where("k = 1").agg(*(F.percentile("v", p) for p in many)).first()]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 3
