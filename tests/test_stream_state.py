@@ -1,11 +1,13 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur import streaming as st
 from larkspur.sources import logs, register_logs, write_logs
+from larkspur.streaming.inactivity import Runs
 
 T0 = datetime(2024, 1, 1)
 
@@ -48,6 +50,50 @@ def test_alerts_over_restarts(spark, tmp_path, disorder):
     assert got == silent(rows, 60) and len(got) > 20
 
 
+def test_a_slot_calls_its_state_once_for_all_its_keys():
+    """A thousand keys in one batch and two of them later: a few calls of state and timers, not some for each key."""
+    calls, kept = [], {}
+
+    class State:
+        def exists(self):
+            return "v" in kept
+
+        def get(self):
+            calls.append("get")
+            return kept["v"]
+
+        def update(self, v):
+            calls.append("update")
+            kept["v"] = v
+
+    class Handle:
+        def getValueState(self, *_):
+            return State()
+
+        def registerTimer(self, at):
+            calls.append(("set", at))
+
+        def deleteTimer(self, at):
+            calls.append(("drop", at))
+
+    class Now:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: at
+
+    runs = Runs(1_000_000)
+    runs.init(Handle())
+    frame = lambda *rows: pd.DataFrame(rows, columns=["key", "micros", "kind"])
+    assert list(runs.handleInputRows((3,), iter([frame(*((k, 1000 * k, "a,b") for k in range(1000)))]), Now(0))) == []
+    assert calls == ["update", ("set", 1000)] or calls == [("set", 1000), "update"]
+    calls.clear()
+    list(runs.handleInputRows((3,), iter([frame((0, 500_000, "c"), (2**60 + 1, 0, "x")), frame((0, 3_000_000, "c"))]), Now(0)))
+    assert len(calls) == 2  # the timer stays where it was
+    (out,) = runs.handleExpiredTimer((3,), Now(1500), Now(1000))
+    got = sorted(map(tuple, out[["key", "alert", "last", "n_events", "n_kinds"]].values.tolist()))
+    assert got[0] == (0, 1, 500_000, 2, 2) and got[-1] == (2**60 + 1, 1, 0, 1, 1) and len(got) == 502 and got[1] == (1, 1, 1000, 1, 1)
+    assert calls[-2:] in (["update", ("set", 1501)], [("set", 1501), "update"])
+
+
 def test_keyed_table_passes_over_what_it_has(spark, tmp_path):
     table = st.KeyedTable(spark, str(tmp_path / "t"), ["k"], ["at"], buckets=4)
     batch = lambda *rows: spark.createDataFrame(rows, "k long, at long, v string")
