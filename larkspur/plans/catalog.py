@@ -14,7 +14,7 @@ from larkspur import streaming as st
 from larkspur.functions import safe_ratio, variants
 from larkspur.operators import sketches as sk
 from larkspur.operators import snapshots, vector_index
-from larkspur.sources import FORMATS, read_files, read_table, register_logs, scratch, write_bucketed, write_logs, write_table
+from larkspur.sources import FORMATS, bucket_count, read_files, read_table, register_logs, scratch, write_bucketed, write_logs, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -394,8 +394,9 @@ def snapshot_changes(t):
 SELECT o_orderpriority, count(*) AS lines, count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice), 2) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""")
 def bucketed_join(t):
     """Orders with their lines from tables written by buckets of the key: the join and the count by order have no exchange."""
-    o = write_bucketed(t("orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority"), ["k"], 8, "orders")
-    li = write_bucketed(t("lineitem").select(F.col("l_orderkey").alias("k"), "l_extendedprice"), ["k"], 8, "lines")
+    n = bucket_count(t("lineitem"), 8)
+    o = write_bucketed(t("orders").select(F.col("o_orderkey").alias("k"), "o_orderpriority"), ["k"], n, "orders")
+    li = write_bucketed(t("lineitem").select(F.col("l_orderkey").alias("k"), "l_extendedprice"), ["k"], n, "lines")
     per = o.join(li.hint("merge"), "k").groupBy("k", "o_orderpriority").agg(F.count(F.lit(1)).alias("lines"), F.sum("l_extendedprice").alias("total"))
     return per.groupBy("o_orderpriority").agg(F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("orders"), F.round(F.sum("total"), 2).alias("total"))
 

@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame
 from larkspur.sources.scratch import shared_dir
 
 
+#: Rows of a bucket at most, about.
+BUCKET_ROWS = 1_000_000
+
+
+def bucket_count(df: DataFrame, least: int, rows: int = BUCKET_ROWS) -> int:
+    """Buckets for ``df``: one for every ``rows`` rows, and ``least`` at least, so that a task that sorts or groups a bucket needs no more memory for a longer table.
+
+    Of two tables that are to be joined, the longer one says how many.
+    """
+    return max(least, -(-df.count() // rows))
+
+
 def write_bucketed(df: DataFrame, keys: list[str], buckets: int, name: str = "bucketed") -> DataFrame:
     """Write ``df`` to the shared folder in ``buckets`` buckets by ``keys``, sorted by them, and return the table.
 

@@ -8,7 +8,7 @@ from larkspur import operators as ops
 from larkspur.functions import variants
 from larkspur.operators import snapshots as sn
 from larkspur.operators import vector_index as vi
-from larkspur.sources import exchanges, write_bucketed
+from larkspur.sources import bucket_count, exchanges, write_bucketed
 
 
 @pytest.fixture
@@ -68,6 +68,20 @@ def test_bucketed_tables_join_without_an_exchange(spark):
     assert write_bucketed(a.limit(0), ["k"], 3).count() == 0
 
 
+def test_buckets_grow_with_the_table(spark, monkeypatch):
+    """No bucket holds much more than its share of rows, however many rows there are; the query's plan reads as many buckets."""
+    from larkspur.plans import catalog
+
+    assert bucket_count(spark.range(100), 8) == 8 and bucket_count(spark.range(2_500_000), 2) == 3 and bucket_count(spark.range(0), 8) == 8
+    df = spark.range(9000).withColumnRenamed("id", "k")
+    stored = write_bucketed(df, ["k"], bucket_count(df, 8, 200))
+    assert stored.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] <= 280
+    monkeypatch.setattr(catalog, "bucket_count", lambda df, least: bucket_count(df, least, 300))
+    some = catalog.bucketed_join(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet"))
+    assert "SelectedBucketsCount: 20 out of 20" in some._jdf.queryExecution().executedPlan().toString()
+    assert some.agg(F.sum("lines")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+
+
 def test_variants_of_mixed_types(spark):
     texts = ['{"a": 1, "b": "x"}', '{"a": 2.5}', '{"a": "3", "c": {"d": [1, null]}}', '{"a": ', "", None, "17", "null", '{"a": null, "b": "y", "x.y": true}']
     df = spark.createDataFrame(enumerate(texts), "id int, text string").withColumn("v", variants.parsed("text"))
