@@ -17,6 +17,8 @@ SAMPLE, CENTRES = 20_000, 1024
 RECALL = 0.97
 #: Rows of a list that one task compares, about.
 DEAL = 50_000
+#: Routed queries of a batch, and products of queries and rows at a time, about (4 MB).
+ROUTED, PRODUCTS = 4096, 1 << 19
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -79,11 +81,14 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, id_col: s
     stored = spark.read.schema("i long, v array<double>, list int").parquet(f"{path}/lists")
 
     def route(batches):
-        for b in batches:
-            if b.num_rows:
+        """Each query once for each of its lists, in batches of about ROUTED rows however many queries come at once."""
+        step = max(1, ROUTED // n)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                b = whole.slice(lo, step)
                 at = _nearest_centres(_unit(_matrix(b.column(1))[0]), centres, n)
-                of = np.repeat(np.arange(b.num_rows), n)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of)), b.column(1).take(pa.array(of)), pa.array(at.ravel().astype(np.int32))], names=["i", "v", "list"])
+                of = pa.array(np.repeat(np.arange(b.num_rows), n))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), pa.array(at.ravel().astype(np.int32))], names=["i", "v", "list"])
 
     asked = queries.select(F.col(id_col).cast("long").alias("i"), F.col(vector_col).cast("array<double>").alias("v")).where("i IS NOT NULL AND v IS NOT NULL")
     sizes = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / DEAL).cast("int").alias("deals"))  # one row a list
@@ -96,8 +101,9 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, id_col: s
 
         def flush(names, rows):
             """Compare the unit's queries with some of its rows."""
-            for lo in range(0, len(ids), 1024):
-                sims = np.round(vectors[lo : lo + 1024] @ rows.T, 5)
+            step = max(1, PRODUCTS // max(1, len(rows)))
+            for lo in range(0, len(ids), step):
+                sims = np.round(vectors[lo : lo + step] @ rows.T, 5)
                 for a, row in enumerate(sims, lo):
                     at = np.flatnonzero(names != ids[a])
                     order = at[np.lexsort((names[at], -row[at]))[:k]]

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a group, about, and rows they are multiplied with at a time (32 MB of products).
-QUERY_BLOCK, ROW_BLOCK = 4096, 1024
+#: Queries of a group, about, rows they are multiplied with at a time, and queries multiplied at a time (2 MB of products).
+QUERY_BLOCK, ROW_BLOCK, STEP = 4096, 1024, 256
+#: Rows of a deal, about: a task gets them in one Arrow batch.
+DEAL_ROWS = 50_000
 #: Similarities are compared as whole numbers of 1e-5; this one stands for null and sorts last.
 SCALE = 100_000
 NONE = -2 * SCALE
@@ -50,15 +52,21 @@ class _Block:
     def nearest(self, ids: np.ndarray, groups: np.ndarray, vectors: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of the ``k`` nearest of some rows for each query; places that no row takes have similarity NONE - 1."""
         order = np.argsort(ids, kind="stable")
-        ids, groups, vectors, norms = ids[order], groups[order], vectors[order], norms[order]
+        rows = ids[order], groups[order], vectors[order], norms[order]
+        parts = [self._some(slice(at, at + STEP), *rows, k) for at in range(0, len(self.ids), STEP)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _some(self, own: slice, ids: np.ndarray, groups: np.ndarray, vectors: np.ndarray, norms: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The same for some of the queries, and rows by id."""
         n = len(ids)
+        asked, asked_ids = self.vectors[own], self.ids[own]
         # a null has no length, so a side of nulls alone fits any other
-        dot = self.vectors @ vectors.T if self.vectors.shape[1] == vectors.shape[1] else np.full((len(self.ids), n), np.nan)
-        x = dot / (self.norms[:, None] * norms) * SCALE
+        dot = asked @ vectors.T if asked.shape[1] == vectors.shape[1] else np.full((len(asked), n), np.nan)
+        x = dot / (self.norms[own, None] * norms) * SCALE
         sims = np.where(np.isnan(x), NONE, np.copysign(np.floor(np.abs(x) + 0.5), x)).astype(np.int64)
         # one number for similarity and place, so that equal similarities keep the smaller ids
         key = (sims - NONE + 1) * n + np.arange(n - 1, -1, -1)
-        key[(self.ids[:, None] == ids) | (self.groups[:, None] != groups)] = -1
+        key[(asked_ids[:, None] == ids) | (self.groups[own, None] != groups)] = -1
         if n > k:
             key = np.partition(key, n - k, axis=1)[:, n - k :]
         return np.where(key < 0, np.iinfo(np.int64).max, ids[n - 1 - key % n]), np.where(key < 0, NONE - 1, key // n + NONE - 1)
@@ -87,7 +95,7 @@ def _packed(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield done()
 
 
-def _unpacked(blob: bytes) -> pa.Table:
+def _unpacked(blob: pa.Buffer) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all().combine_chunks()
 
 
@@ -95,7 +103,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
     """The ``k`` rows nearest to each query: ``id_col``, other, sim (cosine, five decimals), without rows of the query's own id.
 
     Queries and rows are packed into blocks. Every query block meets every block of rows: queries are dealt out in about
-    ``block`` a group, rows in as many deals as fill the tasks, and a task multiplies a group with a deal's blocks one after the other,
+    ``block`` a group, rows in as many deals as fill the tasks, of DEAL_ROWS at most, about, and a task multiplies a group with a deal's blocks one after the other,
     keeping the ``k`` best a query; those of all deals are merged. No vector passes the driver. Equal similarities go to the smaller id. With
     ``within``, an integer column, only rows of the query's own value count, without a join on it. Null vectors and zero norms
     have null similarity, which is last; null ids, and null values of ``within``, match nothing. Vectors have one length.
@@ -104,7 +112,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
     some = lambda df: df.select(F.col(id_col).cast("long").alias("i"), group.alias("g"), F.col(vector_col).cast("array<double>").alias("v")).where("i IS NOT NULL AND g IS NOT NULL")
     asked, every = some(queries), some(rows)
     groups = max(1, -(-asked.count() // block))
-    deals = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups))
+    deals = max(1, -(-int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) // groups), -(-rows.count() // DEAL_ROWS))
 
     def pack(size):
         return lambda batches: _packed(batches, size)
@@ -138,7 +146,7 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(found.ids[at[lo : lo + 10_000]]), pa.array(ids[lo : lo + 10_000]), pa.array(s / SCALE, mask=s == NONE)], names=["i", "other", "sim"])
 
         for b in batches:
-            for q, d, side, blob in zip(*(b.column(j).to_pylist() for j in range(4))):
+            for q, d, side, blob in zip(*(b.column(j).to_pylist() for j in range(3)), (x.as_buffer() for x in b.column(3))):
                 if (q, d) != unit:
                     yield from done()
                     unit, asking, found, best = (q, d), [], None, None
@@ -157,7 +165,8 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int, id_col: str = "vec_id",
                     best = _first(*(np.concatenate(x, axis=1) for x in zip(best, new)), k)
         yield from done()
 
-    met = left.unionByName(right).repartition("q", "d").sortWithinPartitions("q", "d", "side")
+    # one group and one deal a task
+    met = left.unionByName(right).repartitionById(groups * deals, F.col("q") * deals + F.col("d")).sortWithinPartitions("q", "d", "side")
     pairs = met.mapInArrow(search, "i long, other long, sim double")
     w = Window.partitionBy("i").orderBy(F.desc("sim"), "other")
     return pairs.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).select(F.col("i").alias(id_col), "other", "sim")

@@ -120,3 +120,26 @@ def test_index_holds_every_row_and_finds_most(spark, clustered, tmp_path):
 def test_index_of_nothing(spark, clustered, tmp_path):
     vi.build(clustered.where("vec_id = 5001"), str(tmp_path / "i"))
     assert vi.search(spark, str(tmp_path / "i"), clustered.limit(3), 10).count() == 0
+
+
+def test_blocks_of_vectors_are_multiplied_in_steps(spark, monkeypatch):
+    """Memory for a group of queries is that of a few of them, and deals of a few rows give the same as one deal."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from larkspur.operators import vectors
+
+    rng = np.random.default_rng(1)
+    table = lambda n, at: pa.table({"i": np.arange(at, at + n), "g": np.zeros(n, np.int64), "v": pa.array(list(rng.normal(size=(n, 8))))})
+    asking = vectors._Block(table(4096, 0))
+    rows = vectors._Block(table(1024, 4000))
+    tracemalloc.start()
+    ids, sims = asking.nearest(rows.ids, rows.groups, rows.vectors, rows.norms, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert ids.shape == sims.shape == (4096, 3) and peak < 40e6
+    e = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 4)))], "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, ops.nearest(e.where("vec_id % 50 = 0"), e, 4).collect()))
+    monkeypatch.setattr(vectors, "DEAL_ROWS", 20)
+    assert sorted(map(tuple, ops.nearest(e.where("vec_id % 50 = 0"), e, 4, block=3).collect())) == want and len(want) == 24
